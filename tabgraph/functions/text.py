@@ -8,6 +8,7 @@ import shlex
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The author-page wrapper, the tag pattern and the dropped category.
 AUTHOR_PAGE = r"(?i)^Visit Amazon's(?U)\s+(.+?)\s+Page$"
@@ -19,13 +20,13 @@ SPACE = r"(?U)[\s\x1c-\x1f]"
 _EDGES = rf"^{SPACE}+|{SPACE}+$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_unescape(text: pd.Series) -> pd.Series:
     """T5: HTML5 entity decoding."""
     return text.map(html.unescape, na_action="ignore")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def html_unescape_list(cells: pd.Series) -> pd.Series:
     """T5 on list cells, nulls kept."""
     return cells.map(
@@ -43,7 +44,7 @@ def _split_quoted(text: str) -> list[str]:
         return text.split()
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _parse_quoted(text: pd.Series) -> pd.Series:
     return text.map(lambda s: [] if s is None else _split_quoted(s))
 

@@ -18,6 +18,11 @@ def implode(order: list[str], values: list[str]) -> Column:
     return F.array_sort(F.collect_list(packed))
 
 
+def field(name: str):
+    """Accessor of one struct field, for use in transform."""
+    return lambda packed: packed[name]
+
+
 def window_items(
     train: DataFrame, facts: DataFrame, entity: str, values: list[str], ts: str, fact_ts: str,
     window: str, node: str = "node_id",
@@ -45,7 +50,7 @@ def key_lists(
     dealt = split_hot(kept, [entity], list(dict.fromkeys([fact_ts, *order, value])), max_cell)
     matched = window_join(train.select(node, entity, ts), dealt, entity, ts, fact_ts, window)
     cells = matched.groupBy(node, "part").agg(
-        F.transform(implode(order, [value]), lambda s: s[value]).alias(value)
+        F.transform(implode(order, [value]), field(value)).alias(value)
     )
     empty = F.array().cast(dict(cells.dtypes)[value])
     return train.join(cells, node, "left").withColumns({
@@ -69,7 +74,7 @@ def expand_columns(
     packed = looked_up.groupBy(*cell).agg(implode(["_pos"], columns).alias("_items"))
     lists = packed.select(
         *cell,
-        *[F.transform("_items", lambda s, c=c: s[c]).alias(f"{prefix}_{c}") for c in columns],
+        *[F.transform("_items", field(c)).alias(f"{prefix}_{c}") for c in columns],
     )
     return cells.join(lists, cell, "left")
 
