@@ -54,12 +54,18 @@ def order_baskets(spark, sf_dir):
         F.array_sort(F.collect_set("p_type")).alias("items"))
 
 
-def title_bags(spark, sf_dir):
-    """node_id and the bag of product titles every order holds."""
-    lines = src.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    parts = src.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    return lines.join(parts, "l_partkey").groupBy(F.col("l_orderkey").alias("node_id")).agg(
-        F.collect_list("p_name").alias("items"))
+def product_bags(spark, sf_dir):
+    """node_id and the bag of products every order holds."""
+    return src.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("node_id")).agg(
+        F.collect_list("l_partkey").alias("items"))
+
+
+def product_map(spark, sf_dir):
+    """Every third product is related to the next two, and to itself."""
+    parts = src.table(spark, sf_dir, "part").filter("p_partkey % 3 = 0")
+    return parts.select(
+        F.col("p_partkey").alias("key"),
+        F.explode(F.sequence(F.col("p_partkey"), F.col("p_partkey") + 2)).alias("related"))
 
 
 def vectors(spark, sf_dir):
@@ -204,47 +210,37 @@ def x10_rule_map(spark, sf_dir):
     return rules.rule_map(_rules(spark, sf_dir))
 
 
-TITLE_BAGS = """
-bags as (select l_orderkey as node_id, list_sort(list(p_name)) as bag
-  from lineitem join part on p_partkey = l_partkey group by 1),
+PRODUCT_BAGS = """
+bags as (select l_orderkey as node_id, list_sort(list(l_partkey::varchar)) as bag from lineitem group by 1),
 g as (select md5(to_json(bag)) as cls, bag, count(*) as m from bags group by bag),
 it as (select cls, m, len(bag) as total, item, count(*)::double as w
   from (select cls, m, bag, unnest(bag) as item from g) group by 1, 2, 3, 4)"""
 
 
 @query("x11_sim_overlap", f"""
-with {TITLE_BAGS}, half as (select x.cls as p, y.cls as q, sum(x.w) / x.total as share
+with {PRODUCT_BAGS}, half as (select x.cls as p, y.cls as q, sum(x.w) / x.total as share
   from it x join it y on x.item = y.item and x.cls <> y.cls group by x.cls, y.cls, x.total),
-both as (select least(p, q) as a, greatest(p, q) as b, sum(share) / 2 as sim from half group by 1, 2)
-select a, b, round(sim, 6) as sim, x.m as m_a, y.m as m_b from both join g x on x.cls = a
-  join g y on y.cls = b where sim > 0.6
+joint as (select least(p, q) as a, greatest(p, q) as b, sum(share) / 2 as sim from half group by 1, 2)
+select a, b, round(sim, 6) as sim, x.m as m_a, y.m as m_b from joint join g x on x.cls = a
+  join g y on y.cls = b where sim > 0.3
 union all select cls, cls, 1.0, m, m from g where m > 1""")
 def x11_sim_overlap(spark, sf_dir):
-    return classes_of(sim.sim_overlap(title_bags(spark, sf_dir), "items", min_sim=0.6))
+    return classes_of(sim.sim_overlap(product_bags(spark, sf_dir), "items", min_sim=0.3))
 
 
 @query("x11_sim_overlap_map", f"""
-with {BRAND_MAP}, bags as (select l_orderkey as node_id, list_sort(list(p_brand)) as bag
-  from lineitem join part on p_partkey = l_partkey group by 1),
-g as (select md5(to_json(bag)) as cls, bag, count(*) as m from bags group by bag),
-it as (select cls, m, len(bag) as total, item, count(*)::double as w
-  from (select cls, m, bag, unnest(bag) as item from g) group by 1, 2, 3, 4),
-ex as (select cls, total, item, w, coalesce(m.related, item) as token from it
-  left join (select * from map union select key, key from map) m on m.key = item),
+with {PRODUCT_BAGS}, map as (select p_partkey::varchar as item, (p_partkey + d)::varchar as related
+  from part, range(3) r(d) where p_partkey % 3 = 0),
+ex as (select cls, total, item, w, coalesce(related, item) as token from it left join map using (item)),
 hits as (select distinct x.cls as p, y.cls as q, x.item, x.w, x.total from ex x join it y on x.token = y.item),
 half as (select p, q, sum(w) / any_value(total) as share from hits where p <> q group by p, q),
-both as (select least(p, q) as a, greatest(p, q) as b, sum(share) / 2 as sim from half group by 1, 2)
-select a, b, round(sim, 6) as sim, x.m as m_a, y.m as m_b from both join g x on x.cls = a
-  join g y on y.cls = b where sim > 0.8
+joint as (select least(p, q) as a, greatest(p, q) as b, sum(share) / 2 as sim from half group by 1, 2)
+select a, b, round(sim, 6) as sim, x.m as m_a, y.m as m_b from joint join g x on x.cls = a
+  join g y on y.cls = b where sim > 0.4
 union all select cls, cls, 1.0, m, m from g where m > 1""")
 def x11_sim_overlap_map(spark, sf_dir):
-    lines = src.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    parts = src.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    bags = lines.join(parts, "l_partkey").groupBy(F.col("l_orderkey").alias("node_id")).agg(
-        F.collect_list("p_brand").alias("items"))
-    related = brand_map(spark, sf_dir)
-    related = related.union(related.select("key", "key").distinct())
-    return classes_of(sim.sim_overlap(bags, "items", related, min_sim=0.8))
+    return classes_of(sim.sim_overlap(
+        product_bags(spark, sf_dir), "items", product_map(spark, sf_dir), min_sim=0.4))
 
 
 # --- text, vectors, dates ---------------------------------------------------

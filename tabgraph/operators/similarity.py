@@ -259,18 +259,20 @@ def sim_overlap(
 
     An item meets a bag through any of its related items (itself if it has
     none). Empty bags have similarity 0 to all. For ``min_sim`` > 0 one of the
-    two shares must exceed it, hence one bag's rarest items, up to the point
-    where the rest weighs no more than ``min_sim``, must meet the other bag:
-    only those rare items look for candidates.
+    two shares must exceed it, so only a bag's rarest items look for candidates,
+    see :func:`_overlap_candidates`.
     """
     clean = F.filter(F.col(list_col).cast("array<string>"), lambda x: x.isNotNull())
     bag = F.array_sort(F.coalesce(clean, F.array().cast("array<string>")))
     members = nodes.select(F.col(node).alias("node_id"), bag.alias("bag"))
     members = members.withColumn("cls", F.md5(F.to_json("bag")))
-    groups = _classes(members, "bag").filter(F.size("bag") > 0)
+    groups = members.groupBy("cls").agg(
+        F.count(F.lit(1)).alias("m"), F.first("bag").alias("bag"), F.min("node_id").alias("id")
+    ).filter(F.size("bag") > 0)
 
-    items = groups.select("cls", "m", F.size("bag").alias("total"), F.explode("bag").alias("item"))
-    items = items.groupBy("cls", "m", "total", "item").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    # A class travels as its smallest node id; it gets its key back at the end.
+    items = groups.select("id", F.size("bag").alias("total"), F.explode("bag").alias("item"))
+    items = items.groupBy("id", "total", "item").agg(F.count(F.lit(1)).cast("double").alias("w"))
     if related is None:
         items = items.withColumn("related", F.array("item"))
     else:
@@ -281,33 +283,53 @@ def sim_overlap(
             "related", F.coalesce("related", F.array("item"))
         )
     entry = F.struct("item", "w", "related")
-    bags = items.groupBy("cls", "m").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-
-    probes = items
-    if min_sim > 0:
-        frequency = items.groupBy("item").agg(F.count(F.lit(1)).alias("freq"))
-        rare_first = (
-            Window.partitionBy("cls").orderBy("freq", "item")
-            .rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        )
-        rest = F.sum("w").over(rare_first)
-        probes = items.join(frequency, "item").withColumn("_rest", rest).filter(
-            F.col("_rest") > F.col("total") * F.lit(min_sim / _SLACK)
-        )
-    wanted = probes.select(F.col("cls").alias("p"), F.explode("related").alias("item")).distinct()
-    met = wanted.join(items.select(F.col("cls").alias("q"), "item"), "item").filter("p <> q")
-    candidates = met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    entries = items.groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    bags = entries.join(groups.select("id", "cls", "m"), "id")
 
+    candidates = _overlap_candidates(items, min_sim, related is not None)
     left, right = _sides(bags, bags, ["entries"])
-    both = candidates.join(left, "a").join(right, "b")
+    both = candidates.join(left.withColumnRenamed("id", "p"), "p").join(
+        right.withColumnRenamed("id", "q"), "q")
     a, b = F.col("entries_a"), F.col("entries_b")
     sim = (_hit_share(a, b) + _hit_share(b, a)) / 2
-    found = both.withColumn("sim", sim).filter(F.col("sim") > min_sim)
+    found = _ordered(both.withColumn("sim", sim).filter(F.col("sim") > min_sim))
     own = bags.withColumn("sim", _hit_share(F.col("entries"), F.col("entries")))
     inside = _inside(own, F.col("sim")).filter(F.col("sim") > min_sim)
-    pairs = found.select("a", "b", "sim", "m_a", "m_b").unionByName(inside)
     kind = "dense" if min_sim > 0 else "sparse"
-    return Similarity(members.select("node_id", "cls"), pairs, kind, min_sim)
+    return Similarity(members.select("node_id", "cls"), found.unionByName(inside), kind, min_sim)
+
+
+def _overlap_candidates(items: DataFrame, min_sim: float, expanded: bool) -> DataFrame:
+    """(p, q), p < q: every pair in which one bag may share more than ``min_sim`` with the other.
+
+    ``items`` has (id, total, item, w, related). A bag probes with its rarest
+    items until what is left weighs no more than min_sim * total less its
+    heaviest item. Met probes plus that rest bound the share from above, so a
+    pair with one chance hit is dropped before any bag is compared, and items
+    found everywhere probe last.
+    """
+    own = items.select(F.col("id").alias("q"), "item")
+    need = F.col("total") * F.lit(min_sim / _SLACK)
+    probes = items.withColumn("_left", F.lit(0.0))
+    if min_sim > 0:
+        frequency = items.groupBy("item").agg(F.count(F.lit(1)).alias("freq"))
+        by_rarity = Window.partitionBy("id").orderBy("freq", "item")
+        after = by_rarity.rowsBetween(1, Window.unboundedFollowing)
+        probes = items.join(frequency, "item").withColumns({
+            "_after": F.coalesce(F.sum("w").over(after), F.lit(0.0)),
+            "_heaviest": F.max("w").over(Window.partitionBy("id")),
+        }).filter(F.col("_after") + F.col("w") > need - F.col("_heaviest"))
+        probes = probes.withColumn("_left", F.min("_after").over(Window.partitionBy("id")))
+    reach = probes.select(
+        F.col("id").alias("p"), "total", "_left", "w", F.col("item").alias("probe"),
+        F.explode("related").alias("item"),
+    )
+    hits = reach.join(own, "item").filter("p <> q")
+    if expanded:  # a probe that meets a bag through several related items counts once
+        hits = hits.groupBy("p", "q", "total", "_left", "probe").agg(F.max("w").alias("w"))
+    met = hits.groupBy("p", "q", "total", "_left").agg(F.sum("w").alias("_met"))
+    kept = met.filter(F.col("_met") + F.col("_left") > need)
+    return kept.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
 
 
 # --- vectors ----------------------------------------------------------------
