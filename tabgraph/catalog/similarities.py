@@ -445,10 +445,14 @@ def g7_degree(spark, sf_dir):
 @query("t16_t17_g8_degree_features", f"""
 with {COUNT_EDGES}, d as (select node_id, count(dst) as degree from nodes left join edges on src = node_id group by 1),
 b as (select node_id, least(floor(log10(degree + 1)), ceil(log10((select count(*) from nodes)))) as bin from d)
-select node_id, {', '.join(f'(bin = {i})::int::double as deg_bin_{i}' for i in range(5))} from b""")
+select node_id, bin::double as bin_no, 1.0::double as bins_set from b""")
 def t16_t17_g8_degree_features(spark, sf_dir):
     nodes, graph = _count_graph(spark, sf_dir)
-    return G.degree_features(graph, nodes.count())
+    hot = G.degree_features(graph, nodes.count())
+    flags = [c for c in hot.columns if c.startswith("deg_bin_")]
+    return hot.select(
+        "node_id", sum(F.col(c) * i for i, c in enumerate(flags)).alias("bin_no"),
+        sum(F.col(c) for c in flags).alias("bins_set"))
 
 
 MIXING = """mixing as (select x.y as y_src, z.y as y_dst, count(*) as n from edges

@@ -17,7 +17,7 @@ def minmax_scale(df: DataFrame, column: str, name: str) -> DataFrame:
     x = F.col(column).cast("double")
     span = F.col("hi") - F.col("lo")
     usable = (span > 0) & (span < F.lit(float("inf")))
-    scaled = F.when(usable & ~F.isnan(x), (x - F.col("lo")) / span)
+    scaled = F.when(usable & ~F.isnan(x), F.try_divide(x - F.col("lo"), span))
     # The range is one row.
     return df.crossJoin(F.broadcast(global_range(df, column))).withColumn(
         name, F.coalesce(scaled, F.lit(0.0))
@@ -110,5 +110,5 @@ def l2_normalize(vector: Column) -> Column:
     """Unit vector; a zero vector stays zero."""
     length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x))
     return F.transform(
-        vector, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(F.lit(0.0))
+        vector, lambda x: F.coalesce(F.try_divide(x.cast("double"), length), F.lit(0.0))
     )

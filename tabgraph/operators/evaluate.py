@@ -15,7 +15,7 @@ NAN = float("nan")
 
 
 def _ratio(top: Column, bottom: Column) -> Column:
-    return F.when(bottom != 0, top / bottom).otherwise(F.lit(0.0))
+    return F.coalesce(F.try_divide(top, bottom), F.lit(0.0))
 
 
 def accuracy(scored: DataFrame, y: str = "y", pred: str = "pred", by: str = "split") -> DataFrame:
@@ -90,7 +90,7 @@ def auroc(scored: DataFrame, y: str = "y", p: str = "p", by: list[str] = ("split
     )
     wins = F.col("_won") - F.col("_before") * F.col("_P")
     total = F.col("_P") * F.col("_N")
-    return groups.select(*by, F.when(total > 0, wins / total).otherwise(F.lit(NAN)).alias("auroc"))
+    return groups.select(*by, F.coalesce(F.try_divide(wins, total), F.lit(NAN)).alias("auroc"))
 
 
 def auroc_ovr_macro(scored: DataFrame, y: str = "y", probs: str = "probs", by: str = "split") -> DataFrame:

@@ -97,7 +97,7 @@ def normalize_pairs(similarity: Similarity, diagonal: tuple[float, float] = (1.0
         F.least(*low).alias("_lo"), F.greatest(F.max(known), F.lit(float(diagonal[1]))).alias("_hi")
     )
     wide = F.col("_hi") > F.col("_lo")
-    scaled = F.when(wide, (F.col("sim") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.col("sim"))
+    scaled = F.when(wide, F.try_divide(F.col("sim") - F.col("_lo"), F.col("_hi") - F.col("_lo"))).otherwise(F.col("sim"))
     # The range is one row.
     pairs = similarity.pairs.crossJoin(F.broadcast(span)).withColumn("sim", scaled).drop("_lo", "_hi")
     return similarity.with_pairs(pairs)
@@ -191,7 +191,7 @@ def _joint_pairs(similarities: dict[str, Similarity]) -> tuple[DataFrame, DataFr
 
 def density_percent(n_nodes: Column, n_edges: Column) -> Column:
     """Undirected edges as a percentage of all node pairs."""
-    return n_edges / (n_nodes * (n_nodes - 1) / 2) * 100
+    return F.try_divide(n_edges, n_nodes * (n_nodes - 1) / 2) * 100
 
 
 def similarity_histogram(similarity: Similarity) -> DataFrame:
@@ -274,6 +274,15 @@ def _widest_gap(threshold: float) -> float:
     return gap
 
 
+def _reach(v: Column, gap: float) -> Column:
+    """Largest number w with w - v <= gap in double arithmetic, as far as rounding of v + gap blurs it."""
+    x = v + F.lit(gap)
+    ulp = F.abs(x) * F.lit(1.1 * 2.0**-53)
+    half = F.lit(float(np.spacing(gap)) * 0.5 if np.isfinite(gap) else 0.0)
+    near = F.array(x, x + ulp, x + ulp * 2, x - ulp, x - ulp * 2, x + half)
+    return F.coalesce(F.array_max(F.filter(near, lambda w: w - v <= F.lit(gap))), x)
+
+
 def pairs_above(values: DataFrame, column: str, thresholds: list[float]) -> list[int]:
     """For 1 / (1 + |difference|): the number of node pairs above each threshold, pairs unseen.
 
@@ -283,7 +292,7 @@ def pairs_above(values: DataFrame, column: str, thresholds: list[float]) -> list
     groups = values.groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("m"))
     gaps = [_widest_gap(t) for t in thresholds]
     asked = F.array(*[
-        F.struct(F.lit(i).alias("q"), (F.col("v") + F.lit(g)).alias("x")) for i, g in enumerate(gaps)
+        F.struct(F.lit(i).alias("q"), _reach(F.col("v"), g).alias("x")) for i, g in enumerate(gaps)
     ])
     own = groups.select(F.col("v").alias("x"), F.lit(-1).alias("q"), F.col("m").alias("add"), "m")
     questions = groups.select("m", F.explode(asked).alias("a")).select(

@@ -179,8 +179,8 @@ def sim_numeric(nodes: DataFrame, column: str, min_sim: float, node: str = "node
 
 def wasserstein(a: Column, b: Column) -> Column:
     """Earth mover's distance of two bags of numbers, the area between their CDFs."""
-    up = F.transform(a, lambda x: F.struct(x.cast("double").alias("x"), (F.lit(1.0) / F.size(a)).alias("w")))
-    down = F.transform(b, lambda x: F.struct(x.cast("double").alias("x"), (F.lit(-1.0) / F.size(b)).alias("w")))
+    up = F.transform(a, lambda x: F.struct(x.cast("double").alias("x"), F.try_divide(F.lit(1.0), F.size(a)).alias("w")))
+    down = F.transform(b, lambda x: F.struct(x.cast("double").alias("x"), F.try_divide(F.lit(-1.0), F.size(b)).alias("w")))
     start = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("gap"), F.lit(0.0).alias("area"))
 
     def sweep(state, step):
@@ -205,7 +205,7 @@ def sim_distribution(nodes: DataFrame, list_col: str, min_sim: float, node: str
     members = members.withColumn("cls", F.md5(F.to_json("bag")))
     groups = _classes(members, "bag")
     total = F.aggregate("bag", F.lit(0.0), lambda acc, x: acc + x)
-    filled = groups.filter(F.size("bag") > 0).withColumn("mean", total / F.size("bag"))
+    filled = groups.filter(F.size("bag") > 0).withColumn("mean", F.try_divide(total, F.size("bag")))
     near = _band_join(filled, "mean", radius_above(min_sim), ["bag"])
     sim = F.lit(1.0) / (F.lit(1.0) + wasserstein(F.col("bag_a"), F.col("bag_b")))
     near = _ordered(near.withColumn("sim", sim).filter(F.col("sim") > min_sim))
@@ -248,7 +248,7 @@ def _hit_share(own: Column, other: Column) -> Column:
     items = F.transform(other, lambda e: e["item"])
     total = F.aggregate(own, F.lit(0.0), lambda acc, e: acc + e["w"])
     met = F.filter(own, lambda e: F.arrays_overlap(e["related"], items))
-    return F.aggregate(met, F.lit(0.0), lambda acc, e: acc + e["w"]) / total
+    return F.try_divide(F.aggregate(met, F.lit(0.0), lambda acc, e: acc + e["w"]), total)
 
 
 def sim_overlap(

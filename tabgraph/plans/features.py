@@ -82,4 +82,5 @@ def customer_features(
         "days_since_first_review": since_first,
         "review_frequency": F.col("num_reviews") / (since_first / F.lit(30.0) + F.lit(1e-6)),
     }).select(*TRAIN_KEY, *FEATURES)
-    return fill_missing(attach(train, timed, TRAIN_KEY))
+    framed = attach(train, timed, TRAIN_KEY).select(*train.columns, *FEATURES)
+    return fill_missing(framed)
