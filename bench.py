@@ -65,9 +65,10 @@ def b5_overlap_similarity(spark):
     items = lists.window_items(
         src.train(spark, SF_DIR, with_id=True), src.fact(spark, SF_DIR), "customer_id",
         ["product_id"], "timestamp", "review_time", "-6mo")
-    bags = items.groupBy("node_id").agg(F.collect_list("product_id").alias("items"))
-    nodes = sampling.sample_n(bags, 5000, ["node_id"])
-    return rows_of(S.sim_overlap(nodes, "items", min_sim=0.1).pairs)
+    nodes = materialize(sampling.sample_n(items.select("node_id").distinct(), 5000, ["node_id"]))
+    kept = items.join(nodes.select("node_id"), "node_id", "left_semi")
+    return rows_of(S.sim_overlap_items(
+        nodes, kept.withColumnRenamed("product_id", "item"), min_sim=0.1).pairs)
 
 
 def b6_cosine_threshold(spark):

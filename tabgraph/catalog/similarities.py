@@ -36,14 +36,14 @@ CUSTOMERS = """nodes as (
   from customer)"""
 
 
-def price_lists(spark, sf_dir):
-    """node_id and the order values of every customer, in 100,000s."""
-    orders = src.table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("node_id"), (F.col("o_totalprice") / 100000).alias("price"))
-    # Equal values of one customer combine before the cell is built.
-    cells = orders.groupBy("node_id").agg(F.collect_list("price").alias("prices"))
-    customers = src.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node_id"))
-    return customers.join(cells, "node_id", "left")
+def customers_only(spark, sf_dir):
+    return src.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node_id"))
+
+
+def price_items(spark, sf_dir):
+    """(node_id, item): the order values of every customer, in 100,000s."""
+    return src.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("node_id"), (F.col("o_totalprice") / 100000).alias("item"))
 
 
 def order_baskets(spark, sf_dir):
@@ -54,10 +54,14 @@ def order_baskets(spark, sf_dir):
         F.array_sort(F.collect_set("p_type")).alias("items"))
 
 
-def product_bags(spark, sf_dir):
-    """node_id and the bag of products every order holds."""
-    return src.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("node_id")).agg(
-        F.collect_list("l_partkey").alias("items"))
+def order_items(spark, sf_dir):
+    """(node_id, item): the products every order holds."""
+    return src.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("node_id"), F.col("l_partkey").alias("item"))
+
+
+def orders_with_items(spark, sf_dir):
+    return order_items(spark, sf_dir).select("node_id").distinct()
 
 
 def product_map(spark, sf_dir):
@@ -126,7 +130,8 @@ dist as (select a, b, sum(abs(gap) * coalesce(nxt - x, 0)) as d from swept group
 select a as src, b as dst, round(1 / (1 + d), 5) as sim from dist where 1 / (1 + d) > 0.8
 union all select x.node_id, y.node_id, 1.0 from e x join e y on x.node_id < y.node_id""")
 def x4_x5_sim_distribution(spark, sf_dir):
-    pairs = sim.sim_distribution(price_lists(spark, sf_dir), "prices", 0.8).between_nodes()
+    pairs = sim.sim_distribution_items(
+        customers_only(spark, sf_dir), price_items(spark, sf_dir), 0.8).between_nodes()
     return pairs.withColumn("sim", F.round("sim", 5))
 
 
@@ -211,10 +216,12 @@ def x10_rule_map(spark, sf_dir):
 
 
 PRODUCT_BAGS = """
-bags as (select l_orderkey as node_id, list_sort(list(l_partkey::varchar)) as bag from lineitem group by 1),
-g as (select md5(to_json(bag)) as cls, bag, count(*) as m from bags group by bag),
-it as (select cls, m, len(bag) as total, item, count(*)::double as w
-  from (select cls, m, bag, unnest(bag) as item from g) group by 1, 2, 3, 4)"""
+counted as (select l_orderkey as node_id, l_partkey::varchar as item, count(*) as w from lineitem group by 1, 2),
+bags as (select node_id, sum(w) as total, md5('[' || string_agg('{"x":"' || item || '","n":' || w || '}', ','
+    order by item) || ']') as cls from counted group by node_id),
+g as (select cls, count(*) as m, min(node_id) as id from bags group by cls),
+it as (select g.cls, m, total, item, w::double as w from g join bags b on b.node_id = g.id
+  join counted c on c.node_id = g.id)"""
 
 
 @query("x11_sim_overlap", f"""
@@ -225,7 +232,8 @@ select a, b, round(sim, 6) as sim, x.m as m_a, y.m as m_b from joint join g x on
   join g y on y.cls = b where sim > 0.3
 union all select cls, cls, 1.0, m, m from g where m > 1""")
 def x11_sim_overlap(spark, sf_dir):
-    return classes_of(sim.sim_overlap(product_bags(spark, sf_dir), "items", min_sim=0.3))
+    return classes_of(sim.sim_overlap_items(
+        orders_with_items(spark, sf_dir), order_items(spark, sf_dir), min_sim=0.3))
 
 
 @query("x11_sim_overlap_map", f"""
@@ -239,8 +247,8 @@ select a, b, round(sim, 6) as sim, x.m as m_a, y.m as m_b from joint join g x on
   join g y on y.cls = b where sim > 0.4
 union all select cls, cls, 1.0, m, m from g where m > 1""")
 def x11_sim_overlap_map(spark, sf_dir):
-    return classes_of(sim.sim_overlap(
-        product_bags(spark, sf_dir), "items", product_map(spark, sf_dir), min_sim=0.4))
+    return classes_of(sim.sim_overlap_items(
+        orders_with_items(spark, sf_dir), order_items(spark, sf_dir), product_map(spark, sf_dir), 0.4))
 
 
 # --- text, vectors, dates ---------------------------------------------------

@@ -37,6 +37,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def with_scalars(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Adds the columns of a one-row frame to every row, as a scalar subquery (no join)."""
+    names = row.columns
+    packed = row.select(F.struct(*names).alias("_one")).scalar()
+    return df.withColumn("_one", packed).select(*df.columns, *[F.col(f"_one.{n}").alias(n) for n in names])
+
+
 def _range_placed(df: DataFrame, order: list) -> DataFrame:
     """Rows range-partitioned and sorted by ``order``, with partition no and position.
 
@@ -111,7 +118,7 @@ def hash_smallest(df: DataFrame, digest: Column, tie: list[str], quota, by: list
     before = Window.partitionBy(*by).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     if isinstance(quota, DataFrame):
-        starts = starts.join(quota, by) if by else starts.crossJoin(F.broadcast(quota))
+        starts = starts.join(quota, by) if by else with_scalars(starts, quota)
     else:
         starts = starts.withColumn("quota", F.lit(int(quota)))
     starts = starts.filter(F.col("_start") < F.col("quota")).drop("_n")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabgraph.distributed import with_scalars
+
 #: Standard deviations below this share of the mean are rounding noise of a constant.
 _CONSTANT = 1e-13
 
@@ -18,8 +20,7 @@ def minmax_scale(df: DataFrame, column: str, name: str) -> DataFrame:
     span = F.col("hi") - F.col("lo")
     usable = (span > 0) & (span < F.lit(float("inf")))
     scaled = F.when(usable & ~F.isnan(x), F.try_divide(x - F.col("lo"), span))
-    # The range is one row.
-    return df.crossJoin(F.broadcast(global_range(df, column))).withColumn(
+    return with_scalars(df, global_range(df, column)).withColumn(
         name, F.coalesce(scaled, F.lit(0.0))
     ).drop("lo", "hi")
 
@@ -42,7 +43,7 @@ def standard_scale(
         unit = F.when(std > F.abs(mean) * _CONSTANT, std).otherwise(F.lit(1.0))
         scaled[f"{c}{suffix}"] = (F.col(c) - mean) / unit
     drop = [f"_{k}_{c}" for c in columns for k in "ms"]
-    return df.crossJoin(F.broadcast(stats)).withColumns(scaled).drop(*drop)
+    return with_scalars(df, stats).withColumns(scaled).drop(*drop)
 
 
 def log_degree_bin(degree: Column, n_nodes: Column) -> Column:

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabgraph.distributed import materialize, running_totals
+from tabgraph.distributed import materialize, running_totals, with_scalars
 
 NAN = float("nan")
 
@@ -157,7 +157,7 @@ def evaluate_splits(scored: DataFrame, threshold: float | None = None) -> DataFr
         chosen = best_threshold(counts.filter("split = 'val'"), weight="n").select(F.col("threshold").alias("_t"))
     else:
         chosen = counts.sparkSession.range(1).select(F.lit(float(threshold)).alias("_t"))
-    judged = counts.crossJoin(F.broadcast(chosen))  # one row
+    judged = with_scalars(counts, chosen)
     pred = F.col("p") > F.col("_t")
 
     def total(condition: Column) -> Column:

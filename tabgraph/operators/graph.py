@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabgraph.distributed import running_totals
+from tabgraph.distributed import materialize, running_totals, with_scalars
 from tabgraph.functions.numbers import log_degree_bin, one_hot, standard_scale
 from tabgraph.operators.similarity import Similarity, expand_pairs
 
@@ -45,6 +45,10 @@ class Graph:
         ways = F.when(F.col("a") == F.col("b"), F.array(forth)).otherwise(F.array(forth, back))
         return Graph(similarity.members, kept.select(F.inline(ways)))
 
+    def materialized(self) -> "Graph":
+        """Links computed once, for consumers that read them several times."""
+        return Graph(self.members, materialize(self.links))
+
     def sizes(self) -> DataFrame:
         return self.members.groupBy("cls").agg(F.count(F.lit(1)).alias("m"))
 
@@ -98,8 +102,7 @@ def normalize_pairs(similarity: Similarity, diagonal: tuple[float, float] = (1.0
     )
     wide = F.col("_hi") > F.col("_lo")
     scaled = F.when(wide, F.try_divide(F.col("sim") - F.col("_lo"), F.col("_hi") - F.col("_lo"))).otherwise(F.col("sim"))
-    # The range is one row.
-    pairs = similarity.pairs.crossJoin(F.broadcast(span)).withColumn("sim", scaled).drop("_lo", "_hi")
+    pairs = with_scalars(similarity.pairs, span).withColumn("sim", scaled).drop("_lo", "_hi")
     return similarity.with_pairs(pairs)
 
 
@@ -289,7 +292,15 @@ def pairs_above(values: DataFrame, column: str, thresholds: list[float]) -> list
     Every value v asks how many values lie up to v + gap; one distributed running
     total over values and questions answers all of them. n log n for any density.
     """
-    groups = values.groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("m"))
+    return _pairs_above(_value_counts(values, column), thresholds)
+
+
+def _value_counts(values: DataFrame, column: str) -> DataFrame:
+    """(v, m): distinct values and their multiplicities."""
+    return values.groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("m"))
+
+
+def _pairs_above(groups: DataFrame, thresholds: list[float]) -> list[int]:
     gaps = [_widest_gap(t) for t in thresholds]
     asked = F.array(*[
         F.struct(F.lit(i).alias("q"), _reach(F.col("v"), g).alias("x")) for i, g in enumerate(gaps)
@@ -318,7 +329,8 @@ def threshold_for_density_numeric(values: DataFrame, column: str, target: float,
 
     Each pass counts all the middles the next ``levels`` bisection steps could visit.
     """
-    n_nodes = values.count()
+    groups = materialize(_value_counts(values, column))
+    n_nodes = groups.agg(F.sum("m")).first()[0]
     known: dict[int, int] = {}
 
     def look_ahead(k: int) -> None:
@@ -327,7 +339,7 @@ def threshold_for_density_numeric(values: DataFrame, column: str, target: float,
         for _ in range(levels):
             wanted += [m for m, _ in spans]
             spans = [(m + d * (s // 2), s // 2) for m, s in spans for d in (-1, 1) if s >= 2]
-        counts = pairs_above(values, column, [m / SCALE for m in wanted])
+        counts = _pairs_above(groups, [m / SCALE for m in wanted])
         known.update(zip(wanted, counts))
 
     def count_above(k: int) -> int:
@@ -376,8 +388,7 @@ def edge_count(graph: Graph) -> DataFrame:
     ends = _class_degrees(graph).join(graph.sizes(), "cls")
     edges = ends.agg(F.coalesce(F.sum(F.col("deg") * F.col("m")), F.lit(0)).alias("_ends"))
     nodes = graph.members.agg(F.count(F.lit(1)).alias("n_nodes"))
-    # Two single rows.
-    return nodes.crossJoin(edges).select("n_nodes", F.shiftright("_ends", 1).alias("n_edges"))
+    return with_scalars(nodes, edges).select("n_nodes", F.shiftright("_ends", 1).alias("n_edges"))
 
 
 def density(graph: Graph) -> DataFrame:
@@ -417,7 +428,7 @@ def assortativity(mixing: DataFrame) -> DataFrame:
         F.struct(F.col("y_dst").alias("i"), F.col("y_src").alias("j"), F.col("n").alias("n")),
     ))).groupBy("i", "j").agg(F.sum("n").cast("double").alias("n"))
     total = ways.agg(F.sum("n").alias("_t"))
-    e = ways.crossJoin(F.broadcast(total)).withColumn("e", F.col("n") / F.col("_t"))
+    e = with_scalars(ways, total).withColumn("e", F.col("n") / F.col("_t"))
     rows = e.groupBy("i").agg(F.sum("e").alias("a"), F.sum(F.when(F.col("i") == F.col("j"), F.col("e")).otherwise(0.0)).alias("d"))
     cols = e.groupBy(F.col("j").alias("i")).agg(F.sum("e").alias("b"))
     sums = rows.join(cols, "i").agg(F.sum("d").alias("d"), F.sum(F.col("a") * F.col("b")).alias("x"))
@@ -427,8 +438,9 @@ def assortativity(mixing: DataFrame) -> DataFrame:
 def graph_summary(graph: Graph, labels: DataFrame, label: str = "y", node: str = "node_id",
                   **tags) -> DataFrame:
     """One row: size, density, assortativity, homophily, and constant tags."""
-    mixing = mixing_counts(graph, labels, label, node)
-    row = density(graph).crossJoin(assortativity(mixing)).crossJoin(homophily(mixing))
+    graph = graph.materialized()
+    mixing = materialize(mixing_counts(graph, labels, label, node))
+    row = with_scalars(with_scalars(density(graph), assortativity(mixing)), homophily(mixing))
     return row.withColumns({k: F.lit(v) for k, v in tags.items()}) if tags else row
 
 

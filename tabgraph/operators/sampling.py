@@ -11,7 +11,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabgraph.distributed import hash_rank, hash_smallest, ordered_index, seeded_hash
+from tabgraph.distributed import hash_rank, hash_smallest, ordered_index, seeded_hash, with_scalars
 from tabgraph.operators.rows import require_columns, require_ratios
 
 
@@ -71,8 +71,7 @@ def _split_by_rank(df: DataFrame, rank: str, train: float, val: float) -> DataFr
     size = df.agg(F.count(F.lit(1)).alias("_n"))
     first = (F.col("_n") * F.lit(train)).cast("long")
     second = first + (F.col("_n") * F.lit(val)).cast("long")
-    # `size` is a single row.
-    return df.crossJoin(F.broadcast(size)).withColumn(
+    return with_scalars(df, size).withColumn(
         "split", _named_split(F.col(rank), first, second)
     ).drop("_n")
 

@@ -179,8 +179,21 @@ def sim_numeric(nodes: DataFrame, column: str, min_sim: float, node: str = "node
 
 def wasserstein(a: Column, b: Column) -> Column:
     """Earth mover's distance of two bags of numbers, the area between their CDFs."""
-    up = F.transform(a, lambda x: F.struct(x.cast("double").alias("x"), F.try_divide(F.lit(1.0), F.size(a)).alias("w")))
-    down = F.transform(b, lambda x: F.struct(x.cast("double").alias("x"), F.try_divide(F.lit(-1.0), F.size(b)).alias("w")))
+    def counted(bag):
+        return F.transform(bag, lambda x: F.struct(x.cast("double").alias("x"), F.lit(1.0).alias("n")))
+
+    return _cdf_area(counted(a), counted(b))
+
+
+def _cdf_area(a: Column, b: Column) -> Column:
+    """X4 on bags given as entries (x, n)."""
+    def total(bag):
+        return F.aggregate(bag, F.lit(0.0), lambda acc, e: acc + e["n"])
+
+    def steps(bag, sign):
+        return F.transform(bag, lambda e: F.struct(
+            e["x"].alias("x"), F.try_divide(e["n"] * F.lit(sign), total(bag)).alias("w")))
+
     start = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("gap"), F.lit(0.0).alias("area"))
 
     def sweep(state, step):
@@ -189,25 +202,54 @@ def wasserstein(a: Column, b: Column) -> Column:
             (state["area"] + F.abs(state["gap"]) * (step["x"] - state["x"])).alias("area"),
         )
 
-    return F.aggregate(F.array_sort(F.concat(up, down)), start, sweep, lambda s: s["area"])
+    merged = F.array_sort(F.concat(steps(a, 1.0), steps(b, -1.0)))
+    return F.aggregate(merged, start, sweep, lambda s: s["area"])
+
+
+def _bags(nodes: DataFrame, items: DataFrame, item_type: str, node: str) -> DataFrame:
+    """(node_id, entries, cls): each node's distinct items with their counts, and its class key.
+
+    Rows combine map-side per (node, item) before they meet, so a cell grows
+    with the distinct items of a node, not with its rows.
+    """
+    counted = items.select(F.col(node).alias("node_id"), F.col("item").cast(item_type).alias("x")).filter(
+        F.col("x").isNotNull()).groupBy("node_id", "x").agg(F.count(F.lit(1)).alias("n"))
+    cells = counted.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("x", "n"))).alias("entries"))
+    empty = F.array().cast(f"array<struct<x:{item_type},n:bigint>>")
+    return nodes.select(F.col(node).alias("node_id")).join(cells, "node_id", "left").select(
+        "node_id", F.coalesce("entries", empty).alias("entries")
+    ).withColumn("cls", F.md5(F.to_json("entries")))
+
+
+def _exploded(nodes: DataFrame, list_col: str, node: str) -> DataFrame:
+    return nodes.select(node, F.explode(list_col).alias("item"))
 
 
 def sim_distribution(nodes: DataFrame, list_col: str, min_sim: float, node: str = "node_id") -> Similarity:
-    """1 / (1 + X4) between bags; two empty bags 1, one empty 0; nulls and NaN dropped first.
+    """X5 on list cells, see :func:`sim_distribution_items`."""
+    return sim_distribution_items(nodes, _exploded(nodes, list_col, node), min_sim, node)
+
 
-    Bags further apart in mean than the allowed distance cannot be similar
+def sim_distribution_items(
+    nodes: DataFrame, items: DataFrame, min_sim: float, node: str = "node_id"
+) -> Similarity:
+    """1 / (1 + X4) between the bags of numbers in ``items`` (node, item).
+
+    Two empty bags 1, one empty 0; nulls and NaN dropped first. Bags further
+    apart in mean than the allowed distance cannot be similar
     (Kantorovich-Rubinstein), so candidates come from a band join on means.
     """
-    bag = F.array_sort(F.filter(
-        F.transform(list_col, lambda x: x.cast("double")), lambda x: x.isNotNull() & ~F.isnan(x)
-    ))
-    members = nodes.select(F.col(node).alias("node_id"), F.coalesce(bag, F.array().cast("array<double>")).alias("bag"))
-    members = members.withColumn("cls", F.md5(F.to_json("bag")))
-    groups = _classes(members, "bag")
-    total = F.aggregate("bag", F.lit(0.0), lambda acc, x: acc + x)
-    filled = groups.filter(F.size("bag") > 0).withColumn("mean", F.try_divide(total, F.size("bag")))
-    near = _band_join(filled, "mean", radius_above(min_sim), ["bag"])
-    sim = F.lit(1.0) / (F.lit(1.0) + wasserstein(F.col("bag_a"), F.col("bag_b")))
+    clean = items.filter(~F.isnan(F.col("item").cast("double")))
+    members = _bags(nodes, clean, "double", node)
+    groups = _classes(members, "entries")
+
+    def total(of):
+        return F.aggregate("entries", F.lit(0.0), lambda acc, e: acc + of(e))
+
+    mean = F.try_divide(total(lambda e: e["x"] * e["n"]), total(lambda e: e["n"]))
+    filled = groups.filter(F.size("entries") > 0).withColumn("mean", mean)
+    near = _band_join(filled, "mean", radius_above(min_sim), ["entries"])
+    sim = F.lit(1.0) / (F.lit(1.0) + _cdf_area(F.col("entries_a"), F.col("entries_b")))
     near = _ordered(near.withColumn("sim", sim).filter(F.col("sim") > min_sim))
     pairs = near.unionByName(_inside(groups, F.lit(1.0)))
     return Similarity(members.select("node_id", "cls"), pairs, "dense", min_sim)
@@ -254,25 +296,31 @@ def _hit_share(own: Column, other: Column) -> Column:
 def sim_overlap(
     nodes: DataFrame, list_col: str, related: DataFrame | None = None, min_sim: float = 0.0,
     node: str = "node_id",
+) -> Similarity:
+    """X11 on list cells, see :func:`sim_overlap_items`."""
+    return sim_overlap_items(nodes, _exploded(nodes, list_col, node), related, min_sim, node)
+
+
+def sim_overlap_items(
+    nodes: DataFrame, items: DataFrame, related: DataFrame | None = None, min_sim: float = 0.0,
+    node: str = "node_id",
 ) -> Similarity:
     """X11: mean of the two shares of a bag, by multiplicity, that meet the other bag.
 
-    An item meets a bag through any of its related items (itself if it has
-    none). Empty bags have similarity 0 to all. For ``min_sim`` > 0 one of the
-    two shares must exceed it, so only a bag's rarest items look for candidates,
-    see :func:`_overlap_candidates`.
+    ``items`` has (node, item). An item meets a bag through any of its related
+    items (itself if it has none). Empty bags have similarity 0 to all. For
+    ``min_sim`` > 0 one of the two shares must exceed it, so only a bag's rarest
+    items look for candidates, see :func:`_overlap_candidates`.
     """
-    clean = F.filter(F.col(list_col).cast("array<string>"), lambda x: x.isNotNull())
-    bag = F.array_sort(F.coalesce(clean, F.array().cast("array<string>")))
-    members = nodes.select(F.col(node).alias("node_id"), bag.alias("bag"))
-    members = members.withColumn("cls", F.md5(F.to_json("bag")))
+    members = _bags(nodes, items, "string", node)
     groups = members.groupBy("cls").agg(
-        F.count(F.lit(1)).alias("m"), F.first("bag").alias("bag"), F.min("node_id").alias("id")
+        F.count(F.lit(1)).alias("m"), F.first("entries").alias("bag"), F.min("node_id").alias("id")
     ).filter(F.size("bag") > 0)
 
     # A class travels as its smallest node id; it gets its key back at the end.
-    items = groups.select("id", F.size("bag").alias("total"), F.explode("bag").alias("item"))
-    items = items.groupBy("id", "total", "item").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    total = F.aggregate("bag", F.lit(0.0), lambda acc, e: acc + e["n"])
+    items = groups.select("id", total.alias("total"), F.explode("bag").alias("e")).select(
+        "id", "total", F.col("e.x").alias("item"), F.col("e.n").cast("double").alias("w"))
     if related is None:
         items = items.withColumn("related", F.array("item"))
     else:

@@ -17,9 +17,10 @@ def plan(df):
 
 @pytest.mark.parametrize("build", [
     lambda s: S.sim_count(cat.customer_counts(s, SF_DIR), "n_orders", 0.3).pairs,
-    lambda s: S.sim_distribution(cat.price_lists(s, SF_DIR), "prices", 0.8).pairs,
+    lambda s: S.sim_distribution_items(cat.customers_only(s, SF_DIR), cat.price_items(s, SF_DIR), 0.8).pairs,
     lambda s: S.sim_exact(cat.customer_counts(s, SF_DIR), "segment").pairs,
-    lambda s: S.sim_overlap(cat.product_bags(s, SF_DIR), "items", min_sim=0.3).pairs,
+    lambda s: S.sim_overlap_items(cat.orders_with_items(s, SF_DIR), cat.order_items(s, SF_DIR), min_sim=0.3).pairs,
+    lambda s: S.sim_numeric(cat.customer_counts(s, SF_DIR), "acctbal", 0.999).pairs,
     lambda s: S.sim_cosine(cat.vectors(s, SF_DIR), "embedding", 0.3).pairs,
     lambda s: customer_features(src.train(s, SF_DIR), src.fact(s, SF_DIR), src.product(s, SF_DIR)),
 ])
