@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabgraph.llm import chat, secrets
+from tabgraph.llm import chat, minmax, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,8 @@ from docs d left join kept k on d.doc_id = k.doc_id group by d.doc_id
 
 
 ORACLES["op9_secret_scan"] = _secret_oracle()
+
+
+@_query
+def op3_near_duplicates(spark, sf_dir):
+    return minmax.near_duplicates(_read(spark, sf_dir, "documents"), words=2)
