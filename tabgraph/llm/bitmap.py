@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,3 +26,13 @@ def has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """For each 64-bit hash, whether its bit is set."""
     slot = (hashes.view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)
     return (bits[slot >> 6] >> (slot & 63)) & 1 == 1
+
+
+def thinned(df: DataFrame, hashed: str, bits: np.ndarray, inverse: bool = False) -> DataFrame:
+    """The rows whose hash has its bit set, or with ``inverse`` those that surely lack it."""
+
+    @F.pandas_udf("boolean")
+    def held(hashes: pd.Series) -> pd.Series:
+        return pd.Series(has(bits, hashes.to_numpy()) != inverse)
+
+    return df.filter(held(hashed))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabgraph.llm import chat, minmax, secrets
+from tabgraph.llm import chat, minmax, secrets, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,3 +94,8 @@ ORACLES["op9_secret_scan"] = _secret_oracle()
 @_query
 def op3_near_duplicates(spark, sf_dir):
     return minmax.near_duplicates(_read(spark, sf_dir, "documents"), words=2)
+
+
+@_query
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.without_repeats(_read(spark, sf_dir, "documents")).drop("kept")
