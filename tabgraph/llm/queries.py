@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabgraph.llm import chat, minmax, secrets, suffix_dedup
+from tabgraph.llm import chat, langid, minmax, quality, secrets, spm, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,3 +99,25 @@ def op3_near_duplicates(spark, sf_dir):
 @_query
 def op1_suffix_dedup(spark, sf_dir):
     return suffix_dedup.without_repeats(_read(spark, sf_dir, "documents")).drop("kept")
+
+
+@_query
+def op8_piece_encoding(spark, sf_dir):
+    return spm.encode(_read(spark, sf_dir, "documents"))
+
+
+@_query
+def op2_language_id(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select(
+        "doc_id", "text", "lang",
+        (F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2).alias("held_out"))
+    languages, probability = langid.train(docs.filter("not held_out"))
+    predicted = langid.predict(docs, languages, probability)
+    held = (F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2)
+    return predicted.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op7_quality_classifier(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, _read(spark, sf_dir, "labels")))
