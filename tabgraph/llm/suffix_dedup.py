@@ -40,7 +40,7 @@ from tabgraph.llm.bytescan import Chunk, chunks, mix, powers
 LENGTH, GRAM = 200, 48
 WINDOW = LENGTH - GRAM + 1
 #: Long texts are anchored in pieces of this many windows.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _POSITION = np.uint64((1 << 24) - 1)
 _TOKEN = 8
 
@@ -108,7 +108,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts as (gram, context, copies, back, near, right, left); ``left`` runs backwards."""
-    for batch in batches:
+    for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
         rows = batch.to_pydict()
         out = {name: [] for name in ("gram", "context", "copies", "back", "near", "right", "left")}
         for text, wanted in zip(rows["text"], rows["wanted"]):
@@ -226,7 +226,7 @@ def _windows(rights: list, lefts: list, back: np.ndarray, near: np.ndarray):
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(at, 128) for b in batches for at in range(0, b.num_rows, 128)):
         columns = batch.to_pydict()
         removed, spans, digests, kept = [], [], [], []
         for text, starts in zip(columns["text"], columns["spans"]):
@@ -289,8 +289,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         "key", F.xxhash64("doc_id", "text"))
     spans = materialize(repeated_spans(rows.select("key", "text")).groupBy("key").agg(F.collect_list("span").alias("spans")))
     touched = bitmap(spans, "key")
-    clean = thinned(rows, "key", touched, inverse=True).select("doc_id", "text", F.array().cast("array<long>").alias("spans"))
-    cut = thinned(rows, "key", touched).join(spans, "key", "left").select("doc_id", "text", "spans")
+    none = F.lit(0).cast("long")
+    clean = thinned(rows, "key", touched, inverse=True).select(
+        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"),
+        F.sha2("text", 256).alias("kept_sha256"), F.col("text").alias("kept"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return clean.union(cut).mapInArrow(
+    cut = thinned(rows, "key", touched).join(spans, "key", "left").select("doc_id", "text", "spans").mapInArrow(
         _removed, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return clean.union(cut)
