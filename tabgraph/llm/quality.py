@@ -30,24 +30,30 @@ BUCKETS = 1 << 18
 GRADES = 3
 KEEP = 0.5
 #: Words in fewer training documents than this carry no weight.
-SEEN_IN = 4
-STEPS, RATE, SHRINK = 150, 0.05, 2e-4
+SEEN_IN = 8
+STEPS, RATE, SHRINK = 200, 0.05, 1e-3
+#: Bytes of a word's beginning that are features beside the word.
+BEGINNINGS = (4, 5)
 SHAPES = 6
 
 
 def features(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct word buckets of each text, their offsets, and the shape features (texts x SHAPES)."""
+    """Distinct buckets of words and their beginnings in each text, their offsets, and the shape features (texts x SHAPES)."""
     data = LOWER[chunk.data]
     starts, ends, of_text = chunk.words(data)
-    hashes = span_hashes(chunk.prefix(data), starts, ends)
-    bucket = (hashes >> np.uint64(46)).astype(np.int64)
+    prefix = chunk.prefix(data)
+    hashes = span_hashes(prefix, starts, ends)
     text = np.repeat(np.arange(chunk.n), np.diff(of_text))
-    pair = np.unique(text * BUCKETS + bucket)
+    # Words, and their beginnings, which inflected forms share.
+    begun = [span_hashes(prefix, starts, np.minimum(ends, starts + n)) * np.uint64(2 * n + 1) for n in BEGINNINGS]
+    bucket = (np.concatenate([hashes, *begun]) >> np.uint64(46)).astype(np.int64)
+    pair = np.unique(np.tile(text, 1 + len(BEGINNINGS)) * BUCKETS + bucket)
     offsets = np.searchsorted(pair, np.arange(chunk.n + 1) * BUCKETS)
     words = np.maximum(np.diff(of_text), 1)
     raw = chunk.data
     size = np.maximum(np.diff(chunk.offsets), 1)
     count = lambda mask: np.diff(np.concatenate(([0], np.cumsum(mask)))[chunk.offsets])
+    distinct = np.diff(np.searchsorted(np.unique(text * BUCKETS + bucket[: len(text)]), np.arange(chunk.n + 1) * BUCKETS))
     again = np.zeros(len(hashes), bool)
     again[1:] = hashes[1:] == hashes[:-1]
     letters = ((raw >= 65) & (raw <= 90)) | ((raw >= 97) & (raw <= 122)) | (raw >= 128)
@@ -55,7 +61,7 @@ def features(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     repeats = np.diff(np.concatenate(([0], np.cumsum(again)))[of_text])
     shape = np.stack([
         count((raw >= 65) & (raw <= 90)) / size, count(~letters & ~space) / size, repeats / words,
-        np.diff(offsets) / words, np.log1p(words) / 8, np.ones(chunk.n)], axis=1)
+        distinct / words, np.log1p(words) / 8, np.ones(chunk.n)], axis=1)
     return pair % BUCKETS, offsets, shape
 
 
