@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabgraph.llm import chat, langid, minmax, quality, secrets, spm, suffix_dedup
+from tabgraph.llm import chat, decontam, langid, minmax, quality, secrets, spm, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -121,3 +121,8 @@ def op2_language_id(spark, sf_dir):
 def op7_quality_classifier(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, _read(spark, sf_dir, "labels")))
+
+
+@_query
+def op4_decontamination(spark, sf_dir):
+    return decontam.overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
