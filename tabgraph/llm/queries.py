@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabgraph.llm import chat, decontam, langid, minmax, quality, secrets, spm, suffix_dedup
+from tabgraph.llm import chat, decontam, langid, minmax, pii, quality, secrets, spm, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +126,9 @@ def op7_quality_classifier(spark, sf_dir):
 @_query
 def op4_decontamination(spark, sf_dir):
     return decontam.overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op6_personal_data(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    return pii.spans(docs, pii.train(docs))
