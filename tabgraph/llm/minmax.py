@@ -154,7 +154,7 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     for whole in (False, False, True):
         placed = live.withColumn("component", F.col("node")) if component is None else live.join(
             component, live.node == component.id, "left").withColumn("component", F.coalesce("component", "node")).drop("id")
-        proposed = _rest_pairs(placed) if whole else _star_pairs(placed)
+        proposed = _rest_pairs(placed, sets) if whole else _star_pairs(placed)
         if tested is not None:
             proposed = proposed.join(tested, ["a", "b"], "left_anti")
         proposed = materialize(proposed)
@@ -180,16 +180,30 @@ def _star_pairs(placed: DataFrame) -> DataFrame:
     return _ordered(pairs)
 
 
-def _rest_pairs(placed: DataFrame) -> DataFrame:
-    """In buckets of several components: every node outside the largest one, with all nodes of other components."""
+def _rest_pairs(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """In buckets of several components: every node outside the largest one, with the nodes of other components.
+
+    A shingle that only one of these nodes holds is in no intersection. The others bound each
+    pair's intersection from above, and pairs whose bound is too low are never made: a heavily
+    changed copy meets no one, however many copies share its bucket.
+    """
     parts = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("size"))
     main = parts.groupBy("band").agg(
         F.max(F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    mixed = placed.join(main.select("band", F.col("main.component").alias("main")), "band")
-    odd = mixed.filter("component <> main").select(
-        "band", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    every = mixed.select("band", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
-    return _ordered(odd.join(every, (odd.band == every.band) & (F.col("cx") != F.col("cy")) & _possible("nx", "ny")))
+    mixed = materialize(placed.join(main.select("band", F.col("main.component").alias("main")), "band"))
+    held = sets.join(mixed.select(F.col("node").alias("doc_id")).distinct(), "doc_id").select(
+        "doc_id", F.explode("shingles").alias("s"))
+    own = held.groupBy("s").agg(F.count(F.lit(1)).alias("holders"), F.min("doc_id").alias("node")).filter(
+        "holders = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    bound = mixed.join(own, "node", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0))).filter(
+        100 * F.col("shared") >= PERCENT * F.col("n"))
+    odd = bound.filter("component <> main").select(
+        "band", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("shared").alias("sx"), F.col("component").alias("cx"))
+    every = bound.select(
+        "band", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("shared").alias("sy"), F.col("component").alias("cy"))
+    most = F.least("sx", "sy")
+    enough = (100 + PERCENT) * most >= PERCENT * (F.col("nx") + F.col("ny"))
+    return _ordered(odd.join(every, (odd.band == every.band) & (F.col("cx") != F.col("cy")) & enough))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
