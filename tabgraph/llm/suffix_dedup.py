@@ -10,11 +10,11 @@ anchors, about one in 77 bytes. All windows of one anchor form its context, unde
 1. Grams that occur once, nearly all, end there. Where a repeated gram has a single context,
    every window of it repeats, and nothing more is compared.
 2. The other distinct contexts become suffixes, range-partitioned by sampled splitters over
-   their leading bytes, then over what precedes them, so a passage shared by a third of all
-   texts is still cut into many buckets.
+   their leading bytes. A gram with more than ``RUN_MAX`` contexts, such as the edge of a
+   passage shared by a third of all texts, is dealt over many buckets by what precedes it.
 3. A bucket sorts its suffixes by multikey quicksort; neighbours that share a gram form a run,
-   and runs compare their windows. Runs at a bucket's edge may go on in the next bucket: their
-   windows are compared across buckets by a shuffle on the window.
+   and runs compare their windows. A run dealt over several buckets compares across their
+   boundaries by a shuffle on its distinct windows.
 
 Texts whose rows no repeat touches are never shuffled (a fixed-size bitmap sorts them out).
 
@@ -39,6 +39,8 @@ from tabgraph.llm.bytescan import Chunk, chunks, mix, powers
 
 LENGTH, GRAM = 200, 48
 WINDOW = LENGTH - GRAM + 1
+#: Runs of more contexts are dealt over several buckets; either way all windows are compared.
+RUN_MAX = 4096
 #: Long texts are anchored in pieces of this many windows.
 PIECE = 1 << 18
 _POSITION = np.uint64((1 << 24) - 1)
@@ -107,22 +109,22 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts as (gram, context, copies, back, near, right, left); ``left`` runs backwards."""
+    """Contexts as (gram, context, copies, back, near, right, left, dealt); ``left`` runs backwards."""
     for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
         rows = batch.to_pydict()
-        out = {name: [] for name in ("gram", "context", "copies", "back", "near", "right", "left")}
+        out = {name: [] for name in _CUT.names}
         for text, wanted in zip(rows["text"], rows["wanted"]):
             for w in wanted:
                 anchor, back, near = w["at"] >> 16, w["at"] >> 8 & 255, w["at"] & 255
                 for name, value in (("gram", w["gram"]), ("context", w["context"]), ("copies", w["copies"]),
                                     ("back", back), ("near", near), ("right", text[anchor: anchor + LENGTH - near]),
-                                    ("left", text[anchor - back: anchor][::-1])):
+                                    ("left", text[anchor - back: anchor][::-1]), ("dealt", w["dealt"])):
                     out[name].append(value)
         yield pa.RecordBatch.from_pydict(out, _CUT)
 
 
 _CUT = pa.schema([("gram", pa.int64()), ("context", pa.int64()), ("copies", pa.int64()), ("back", pa.int32()),
-                  ("near", pa.int32()), ("right", pa.binary()), ("left", pa.binary())])
+                  ("near", pa.int32()), ("right", pa.binary()), ("left", pa.binary()), ("dealt", pa.bool_())])
 _FOUND = pa.schema([("gram", pa.int64()), ("context", pa.int64()), ("copies", pa.int64()), ("low", pa.int32()),
                     ("high", pa.int32()), ("window", pa.int64())])
 
@@ -150,12 +152,13 @@ def multikey_quicksort(tokens: np.ndarray) -> np.ndarray:
 
 
 def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows that repeat inside the bucket, and the windows of its edge runs for comparison across buckets."""
+    """Windows that repeat inside the bucket, and the distinct windows of dealt runs for comparison across buckets."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
     table = pa.Table.from_batches(held).combine_chunks()
     gram, context, copies, back, near = (table.column(i).to_numpy() for i in range(5))
+    dealt = table.column(7).to_numpy(zero_copy_only=False)
     width = -(-LENGTH // _TOKEN) * _TOKEN
     padded = np.zeros((len(gram), width), np.uint8)
     rights, lefts = list(chunks(table.column(5).combine_chunks())), list(chunks(table.column(6).combine_chunks()))
@@ -168,7 +171,6 @@ def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     new = np.ones(len(order), bool)
     new[1:] = (ahead[1:] != ahead[:-1]).any(axis=1)
     run = np.cumsum(new) - 1
-    edge = (run == 0) | (run == run[-1])
     whole = copies[order] >= 2
     left_data = np.concatenate([c.data for c in lefts])
     left_size = np.concatenate([np.diff(c.offsets) for c in lefts])
@@ -198,9 +200,18 @@ def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low[0][full], low[1][full] = near[rows][full], back[rows][full]
         good = low[1] >= 0
         yield _found(gram[rows], context[rows], copies[rows], low[0], low[1], good, None)
-        out = edge[at:to][owner]
+        # One row stands for all equal windows here, with their number.
+        one = np.ones(len(ordered), bool)
+        one[1:] = ordered[1:] != ordered[:-1]
+        group = np.cumsum(one) - 1
+        times = np.bincount(group, copies[rows][owner][seen]).astype(np.int64)
+        out = np.zeros(len(windows), bool)
+        out[seen[one]] = True
+        number = np.zeros(len(windows), np.int64)
+        number[seen[one]] = times
+        out &= dealt[rows][owner]
         if out.any():
-            yield _found(gram[rows][owner], context[rows][owner], copies[rows][owner], offset, offset, out, windows.view(np.int64))
+            yield _found(gram[rows][owner], context[rows][owner], number, offset, offset, out, windows.view(np.int64))
         at = to
 
 
@@ -261,11 +272,16 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     several = materialize(sketch.join(grams.select("gram", (F.col("low") < F.col("high")).alias("several")), "gram"))
     contexts = several.filter("several").groupBy("gram", "context").agg(
         F.count(F.lit(1)).alias("copies"), F.min("key").alias("key"), F.min_by("at", "key").alias("at"))
-    wanted = materialize(contexts.groupBy("key").agg(F.collect_list(F.struct("gram", "context", "copies", "at")).alias("wanted")))
+    dealt = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("run")).filter(F.col("run") > RUN_MAX).select(
+        "gram", F.lit(True).alias("dealt"))
+    contexts = contexts.join(dealt, "gram", "left").withColumn("dealt", F.coalesce("dealt", F.lit(False)))
+    wanted = materialize(contexts.groupBy("key").agg(
+        F.collect_list(F.struct("gram", "context", "copies", "at", "dealt")).alias("wanted")))
     suffixes = thinned(texts, "key", bitmap(wanted, "key")).dropDuplicates(["key"]).join(wanted, "key").select(
-        "text", "wanted").mapInArrow(_cut, "gram long, context long, copies long, back int, near int, right binary, left binary")
+        "text", "wanted").mapInArrow(_cut, "gram long, context long, copies long, back int, near int, right binary, left binary, dealt boolean")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = materialize(suffixes.repartitionByRange(parts, "right", "left").mapInArrow(
+    found = materialize(suffixes.repartitionByRange(
+        parts, F.substring("right", 1, GRAM), F.when(F.col("dealt"), F.col("left"))).mapInArrow(
         _sort_bucket, "gram long, context long, copies long, low int, high int, window long"))
     across = found.filter("window is not null")
     shared = across.groupBy("window").agg(F.sum("copies").alias("n")).filter("n > 1").select("window")
