@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabgraph.llm import chat, decontam, langid, minmax, pii, quality, secrets, spm, suffix_dedup
+from tabgraph.llm import chat, decontam, hnsw, langid, minmax, pii, quality, secrets, spm, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -132,3 +132,10 @@ def op4_decontamination(spark, sf_dir):
 def op6_personal_data(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
     return pii.spans(docs, pii.train(docs))
+
+
+@_query
+def op5_nearest_neighbours(spark, sf_dir):
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index, shards = hnsw.build_index(vectors, 10)
+    return hnsw.search(index, shards, vectors.filter("vec_id % 100 = 0"), 10)
