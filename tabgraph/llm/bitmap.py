@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabgraph.distributed import materialize
+
 #: 2^23 bits: 1 MB in every task, at any input size. A full bitmap thins nothing and loses nothing.
 BITS = 23
 
@@ -36,3 +38,13 @@ def thinned(df: DataFrame, hashed: str, bits: np.ndarray, inverse: bool = False)
         return pd.Series(has(bits, hashes.to_numpy()) != inverse)
 
     return df.filter(held(hashed))
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in ``dropped`` (doc_id). Only rows that may go are shuffled."""
+    dropped = materialize(dropped)
+    marked = docs.withColumn("_h", F.xxhash64("doc_id"))
+    bits = bitmap(dropped.select(F.xxhash64("doc_id").alias("h")), "h")
+    sure = thinned(marked, "_h", bits, inverse=True).drop("_h")
+    rest = thinned(marked, "_h", bits).drop("_h")
+    return sure.union(rest.join(dropped, rest["doc_id"].eqNullSafe(dropped["doc_id"]), "left_anti"))

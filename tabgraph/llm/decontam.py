@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabgraph.distributed import materialize
-from tabgraph.llm.bitmap import bitmap, has, thinned
+from tabgraph.llm.bitmap import bitmap, has, thinned, without
 from tabgraph.llm.bytescan import LOWER, Chunk, chunks, mix, span_hashes
 
 #: Word positions each mask reads; 0 marks an ignored position. Fixed values.
@@ -157,10 +157,4 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that overlap no item, with all their columns."""
-    bad = materialize(overlaps(docs, items).select("doc_id").distinct())
-    bits = bitmap(bad.select(F.xxhash64("doc_id").alias("h")), "h")
-    marked = docs.withColumn("_h", F.xxhash64("doc_id"))
-    sure = thinned(marked, "_h", bits, inverse=True).drop("_h")
-    rest = thinned(marked, "_h", bits).drop("_h")
-    same = rest["doc_id"].eqNullSafe(bad["doc_id"])
-    return sure.union(rest.join(bad, same, "left_anti"))
+    return without(docs, overlaps(docs, items).select("doc_id").distinct())

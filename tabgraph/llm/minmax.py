@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabgraph.distributed import materialize
-from tabgraph.llm.bitmap import bitmap, has
+from tabgraph.llm.bitmap import bitmap, has, without
 from tabgraph.llm.bytescan import Chunk, chunks, mix, span_hashes
 from tabgraph.llm.components import components
 
@@ -169,6 +169,11 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     ).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    return without(docs, near_duplicates(docs, words).filter("not kept").select("doc_id").distinct())
+
+
 def _star_pairs(placed: DataFrame) -> DataFrame:
     """Each bucket's most central node with one node of every other component there."""
     top = placed.groupBy("band", "component").agg(
