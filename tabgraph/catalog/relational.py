@@ -222,6 +222,19 @@ def j4_asof_join(spark, sf_dir):
     return joins.asof_join(errors, clicks, ["user_id"], "ts", "click_ts", bucket_days=1).drop("ts")
 
 
+@query("j4_asof_null_keys", """
+with e as (select event_id, nullif(user_id, user_id // 7 * 7) as user_id, ts, event_type from events)
+select l.event_id, l.user_id, max(r.ts) as click_ts
+from e l left join e r on r.user_id = l.user_id and r.event_type = 'click' and r.ts <= l.ts
+where l.event_type = 'error' group by all""")
+def j4_asof_null_keys(spark, sf_dir):
+    user = F.when(F.col("user_id") % 7 != 0, F.col("user_id"))
+    events = src.table(spark, sf_dir, "events").withColumn("user_id", user)
+    errors = events.filter("event_type = 'error'").select("event_id", "user_id", "ts")
+    clicks = events.filter("event_type = 'click'").select("user_id", F.col("ts").alias("click_ts"))
+    return joins.asof_join(errors, clicks, ["user_id"], "ts", "click_ts", bucket_days=1).drop("ts")
+
+
 @query("j5_window_exists", """
 select l.event_id from events l where l.event_type = 'error' and exists (select 1 from events r
   where r.user_id = l.user_id and r.event_type = 'click' and r.ts <= l.ts
@@ -260,12 +273,12 @@ def _product_lists(spark, sf_dir):
 
 
 @query("a7_key_lists", LISTS_SQL + """
-select t.node_id, 0 as part, coalesce(string_agg(product_id, ',' order by review_time, product_id), '')
+select t.node_id, coalesce(string_agg(product_id, ',' order by review_time, product_id), '')
   as product_ids, count(product_id) as n_items
 from train t left join matched m on m.node_id = t.node_id group by t.node_id""")
 def a7_key_lists(spark, sf_dir):
     return _product_lists(spark, sf_dir).select(
-        "node_id", F.col("part").cast("int"),
+        "node_id",
         F.array_join(F.col("product_id").cast("array<string>"), ",").alias("product_ids"),
         F.size("product_id").cast("long").alias("n_items"))
 
@@ -277,12 +290,10 @@ select t.node_id,
   coalesce(string_agg(coalesce(category, '~'), ',' order by review_time, m.product_id), '~') as categories,
   coalesce(round(sum(price), 4), 0) as price_total, greatest(count(m.product_id), 1) as n_items
 from train t left join matched m on m.node_id = t.node_id
-left join product p on p.product_id = m.product_id and p.product_id % 10 <> 0 group by t.node_id""")
+left join product p on p.product_id = m.product_id group by t.node_id""")
 def j7_expand_columns(spark, sf_dir):
-    # A tenth of the dimension is missing, so that unmatched keys show as nulls.
-    dimension = src.product(spark, sf_dir).filter("product_id % 10 <> 0")
     cells = lists.expand_columns(
-        _product_lists(spark, sf_dir), dimension, "product_id",
+        _product_lists(spark, sf_dir), src.product(spark, sf_dir), "product_id",
         ["title", "brand", "price", "category"], "product")
     known = F.filter("product_price", lambda p: p.isNotNull())
     return cells.select(

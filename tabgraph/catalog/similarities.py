@@ -521,9 +521,8 @@ def w4_top_n_similar(spark, sf_dir):
     from tabgraph.functions.text import format_cell
 
     nodes = vectors(spark, sf_dir)
-    near = sim.sim_cosine(nodes, "embedding", -1.0)
     text = F.concat(F.lit("vec "), F.col("node_id").cast("string"))
-    return rounded(G.top_n_similar(near, 7, nodes, format_cell(text, False), 10, "y")).withColumnRenamed(
+    return rounded(G.top_n_by_vector(nodes, "embedding", 7, format_cell(text, False), 10, "y")).withColumnRenamed(
         "y", "label")
 
 
@@ -531,10 +530,41 @@ def w4_top_n_similar(spark, sf_dir):
 with {CUSTOMERS}, p as (select x.node_id, y.node_id as neighbour,
     1.0::double / (1 + abs(x.n_orders - y.n_orders)) as sim from nodes x join nodes y on x.node_id <> y.node_id)
 select node_id, row_number() over (partition by node_id order by sim desc, neighbour)::int as rank,
-  neighbour, round(sim, 6) as similarity from p where sim > 0.2 qualify rank <= 5""")
+  neighbour, round(sim, 6) as similarity from p qualify rank <= 5""")
 def w5_top_n_similar_all(spark, sf_dir):
-    near = sim.sim_count(customer_counts(spark, sf_dir), "n_orders", 0.2)
-    return rounded(G.top_n_similar_all(near, 5))
+    return rounded(G.top_n_closest(customer_counts(spark, sf_dir), "n_orders", 5))
+
+
+@query("w5_top_n_sparse", f"""
+with {CUSTOMERS}, p as (select x.node_id, y.node_id as neighbour,
+    case when x.n_orders = y.n_orders and x.nation = y.nation then 1.0::double else 0 end as sim
+  from nodes x join nodes y on x.node_id <> y.node_id)
+select node_id, row_number() over (partition by node_id order by sim desc, neighbour)::int as rank,
+  neighbour, sim as similarity from p qualify rank <= 20""")
+def w5_top_n_sparse(spark, sf_dir):
+    both = F.concat_ws("|", F.col("n_orders").cast("string"), F.col("nation").cast("string"))
+    nodes = customer_counts(spark, sf_dir).withColumn("both", both)
+    return G.top_n_similar_all(sim.sim_exact(nodes, "both"), 20)
+
+
+@query("x1_sim_count_nulls", f"""
+with {CUSTOMERS}, v as (select case when n_orders % 5 <> 0 then n_orders end as n from nodes),
+c as (select n::double as n, count(*) as m from v where n is not null group by 1)
+select a.n as a, b.n as b, round(1.0::double / (1 + abs(a.n - b.n)), 6) as sim, a.m as m_a, b.m as m_b
+from c a join c b on a.n < b.n or (a.n = b.n and a.m > 1)
+where 1.0::double / (1 + abs(a.n - b.n)) > 0.2""")
+def x1_sim_count_nulls(spark, sf_dir):
+    nodes = customer_counts(spark, sf_dir)
+    some = nodes.withColumn("n_orders", F.when(F.col("n_orders") % 5 != 0, F.col("n_orders")))
+    return rounded(sim.sim_count(some, "n_orders", 0.2).pairs)
+
+
+@query("u4_undirected", """
+with e as (select o_custkey as src, o_orderkey as dst from orders)
+select src, dst from e union select dst, src from e""")
+def u4_undirected(spark, sf_dir):
+    orders = src.table(spark, sf_dir, "orders")
+    return G.undirected(orders.select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst")))
 
 
 # --- message passing --------------------------------------------------------

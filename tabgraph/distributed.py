@@ -11,10 +11,6 @@ import tempfile
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most hot keys any helper keeps track of. At most this many keys can each hold
-#: more than 1/HOT_KEY_MAX of the rows, which bounds every broadcast of them.
-HOT_KEY_MAX = 10_000
-
 #: Row position inside a partition, as laid out by monotonically_increasing_id.
 _POSITION_BITS = 33
 
@@ -151,21 +147,17 @@ def hash_rank(df: DataFrame, digest: Column, tie: list[str], name: str, by: list
 
 
 def hot_keys(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """(keys..., n) for keys with more than ``limit`` rows, heaviest HOT_KEY_MAX of them.
-
-    Keys beyond that number hold under 1/HOT_KEY_MAX of the rows each, so they
-    need no splitting.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
-    return counts.orderBy(F.desc("n"), *keys).limit(HOT_KEY_MAX)
+    """(keys..., n) for all keys with more than ``limit`` rows."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
 
 
 def split_hot(df: DataFrame, keys: list[str], spread: list, limit: int, name: str = "part") -> DataFrame:
     """Number the parts a hot key is cut into: 0 for ordinary keys, else 0..ceil(n/limit)-1.
 
-    ``spread`` are the columns whose hash picks the part of a row.
+    ``spread`` are the columns whose hash picks the part of a row. The join with the hot keys is
+    left to AQE, which broadcasts them only below its size threshold.
     """
     hot = hot_keys(df, keys, limit).withColumn("_parts", F.ceil(F.col("n") / limit)).drop("n")
     part = F.pmod(F.xxhash64(*spread), F.col("_parts"))
-    joined = df.join(F.broadcast(hot), keys, "left")
+    joined = df.join(hot, keys, "left")
     return joined.withColumn(name, F.coalesce(part, F.lit(0)).cast("long")).drop("_parts")

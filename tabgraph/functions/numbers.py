@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,6 +91,14 @@ def remap_labels(df: DataFrame, label: str, num_classes: int) -> DataFrame:
     return df.join(F.broadcast(codes), label).drop(label).withColumnRenamed("code", label)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row, however often and deep ``use`` reads it.
+
+    Inside a lambda over array elements, an outer expression is otherwise evaluated per element.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def sigmoid(score: Column) -> Column:
     """T20."""
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-score))
@@ -96,10 +106,13 @@ def sigmoid(score: Column) -> Column:
 
 def softmax(scores: Column) -> Column:
     """T20 on an array of scores, shifted by its maximum."""
-    top = F.array_max(scores)
-    raised = F.transform(scores, lambda s: F.exp(s - top))
-    total = F.aggregate(raised, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(raised, lambda x: x / total)
+    raised = bound(
+        F.struct(scores.alias("s"), F.array_max(scores).alias("top")),
+        lambda v: F.transform(v["s"], lambda s: F.exp(s - v["top"])))
+    total = lambda r: F.aggregate(r, F.lit(0.0), lambda acc, x: acc + x)
+    return bound(raised, lambda r: bound(
+        F.struct(r.alias("r"), total(r).alias("total")),
+        lambda v: F.transform(v["r"], lambda x: x / v["total"])))
 
 
 def argmax(scores: Column) -> Column:
@@ -110,6 +123,5 @@ def argmax(scores: Column) -> Column:
 def l2_normalize(vector: Column) -> Column:
     """Unit vector; a zero vector stays zero."""
     length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x))
-    return F.transform(
-        vector, lambda x: F.coalesce(F.try_divide(x.cast("double"), length), F.lit(0.0))
-    )
+    return bound(F.struct(vector.alias("v"), length.alias("length")), lambda b: F.transform(
+        b["v"], lambda x: F.coalesce(F.try_divide(x.cast("double"), b["length"]), F.lit(0.0))))

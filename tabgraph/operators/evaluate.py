@@ -178,10 +178,23 @@ def evaluate_multiclass(scored: DataFrame) -> DataFrame:
     return accuracy(scored).join(f1, "split").join(auroc_ovr_macro(scored), "split")
 
 
+def _log(p: Column) -> Column:
+    """ln p, minus infinity at 0, where Spark's own is null."""
+    return F.when(p == 0, F.lit(float("-inf"))).otherwise(F.log(p))
+
+
 def log_loss(scored: DataFrame, pos_weight: float = 1.0, by: str = "split") -> DataFrame:
-    """E10 binary: mean of -(w y ln p + (1 - y) ln(1 - p))."""
-    p = F.col("p")
-    loss = F.when(F.col("y") == 1, F.log(p) * F.lit(-float(pos_weight))).otherwise(-F.log(1 - p))
+    """E10 binary: mean of -(w y ln p + (1 - y) ln(1 - p)).
+
+    A certain and wrong prediction has an infinite loss. Frames that keep ``raw``, the score
+    before the sigmoid, stay finite there: ln p is then taken from the score.
+    """
+    if "raw" in scored.columns:
+        softplus = lambda x: F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+        right, wrong = softplus(-F.col("raw")), softplus(F.col("raw"))
+    else:
+        right, wrong = -_log(F.col("p")), -_log(1 - F.col("p"))
+    loss = F.when(F.col("y") == 1, right * F.lit(float(pos_weight))).otherwise(wrong)
     return scored.groupBy(by).agg(F.avg(loss).alias("loss"))
 
 
@@ -191,4 +204,4 @@ def cross_entropy(scored: DataFrame, class_weights: list[float] | None = None, b
     if class_weights:
         weight = F.element_at(F.array(*[F.lit(float(w)) for w in class_weights]), F.col("y").cast("int") + 1)
     own = F.element_at("probs", F.col("y").cast("int") + 1)
-    return scored.groupBy(by).agg((F.sum(-F.log(own) * weight) / F.sum(weight)).alias("loss"))
+    return scored.groupBy(by).agg((F.sum(-_log(own) * weight) / F.sum(weight)).alias("loss"))

@@ -14,9 +14,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabgraph.distributed import materialize, running_totals, with_scalars
-from tabgraph.functions.numbers import log_degree_bin, one_hot, standard_scale
-from tabgraph.operators.similarity import Similarity, expand_pairs
+from tabgraph.distributed import materialize, ordered_index, running_totals, with_scalars
+from tabgraph.functions.numbers import l2_normalize, log_degree_bin, one_hot, standard_scale
+from tabgraph.operators.similarity import Similarity, closeness, expand_pairs
 
 #: Thresholds are multiples of 1 / SCALE: the bisection interval stays above 1e-6 that long.
 SCALE = 1 << 20
@@ -452,6 +452,10 @@ def top_n_similar_all(similarity: Similarity, n: int) -> DataFrame:
 
     Ties go to the smaller id. A class can fill at most n + 1 places, so its
     n + 1 smallest ids stand for it; each class ranks at most n + 1 classes.
+
+    Sparse families are complete: nodes at similarity 0 fill the list, and the smallest n + 1
+    ids of all hold enough of them. A dense family ends at its ``min_sim``; for one number
+    :func:`top_n_closest` is complete.
     """
     wanted = n + 1
     by_id = Window.partitionBy("cls").orderBy("node_id")
@@ -467,12 +471,58 @@ def top_n_similar_all(similarity: Similarity, n: int) -> DataFrame:
     mine = similarity.members.select("node_id", F.col("cls").alias("a")).join(
         options.select("a", "neighbour", F.col("sim").alias("similarity")), "a"
     ).filter("node_id <> neighbour")
+    if similarity.kind == "sparse":
+        smallest = similarity.members.orderBy("node_id").limit(n + 1)
+        packed = smallest.agg(F.sort_array(F.collect_list("node_id")).alias("_fill"))
+        fill = with_scalars(similarity.members.select("node_id"), packed)
+        fill = fill.select("node_id", F.explode("_fill").alias("neighbour"), F.lit(0.0).alias("similarity"))
+        mine = mine.select("node_id", "neighbour", "similarity").unionByName(fill.filter("node_id <> neighbour")).groupBy("node_id", "neighbour").agg(
+            F.max("similarity").alias("similarity"))
     final = Window.partitionBy("node_id").orderBy(F.desc("similarity"), "neighbour")
     return mine.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= n).select(
         "node_id", "rank", "neighbour", "similarity"
     )
 
 
+def top_n_closest(nodes: DataFrame, column: str, n: int, node: str = "node_id") -> DataFrame:
+    """W5 for one number, complete: min(n, N - 1) rows for every node with a value.
+
+    A value's nearest nodes lie among the n + 1 distinct values on either side of it, and a
+    value fills at most n + 1 places with its smallest ids, so distinct values meet by dense
+    rank and nothing is compared with everything.
+    """
+    number = F.col(column).cast("double") + F.lit(0.0)
+    members = nodes.select(F.col(node).alias("node_id"), number.alias("v")).filter(~F.isnan("v"))
+    by_id = Window.partitionBy("v").orderBy("node_id")
+    firsts = members.withColumn("_no", F.row_number().over(by_id)).filter(F.col("_no") <= n + 1)
+    ranked = materialize(ordered_index(members.select("v").distinct(), ["v"], "_rank"))
+    meets = F.explode(F.sequence(F.col("_rank") - (n + 1), F.col("_rank") + (n + 1)))
+    other = ranked.join(firsts, "v").select("_rank", F.col("v").alias("w"), F.col("node_id").alias("neighbour"))
+    options = ranked.select(F.col("v").alias("a"), meets.alias("_rank")).join(other, "_rank").withColumn(
+        "similarity", closeness(F.col("a"), F.col("w")))
+    near = Window.partitionBy("a").orderBy(F.desc("similarity"), "neighbour")
+    options = options.withColumn("_no", F.row_number().over(near)).filter(F.col("_no") <= n + 1)
+    mine = members.withColumnRenamed("v", "a").join(options.select("a", "neighbour", "similarity"), "a")
+    final = Window.partitionBy("node_id").orderBy(F.desc("similarity"), "neighbour")
+    return mine.filter("node_id <> neighbour").withColumn("rank", F.row_number().over(final)).filter(
+        F.col("rank") <= n).select("node_id", "rank", "neighbour", "similarity")
+
+
+def top_n_by_vector(
+    nodes: DataFrame, vec_col: str, query_node: int, feature: Column, n: int = 10,
+    label: str | None = None, node: str = "node_id",
+) -> DataFrame:
+    """W4 for vectors, in one scan: (node_index, similarity, feature[, label]) by cosine with one node's vector."""
+    unit = l2_normalize(F.transform(vec_col, lambda x: x.cast("double")))
+    asked = nodes.filter(F.col(node) == query_node).limit(1).select(unit.alias("_q"))
+    dot = F.aggregate(F.zip_with(unit, F.col("_q"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    extra = [feature.alias("feature")] + ([F.col(label).alias("label")] if label else [])
+    named = nodes.withColumn("node_id", F.col(node)).filter(F.col("node_id") != query_node)
+    scored = with_scalars(named.filter(F.col(vec_col).isNotNull()), asked)
+    return scored.select(F.col("node_id").alias("node_index"), dot.alias("similarity"), *extra).orderBy(
+        F.desc("similarity"), "node_index").limit(n).withColumnsRenamed({"label": label} if label else {})
+
+
 def _directed(similarity: Similarity) -> DataFrame:
     kept = similarity.pairs.filter(~F.isnan("sim")).select("a", "b", "sim")
     ways = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(F.array(

@@ -63,14 +63,16 @@ def asof_join(
 ) -> DataFrame:
     """For each left row the latest right row of the same key with ``right_ts <= left_ts``.
 
-    Left rows without a match keep nulls. Works by slots of time: the last fact
-    inside the row's own slot, else the last one carried in from earlier slots.
-    No entity is sorted in one task and no row is repeated.
+    Left rows without a match, with a null key or without a time keep nulls. Works by slots of
+    time: the last fact inside the row's own slot, else the last one carried in from earlier
+    slots. An entity is sorted slot by slot, never as a whole, and no row is repeated.
     """
     payload = [right_ts] + [c for c in right.columns if c not in (*by, right_ts)]
     # Equal times resolve to the greatest remaining payload.
     packed = F.struct(*[F.col(c) for c in payload])
-    facts = right.select(
+    # A null key equals nothing, and a fact without a time is never before a row.
+    known = right.dropna(how="any", subset=[*by, right_ts])
+    facts = known.select(
         *by, day_bucket(F.col(right_ts), bucket_days).alias("_slot"),
         F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), packed.alias("_fact"),
     )

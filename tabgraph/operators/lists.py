@@ -5,13 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabgraph.distributed import split_hot
 from tabgraph.operators.joins import window_join
 
-#: Most elements one list cell holds; longer lists continue in further ``part`` rows.
-MAX_CELL = 1_000_000
-
-
 def implode(order: list[str], values: list[str]) -> Column:
     """Ordered list of structs; the struct keeps null values in place."""
     packed = F.struct(*[F.col(c) for c in dict.fromkeys([*order, *values])])
@@ -38,25 +33,20 @@ def window_items(
 
 def key_lists(
     train: DataFrame, facts: DataFrame, entity: str, value: str, ts: str, fact_ts: str,
-    window: str, order: list[str], node: str = "node_id", max_cell: int = MAX_CELL,
+    window: str, order: list[str], node: str = "node_id",
 ) -> DataFrame:
     """Per node the list of ``value`` inside the window, duplicates kept, [] when none.
 
-    Ordered by ``order``. An entity with more than ``max_cell`` facts has its
-    facts dealt over several ``part`` rows, so no task gathers an unbounded
-    list; every other node has the single row ``part = 0``.
+    Ordered by ``order``, one row per node whatever its length. A cell is one value of one row;
+    what must not gather a node's facts in one place takes :func:`window_items` instead.
     """
-    kept = facts.select(*dict.fromkeys([entity, fact_ts, value, *order]))
-    dealt = split_hot(kept, [entity], list(dict.fromkeys([fact_ts, *order, value])), max_cell)
-    matched = window_join(train.select(node, entity, ts), dealt, entity, ts, fact_ts, window)
-    cells = matched.groupBy(node, "part").agg(
+    kept = [c for c in dict.fromkeys([*order, value]) if c != fact_ts]
+    matched = window_items(train, facts, entity, kept, ts, fact_ts, window, node)
+    cells = matched.groupBy(node).agg(
         F.transform(implode(order, [value]), field(value)).alias(value)
     )
     empty = F.array().cast(dict(cells.dtypes)[value])
-    return train.join(cells, node, "left").withColumns({
-        "part": F.coalesce("part", F.lit(0)),
-        value: F.coalesce(F.col(value), empty),
-    })
+    return train.join(cells, node, "left").withColumn(value, F.coalesce(F.col(value), empty))
 
 
 def expand_columns(
@@ -68,15 +58,14 @@ def expand_columns(
     Same length and order as the key list; a key without a dimension row gives
     null, an empty list gives ``[null]``.
     """
-    cell = [node, "part"] if "part" in cells.columns else [node]
-    items = cells.select(*cell, F.posexplode_outer(key).alias("_pos", key))
+    items = cells.select(node, F.posexplode_outer(key).alias("_pos", key))
     looked_up = items.join(dimension.select(key, *columns), key, "left")
-    packed = looked_up.groupBy(*cell).agg(implode(["_pos"], columns).alias("_items"))
+    packed = looked_up.groupBy(node).agg(implode(["_pos"], columns).alias("_items"))
     lists = packed.select(
-        *cell,
+        node,
         *[F.transform("_items", field(c)).alias(f"{prefix}_{c}") for c in columns],
     )
-    return cells.join(lists, cell, "left")
+    return cells.join(lists, node, "left")
 
 
 def value_counts(items: DataFrame, node: str, item: str) -> DataFrame:
@@ -86,8 +75,3 @@ def value_counts(items: DataFrame, node: str, item: str) -> DataFrame:
         .groupBy(node, item)
         .agg(F.count(F.lit(1)).alias("weight"))
     )
-
-
-def explode_items(nodes: DataFrame, node: str, list_col: str, item: str = "item") -> DataFrame:
-    """List cells to long form; empty cells give no rows."""
-    return nodes.select(node, F.explode(list_col).alias(item))

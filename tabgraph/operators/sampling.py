@@ -125,12 +125,17 @@ def split_stratified(
     nodes: DataFrame, label: str, node: str = "node_id", train: float = 0.8, val: float = 0.1,
     seed: int = 123,
 ) -> DataFrame:
-    """M3: per-class proportional split with exact sizes; membership by seeded hash."""
+    """M3: per-class proportional split with exact sizes; membership by seeded hash.
+
+    Rows without a label stay, with a null split, and count in no class.
+    """
     require_ratios(train, val)
     if math.isclose(train, 1.0):
         return nodes.withColumn("split", F.lit("train"))
-    quotas = stratified_quotas(nodes, label, train, val)
+    quotas = stratified_quotas(nodes.filter(F.col(label).isNotNull()), label, train, val)
     ranked = hash_rank(nodes, seeded_hash(seed, node), [node], "_rank", by=[label])
     cut = _named_split(F.col("_rank"), F.col("n_train"), F.col("n_train") + F.col("n_val"))
     # `quotas` has one row per class.
-    return ranked.join(quotas, label).withColumn("split", cut).drop("_rank", "n_train", "n_val")
+    ranked = ranked.join(quotas, label, "left")
+    cut = F.when(F.col("n_train").isNotNull(), cut)
+    return ranked.withColumn("split", cut).drop("_rank", "n_train", "n_val")

@@ -19,8 +19,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabgraph.distributed import HOT_KEY_MAX, hot_keys, split_hot
-from tabgraph.functions.numbers import l2_normalize, minmax_scale, stable_key
+from tabgraph.distributed import hot_keys, split_hot
+from tabgraph.functions.numbers import bound, l2_normalize, minmax_scale, stable_key
 
 #: Widening of candidate radii, so that rounding never loses a borderline pair.
 _SLACK = 1 + 1e-9
@@ -70,7 +70,7 @@ def expand_pairs(members: DataFrame, pairs: DataFrame, rows_per_part: int = 20_0
     extra = [c for c in pairs.columns if c not in ("a", "b", "m_a", "m_b")]
 
     def lanes(side: str) -> DataFrame:
-        return F.broadcast(parts.select(F.col("cls").alias(side), F.col("_parts").alias(f"_n_{side}")))
+        return parts.select(F.col("cls").alias(side), F.col("_parts").alias(f"_n_{side}"))
 
     spread = pairs.select("a", "b", *extra).join(lanes("a"), "a", "left").join(lanes("b"), "b", "left")
     for side in "ab":
@@ -147,11 +147,13 @@ def _band_join(groups: DataFrame, value: str, radius: float, payload: list[str])
 
 
 def sim_count(nodes: DataFrame, column: str, min_sim: float, node: str = "node_id") -> Similarity:
-    """1 / (1 + |difference|); classes are the distinct values."""
-    members = nodes.select(
-        F.col(node).alias("node_id"), (F.col(column).cast("double") + F.lit(0.0)).alias("cls")
-    )
-    groups = _classes(members).withColumn("v", F.col("cls"))
+    """1 / (1 + |difference|); classes are the distinct values.
+
+    A null or NaN is similar to nothing: its node stays a member, without a class.
+    """
+    number = F.col(column).cast("double") + F.lit(0.0)
+    members = nodes.select(F.col(node).alias("node_id"), F.when(~F.isnan(number), number).alias("cls"))
+    groups = _classes(members.filter("cls is not null")).withColumn("v", F.col("cls"))
     near = _band_join(groups, "v", radius_above(min_sim), [])
     near = near.withColumn("sim", closeness(F.col("v_a"), F.col("v_b"))).filter(F.col("sim") > min_sim)
     columns = ["a", "b", "sim", "m_a", "m_b"]
@@ -191,8 +193,9 @@ def _cdf_area(a: Column, b: Column) -> Column:
         return F.aggregate(bag, F.lit(0.0), lambda acc, e: acc + e["n"])
 
     def steps(bag, sign):
-        return F.transform(bag, lambda e: F.struct(
-            e["x"].alias("x"), F.try_divide(e["n"] * F.lit(sign), total(bag)).alias("w")))
+        held = F.struct(bag.alias("bag"), total(bag).alias("total"))
+        return bound(held, lambda h: F.transform(h["bag"], lambda e: F.struct(
+            e["x"].alias("x"), F.try_divide(e["n"] * F.lit(sign), h["total"]).alias("w"))))
 
     start = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("gap"), F.lit(0.0).alias("area"))
 
@@ -287,10 +290,10 @@ def sim_grouped(nodes: DataFrame, column: str, related: DataFrame, node: str = "
 
 def _hit_share(own: Column, other: Column) -> Column:
     """Share of a bag (entries item, w, related) whose related items meet another bag's items."""
-    items = F.transform(other, lambda e: e["item"])
-    total = F.aggregate(own, F.lit(0.0), lambda acc, e: acc + e["w"])
-    met = F.filter(own, lambda e: F.arrays_overlap(e["related"], items))
-    return F.try_divide(F.aggregate(met, F.lit(0.0), lambda acc, e: acc + e["w"]), total)
+    weight = lambda bag: F.aggregate(bag, F.lit(0.0), lambda acc, e: acc + e["w"])
+    held = F.struct(own.alias("own"), F.transform(other, lambda e: e["item"]).alias("items"))
+    met = bound(held, lambda h: F.filter(h["own"], lambda e: F.arrays_overlap(e["related"], h["items"])))
+    return F.try_divide(weight(met), weight(own))
 
 
 def sim_overlap(
@@ -428,11 +431,9 @@ def _block_grid(groups: DataFrame, min_sim: float, grid_axes: list[int], block:
     sizes = placed.groupBy("cell").agg(
         F.count_if(F.col("role") == 0).alias("n0"), F.count_if(F.col("role") == 1).alias("n1")
     )
-    crowded = sizes.filter(F.greatest("n0", "n1") > block).orderBy(
-        F.desc(F.greatest("n0", "n1")), "cell"
-    ).limit(HOT_KEY_MAX)
+    crowded = sizes.filter(F.greatest("n0", "n1") > block)
     blocks = [F.ceil(F.greatest(F.col(f"n{r}"), F.lit(1)) / block).alias(f"k{r}") for r in (0, 1)]
-    dealt = placed.join(F.broadcast(crowded.select("cell", *blocks)), "cell", "left")
+    dealt = placed.join(crowded.select("cell", *blocks), "cell", "left")
     dealt = dealt.withColumns({k: F.coalesce(k, F.lit(1)).cast("long") for k in ("k0", "k1")})
     mine = F.when(F.col("role") == 0, F.col("k0")).otherwise(F.col("k1"))
     dealt = dealt.withColumn("no", F.pmod(F.xxhash64("cls"), mine))

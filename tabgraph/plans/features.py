@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabgraph.distributed import hot_keys, materialize
 from tabgraph.functions.timewin import total_days
 from tabgraph.operators.joins import attach, enrich, window_join
 
@@ -36,11 +35,6 @@ def n_unique(column: str) -> Column:
     return F.count_distinct(F.col(column)) + F.max(F.col(column).isNull().cast("long"))
 
 
-def n_unique_small(column: str) -> Column:
-    """A2 for groups of bounded size: the distinct values are held as a set."""
-    return F.size(F.collect_set(column)).cast("long") + F.max(F.col(column).isNull().cast("long"))
-
-
 def fill_missing(df: DataFrame) -> DataFrame:
     """Null and NaN to 0 in every numeric column."""
     return df.na.fill(0)
@@ -54,7 +48,7 @@ def windowed_reviews(train: DataFrame, facts: DataFrame, products: DataFrame, wi
 
 def customer_features(
     train: DataFrame, facts: DataFrame, products: DataFrame, window: str = "-6mo",
-    dedupe: bool = False, max_group: int = 1_000_000,
+    dedupe: bool = False,
 ) -> DataFrame:
     """Sixteen features per training row, zeros where the window is empty.
 
@@ -62,38 +56,28 @@ def customer_features(
     reviews repeatedly, and each gets the same totals back. ``dedupe`` counts
     them once.
 
-    Distinct counts are held as sets for customers with at most ``max_group``
-    facts; customers beyond that, if a first count finds any, go through
-    shuffled distinct counts, which spread one group over many tasks.
+    One plan at every size: distinct values are shuffled by value and combine map-side, so no
+    task holds a set of them, and the largest customer is spread over many tasks.
     """
     base = train.select(*TRAIN_KEY)
     rows = base.distinct() if dedupe else base
-    big = hot_keys(facts, ["customer_id"], max_group).select("customer_id")
-    if big.isEmpty():
-        timed = _grouped_features(windowed_reviews(rows, facts, products, window), n_unique_small)
-    else:
-        big = F.broadcast(materialize(big))  # a bounded number of keys, see hot_keys
-        few = facts.join(big, "customer_id", "left_anti")
-        many = facts.join(big, "customer_id", "left_semi")
-        timed = _grouped_features(
-            windowed_reviews(rows, few, products, window), n_unique_small
-        ).unionByName(_grouped_features(windowed_reviews(rows, many, products, window), n_unique))
+    timed = _grouped_features(windowed_reviews(rows, facts, products, window))
     framed = attach(train, timed, TRAIN_KEY).select(*train.columns, *FEATURES)
     return fill_missing(framed)
 
 
-def _grouped_features(reviews: DataFrame, unique) -> DataFrame:
-    """The sixteen features of every training key with reviews; ``unique`` counts distinct values."""
+def _grouped_features(reviews: DataFrame) -> DataFrame:
+    """The sixteen features of every training key with reviews."""
     grouped = reviews.groupBy(*TRAIN_KEY).agg(
         F.count(F.lit(1)).alias("num_reviews"),
-        unique("product_id").alias("num_unique_products"),
+        n_unique("product_id").alias("num_unique_products"),
         F.avg("rating").alias("avg_rating"),
         F.stddev_samp("rating").alias("std_rating"),
         F.min("rating").alias("min_rating"),
         F.max("rating").alias("max_rating"),
         F.count_if("verified").alias("num_verified_purchases"),
-        unique("category").alias("num_unique_categories"),
-        unique("brand").alias("num_unique_brands"),
+        n_unique("category").alias("num_unique_categories"),
+        n_unique("brand").alias("num_unique_brands"),
         F.avg("price").alias("avg_product_price"),
         F.stddev_samp("price").alias("std_product_price"),
         F.min("price").alias("min_product_price"),

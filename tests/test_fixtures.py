@@ -95,13 +95,32 @@ def test_expand_keeps_order_nulls_and_empty(spark):
     assert got == {0: [None, 5.0, None], 1: [None]}
 
 
-def test_hot_entity_is_dealt_over_parts(spark):
+def test_long_list_keeps_its_order(spark):
     train, facts = frames(spark, [f"2020-08-{d:02d} 00:00:00" for d in range(1, 21)])
     got = lists.key_lists(train, facts, "customer_id", "id", "timestamp", "review_time", "-6mo",
-                          ["review_time", "id"], max_cell=5).collect()
-    assert len(got) > 1 and {r.part for r in got} <= set(range(4))
-    assert sorted(i for r in got for i in r.id) == list(range(20))
-    assert all(r.id == sorted(r.id) for r in got)
+                          ["review_time", "id"]).collect()
+    assert [r.id for r in got] == [list(range(20))]
+
+
+@pytest.mark.parametrize("size", [3, 18])
+def test_rules_of_long_itemsets_are_all_splits(spark, size):
+    from itertools import combinations
+
+    from tabgraph.operators.rules import association_rules
+
+    if size > 16:  # only the longest set and its single items: every split with a side of one item
+        sets = [tuple(range(size))] + [(i,) for i in range(size)] + [tuple(j for j in range(size) if j != i) for i in range(size)]
+    else:
+        sets = [c for k in range(1, size + 1) for c in combinations(range(size), k)]
+    table = spark.createDataFrame([([f"{i:02d}" for i in c], 1.0) for c in sets], "items array<string>, support double")
+    got = association_rules(table, 0.0).filter(F.size("antecedent") + F.size("consequent") == size).count()
+    assert got == (2 * size if size > 16 else 2 ** size - 2)
+
+
+def test_null_labels_keep_their_rows(spark):
+    rows = spark.createDataFrame([(i, None if i % 3 == 0 else i % 2) for i in range(30)], "node_id long, y int")
+    got = sampling.split_stratified(rows, "y").collect()
+    assert len(got) == 30 and all((r.split is None) == (r.y is None) for r in got)
 
 
 # --- sampling ---------------------------------------------------------------
