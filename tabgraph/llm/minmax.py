@@ -31,6 +31,10 @@ from tabgraph.llm.components import components
 
 BANDS, ROWS = 32, 4
 PERMUTATIONS = BANDS * ROWS // 2
+#: A shingle with at most so many holders names its pairs itself.
+RARE = 6
+#: Classes into which the other shingles are counted, to bound intersections.
+CLASSES = 96
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
 _ODD = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -188,27 +192,50 @@ def _star_pairs(placed: DataFrame) -> DataFrame:
 def _rest_pairs(placed: DataFrame, sets: DataFrame) -> DataFrame:
     """In buckets of several components: every node outside the largest one, with the nodes of other components.
 
-    A shingle that only one of these nodes holds is in no intersection. The others bound each
-    pair's intersection from above, and pairs whose bound is too low are never made: a heavily
-    changed copy meets no one, however many copies share its bucket.
+    Sets bound the pairs before any is made. A shingle that at most ``RARE`` of these nodes hold
+    joins few pairs, and those are taken from the shingle itself. All other pairs share no rare
+    shingle, so what is not rare, counted by hash class, bounds their intersection from above:
+    copies with changes at different places meet no one, however many share their bucket.
     """
     parts = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("size"))
     main = parts.groupBy("band").agg(
         F.max(F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     mixed = materialize(placed.join(main.select("band", F.col("main.component").alias("main")), "band"))
-    held = sets.join(mixed.select(F.col("node").alias("doc_id")).distinct(), "doc_id").select(
-        "doc_id", F.explode("shingles").alias("s"))
-    own = held.groupBy("s").agg(F.count(F.lit(1)).alias("holders"), F.min("doc_id").alias("node")).filter(
-        "holders = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
-    bound = mixed.join(own, "node", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0))).filter(
-        100 * F.col("shared") >= PERCENT * F.col("n"))
-    odd = bound.filter("component <> main").select(
-        "band", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("shared").alias("sx"), F.col("component").alias("cx"))
-    every = bound.select(
-        "band", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("shared").alias("sy"), F.col("component").alias("cy"))
-    most = F.least("sx", "sy")
-    enough = (100 + PERCENT) * most >= PERCENT * (F.col("nx") + F.col("ny"))
-    return _ordered(odd.join(every, (odd.band == every.band) & (F.col("cx") != F.col("cy")) & enough))
+    nodes = mixed.groupBy("node").agg(F.min("n").alias("n"), F.min("component").alias("component"))
+    held = sets.join(nodes.select(F.col("node").alias("doc_id")), "doc_id").select(
+        F.col("doc_id").alias("node"), F.explode("shingles").alias("s"))
+    few = held.groupBy("s").agg(F.count(F.lit(1)).alias("holders")).filter(F.col("holders") <= RARE)
+    rare = materialize(held.join(few, "s"))
+    # What is not rare, counted by hash class: an intersection holds at most the smaller count of each.
+    common = held.join(few, "s", "left_anti").groupBy("node").agg(
+        F.collect_list(F.pmod(F.col("s"), F.lit(CLASSES)).cast("int")).alias("_c"))
+    count = lambda i: F.size(F.filter("_c", lambda c: c == i))
+    counted = common.select("node", F.size("_c").alias("shared"), F.transform(
+        F.sequence(F.lit(0), F.lit(CLASSES - 1)), count).alias("counts"))
+    bound = materialize(nodes.join(counted, "node"))
+    side = lambda t: bound.select(
+        F.col("node").alias(t), F.col("n").alias(f"n{t}"), F.col("shared").alias(f"s{t}"),
+        F.col("counts").alias(f"h{t}"), F.col("component").alias(f"c{t}"))
+    reaches = lambda most: (100 + PERCENT) * most >= PERCENT * (F.col("nx") + F.col("ny"))
+    most = F.aggregate(F.zip_with("hx", "hy", lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
+
+    named = rare.filter("holders > 1")
+    met = named.select("s", F.col("node").alias("x")).join(
+        named.select("s", F.col("node").alias("y")), "s").filter("x < y").groupBy("x", "y").agg(
+        F.count(F.lit(1)).cast("int").alias("k")).join(side("x"), "x").join(side("y"), "y").filter(
+        (F.col("cx") != F.col("cy")) & reaches(F.least("sx", "sy") + F.col("k"))).filter(reaches(most + F.col("k")))
+    able = bound.filter(100 * F.col("shared") >= PERCENT * F.col("n")).select("node", "shared", "counts")
+    left = mixed.join(able, "node")
+    odd = left.filter("component <> main").select(
+        "band", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("shared").alias("sx"),
+        F.col("counts").alias("hx"), F.col("component").alias("cx"))
+    every = left.select(
+        "band", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("shared").alias("sy"),
+        F.col("counts").alias("hy"), F.col("component").alias("cy"))
+    apart = (F.col("cx") != F.col("cy")) & reaches(F.least("sx", "sy"))
+    near = odd.join(every, (odd.band == every.band) & apart & reaches(most))
+    columns = ["x", "nx", "y", "ny"]
+    return _ordered(met.select(*columns).union(near.select(*columns)))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
