@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 DROPOUT, SEED, VARIANTS = 0.1, 17, 2
 MARK = "▁"
-#: Words remembered per worker; longer words are encoded anew each time.
-STORE_WORDS, STORE_LENGTH = 500_000, 48
+#: A worker remembers the words of its last one or two generations of so many, per variant; longer
+#: words are encoded anew each time.
+STORE_WORDS, STORE_LENGTH = 125_000, 40
 _M64 = (1 << 64) - 1
 
 
@@ -58,22 +59,23 @@ class Codec:
         newline = "" if "\n" in self.ids else "\n"
         self.cut = re.compile(f" *[^ {newline}]+|\n| +")
         self.limit, self.seed = int(dropout * (1 << 32)), seed
-        self.store: list[dict[str, tuple[int, ...]]] = [{} for _ in range(VARIANTS)]
+        self.young: list[dict[str, tuple[int, ...]]] = [{} for _ in range(VARIANTS)]
+        self.old: list[dict[str, tuple[int, ...]]] = [{} for _ in range(VARIANTS)]
 
     def encode(self, text: str, variant: int = 0) -> list[int]:
         if not text:
             return []
-        store, out = self.store[variant], []
-        get, extend = store.get, out.extend
+        young, out = self.young[variant], []
+        get, extend, older = young.get, out.extend, self.old[variant].get
         for word in self.cut.findall(" " + text):
             ids = get(word)
             if ids is None:
-                ids = tuple(self._word(word, variant))
+                ids = older(word) or tuple(self._word(word, variant))
                 if len(word) <= STORE_LENGTH:
-                    if len(store) >= STORE_WORDS:
-                        store.clear()
-                    store[word] = ids
+                    young[word] = ids
             extend(ids)
+        if len(young) >= STORE_WORDS:
+            self.young[variant], self.old[variant] = {}, young
         return out
 
     def _word(self, word: str, variant: int) -> list[int]:
