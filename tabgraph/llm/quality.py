@@ -31,7 +31,7 @@ GRADES = 3
 KEEP = 0.5
 #: Words in fewer training documents than this carry no weight.
 SEEN_IN = 8
-STEPS, RATE, SHRINK = 200, 0.05, 1e-3
+STEPS, RATE, SHRINK = 300, 0.05, 1e-3
 #: Bytes of a word's beginning that are features beside the word.
 BEGINNINGS = (4, 5)
 SHAPES = 6
@@ -87,9 +87,11 @@ def fit(grade: np.ndarray, bucket: np.ndarray, offsets: np.ndarray, shape: np.nd
     """
     n = len(grade)
     common = np.bincount(bucket, minlength=BUCKETS) >= SEEN_IN
-    row = np.repeat(np.arange(n), np.diff(offsets))
-    row, bucket = row[common[bucket]], bucket[common[bucket]]
-    words, shapes, cut = np.zeros(BUCKETS), np.zeros(SHAPES), np.array([-1.0, 0.0])
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
+    held = common[bucket]
+    place = np.cumsum(common, dtype=np.int32) - 1
+    row, bucket = row[held], place[bucket[held]]
+    words, shapes, cut = np.zeros(int(common.sum())), np.zeros(SHAPES), np.array([-1.0, 0.0])
     # Rare grades weigh as much as the common one's square root allows.
     share = np.bincount(grade, minlength=GRADES) / n
     weight = 1 / np.sqrt(np.maximum(share[grade], 1e-3))
@@ -107,13 +109,14 @@ def fit(grade: np.ndarray, bucket: np.ndarray, offsets: np.ndarray, shape: np.nd
         for k in range(GRADES - 1):
             at[k] = d_low[grade == k + 1].sum() - d_high[grade == k].sum()
         d_cut = np.append(at.sum(), np.exp(cut[1:]) * at[1:][::-1].cumsum()[::-1])
-        grads = (np.bincount(bucket, d_score[row], BUCKETS) + SHRINK * words, shape.T @ d_score, d_cut)
+        grads = (np.bincount(bucket, d_score[row], len(words)) + SHRINK * words, shape.T @ d_score, d_cut)
         for x, g, (m, v) in zip((words, shapes, cut), grads, moments):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             x -= RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
-    words[~common] = 0
-    return words.astype(np.float32), shapes, np.cumsum(np.concatenate((cut[:1], np.exp(cut[1:]))))
+    every = np.zeros(BUCKETS, np.float32)
+    every[common] = words
+    return every, shapes, np.cumsum(np.concatenate((cut[:1], np.exp(cut[1:]))))
 
 
 def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +129,7 @@ def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shape.append(batch.column("shape").flatten().to_numpy().reshape(-1, SHAPES))
     if not grade:
         return
-    made = fit(np.concatenate(grade).astype(np.int64), np.concatenate(bucket).astype(np.int64),
+    made = fit(np.concatenate(grade).astype(np.int64), np.concatenate(bucket),
                np.concatenate(([0], np.cumsum(np.concatenate(sizes)))), np.concatenate(shape))
     yield pa.RecordBatch.from_arrays(
         [pa.array([x.astype(np.float64).tobytes()], pa.binary()) for x in made], ["words", "shapes", "cuts"])
