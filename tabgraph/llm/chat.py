@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 ENTITIES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&lb;"), ("]", "&rb;"))
 TARGET_ROLE = "assistant"
 _TURN_END = r"(?<=\[/INST\])|(?<=</s>)"
-_OPEN, _CLOSE = F.lit("<s>"), F.lit("</s>")
+_OPEN, _CLOSE = "<s>", "</s>"
 
 
 def escape(text: Column) -> Column:
@@ -51,7 +51,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     target = F.col("role") == TARGET_ROLE
     body = escape(F.col("text"))
     clean = clean.withColumn("_body", body).withColumn("_marked", F.when(
-        target, F.concat(_OPEN, "_body", _CLOSE)
+        target, F.concat(F.lit(_OPEN), "_body", F.lit(_CLOSE))
     ).otherwise(F.concat(F.lit("[INST "), escape(F.col("role")), F.lit("]"), "_body", F.lit("[/INST]"))))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -63,7 +63,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     made = rows.filter("_wanted").withColumn("formatted", F.concat_ws("", "_prefix"))
     return made.select(
         "conv_id", F.col("example").cast("long").alias("example"), "formatted",
-        F.when(F.col("_target"), F.length("formatted") - F.length(_CLOSE) - F.col("_length")).alias("loss_start"),
+        F.when(F.col("_target"), F.length("formatted") - len(_CLOSE) - F.col("_length")).alias("loss_start"),
         F.when(F.col("_target"), F.col("_length")).otherwise(0).alias("loss_length"))
 
 
