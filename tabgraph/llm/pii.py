@@ -40,7 +40,7 @@ TRIGGER = "[0-9@]"
 SAMPLE = 1500
 WINDOW, STEP, REACH = 96, 48, 24
 EMBED, HIDDEN = 12, 16
-EPOCHS, BATCH, RATE, SEED = 6, 64, 0.01, 11
+STEPS, BATCH, RATE, SEED = 350, 32, 0.01, 11
 #: Mean margin, over a span, of the best label above plain text that an added span needs.
 MARGIN = 2.0
 LABELS = 1 + 2 * len(KINDS)  # 0 plain; 1 + 2k begins kind k, 2 + 2k continues it
@@ -175,9 +175,10 @@ class Tagger:
         g["x" + d] += self.p["embed"].T @ per_code
         g["embed"] += per_code @ self.p["x" + d].T
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> "Tagger":
-        """Adam over shuffled batches of (window, time) codes and labels."""
+    def train(self, x: np.ndarray, y: np.ndarray, steps: int = STEPS, seed: int = SEED) -> "Tagger":
+        """About ``steps`` Adam steps over shuffled batches of (window, time) codes and labels."""
         rng, step = np.random.default_rng(seed), 0
+        epochs = max(1, round(steps * BATCH / len(x)))
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(v) for k, v in self.p.items()}
         for epoch in range(epochs):
@@ -186,8 +187,9 @@ class Tagger:
                 rows = order[at: at + BATCH]
                 _, g = self.gradient(x[rows].T, y[rows].T)
                 size, step = np.sqrt(sum(float((a * a).sum()) for a in g.values())), step + 1
-                rate = RATE * (1 - 0.7 * epoch / max(epochs - 1, 1)) * min(1.0, 5.0 / max(size, 1e-9))
+                rate, clip = RATE * (1 - 0.8 * epoch / max(epochs - 1, 1)), min(1.0, 5.0 / max(size, 1e-9))
                 for k, a in g.items():
+                    a = a * clip
                     m[k] += 0.1 * (a - m[k])
                     v[k] += 0.001 * (a * a - v[k])
                     self.p[k] -= rate * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.999 ** step)) + 1e-8)
