@@ -239,7 +239,9 @@ def _scored(batches: Iterator[pa.RecordBatch], languages: list[str], probability
             coded = lists.flatten().dictionary_encode()
             each = log_likelihoods(coded.dictionary.to_pylist(), probability, model)
             index, parent = coded.indices.to_numpy(), pc.list_parent_indices(lists).to_numpy()
-            total = np.stack([np.bincount(parent, each[index, i], part.num_rows) for i in range(len(languages))], axis=1)
+            total = np.zeros((part.num_rows, len(languages)))
+            for i in range(len(languages)):
+                total[:, i] = np.bincount(parent, each[index, i], part.num_rows)
             best = total.argmax(axis=1) if languages else np.zeros(part.num_rows, int)
             score = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1) if languages else np.zeros(part.num_rows)
             spoken = pc.match_substring_regex(text, r"\p{L}").to_numpy(zero_copy_only=False) & bool(languages)
