@@ -132,10 +132,11 @@ def split_stratified(
     require_ratios(train, val)
     if math.isclose(train, 1.0):
         return nodes.withColumn("split", F.lit("train"))
-    quotas = stratified_quotas(nodes.filter(F.col(label).isNotNull()), label, train, val)
-    ranked = hash_rank(nodes, seeded_hash(seed, node), [node], "_rank", by=[label])
+    labelled = nodes.filter(F.col(label).isNotNull())
+    quotas = stratified_quotas(labelled, label, train, val)
+    ranked = hash_rank(labelled, seeded_hash(seed, node), [node], "_rank", by=[label])
     cut = _named_split(F.col("_rank"), F.col("n_train"), F.col("n_train") + F.col("n_val"))
     # `quotas` has one row per class.
-    ranked = ranked.join(quotas, label, "left")
-    cut = F.when(F.col("n_train").isNotNull(), cut)
-    return ranked.withColumn("split", cut).drop("_rank", "n_train", "n_val")
+    split = ranked.join(quotas, label).withColumn("split", cut).drop("_rank", "n_train", "n_val")
+    rest = nodes.filter(F.col(label).isNull()).withColumn("split", F.lit(None).cast("string"))
+    return split.select(*nodes.columns, "split").unionByName(rest)
