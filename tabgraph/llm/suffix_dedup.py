@@ -269,7 +269,9 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     sketch = texts.mapInArrow(_sketch, "key long, gram long, context long, at long")
     grams = sketch.groupBy("gram").agg(
         F.count(F.lit(1)).alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).filter("n > 1")
-    several = materialize(sketch.join(grams.select("gram", (F.col("low") < F.col("high")).alias("several")), "gram"))
+    # Written first, so that the join has two plain exchanges and a hot gram is split.
+    grams = materialize(grams.select("gram", (F.col("low") < F.col("high")).alias("several")))
+    several = materialize(sketch.join(grams, "gram"))
     contexts = several.filter("several").groupBy("gram", "context").agg(
         F.count(F.lit(1)).alias("copies"), F.min("key").alias("key"), F.min_by("at", "key").alias("at"))
     dealt = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("run")).filter(F.col("run") > RUN_MAX).select(
@@ -288,6 +290,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     stretch = found.filter("window is null").select("gram", "context", "low", "high").union(
         across.join(shared, "window").select("gram", "context", "low", "high")
     ).groupBy("gram", "context").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    stretch = materialize(stretch)
     anchor = F.shiftright("at", 16)
     back, near = F.shiftright("at", 8).bitwiseAND(255), F.col("at").bitwiseAND(255)
     span = lambda low, high: (F.shiftleft(anchor - high, 16) + (high - low + LENGTH)).alias("span")
