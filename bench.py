@@ -65,6 +65,7 @@ def b5_overlap_similarity(spark):
     items = lists.window_items(
         src.train(spark, SF_DIR, with_id=True), src.fact(spark, SF_DIR), "customer_id",
         ["product_id"], "timestamp", "review_time", "-6mo")
+    items = materialize(items)  # read three times below
     nodes = materialize(sampling.sample_n(items.select("node_id").distinct(), 5000, ["node_id"]))
     kept = items.join(nodes.select("node_id"), "node_id", "left_semi")
     return rows_of(S.sim_overlap_items(

@@ -20,8 +20,10 @@ def top_product_pool(
     no rows.
     """
     top = top_k_per_year(facts, "product_id", "review_time", top_k).select("year", "product_id")
-    # A fact of any year counts for every year in which its product is a best seller.
-    bought = facts.select("customer_id", "product_id", "review_time").join(top, "product_id")
+    # A fact counts for every year in which its product is a best seller; rows of a year lie
+    # before its end, so later facts can match none of them.
+    bought = facts.select("customer_id", "product_id", "review_time").join(top, "product_id").filter(
+        F.year("review_time") <= F.col("year"))
     rows = train.withColumn("year", F.year("timestamp"))
     kept = window_exists(
         rows, bought.select("customer_id", "year", "review_time"), ["customer_id", "year"],
