@@ -384,6 +384,35 @@ def l5_l8_l9_binary_experiment(spark, sf_dir):
     return experiment.run_experiment(nodes, linked, ["acctbal", "n_orders"], "GCN", hops=(1,))[1]
 
 
+@query("l5_optimal_fit", """
+select split_part(f, ',', 1) as feature, true as optimal
+from (select distinct unnest(['bias,', 'acctbal,', 'n_orders,']) as f from customer)""")
+def l5_optimal_fit(spark, sf_dir):
+    """The fitted weights are a minimum: the mean gradient of the loss vanishes on the train rows."""
+    nodes = sampling.split_stratified(_snapshot_nodes(spark, sf_dir), "y").withColumn("bias", F.lit(1.0))
+    scaled = graph.data_features(nodes, ["acctbal", "n_orders"])
+    kept = scaled.join(nodes.select("node_id", "bias"), "node_id") if "bias" not in scaled.columns else scaled
+    fitted = learn.train_binary(kept, ["acctbal", "n_orders"])
+    off = F.col("p") - F.col("y")
+    means = learn.score(fitted, kept).filter("split = 'train'").agg(
+        *[F.avg(off * F.col(c)).alias(c) for c in ("bias", "acctbal", "n_orders")])
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), (F.abs(F.col(c)) < 1e-3).alias("optimal"))
+                               for c in ("bias", "acctbal", "n_orders")]))
+    return means.select(rows.alias("r")).select("r.*")
+
+
+@query("l9_threshold_scores", """
+select c_custkey as node_id, true as agrees from customer""")
+def l9_threshold_scores(spark, sf_dir):
+    """Every prediction is the threshold on its own probability, and probabilities sum to one."""
+    nodes = sampling.split_stratified(_snapshot_nodes(spark, sf_dir), "y")
+    scaled = graph.data_features(nodes, ["acctbal", "n_orders"])
+    scored = learn.score(learn.train_binary(scaled, ["acctbal", "n_orders"]), scaled)
+    total = F.aggregate("probs", F.lit(0.0), lambda acc, x: acc + x)
+    agrees = (F.col("pred") == (F.col("p") > 0.5).cast("int")) & (F.abs(total - 1) < 1e-9)
+    return scored.select("node_id", agrees.alias("agrees"))
+
+
 @query("l6_multiclass_experiment")
 def l6_multiclass_experiment(spark, sf_dir):
     nodes = sampling.split_stratified(vectors(spark, sf_dir), "y")

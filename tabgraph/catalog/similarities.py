@@ -559,6 +559,17 @@ def x1_sim_count_nulls(spark, sf_dir):
     return rounded(sim.sim_count(some, "n_orders", 0.2).pairs)
 
 
+@query("s9_similarity_map", """
+with m as (select p_brand as key, list(distinct p_type) as related, count(*) as n from part group by 1)
+select distinct key, unnest(case when n % 2 = 0 then related else [key] end) as related from m""")
+def s9_similarity_map(spark, sf_dir):
+    from tabgraph.sources.tables import similarity_map
+
+    lists = src.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("key")).agg(
+        F.collect_set("p_type").alias("related"), F.count(F.lit(1)).alias("n"))
+    return similarity_map(lists.withColumn("related", F.when(F.col("n") % 2 == 0, F.col("related"))))
+
+
 @query("u4_undirected", """
 with e as (select o_custkey as src, o_orderkey as dst from orders)
 select src, dst from e union select dst, src from e""")

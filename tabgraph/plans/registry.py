@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabgraph.functions.text import clean_author_list, flatten_and_filter
 from tabgraph.operators.date_similarity import sim_date
@@ -95,8 +94,3 @@ def similarity(nodes: DataFrame, kind: str, column: str, *, use_preprocessor: bo
     if use_preprocessor and kind != "review_count":
         nodes = preprocess(nodes, column)
     return SIMILARITIES[kind](nodes, column, **options)
-
-
-def is_nested_list(df: DataFrame, column: str) -> bool:
-    kind = df.schema[column].dataType
-    return isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.ArrayType)
