@@ -86,3 +86,5 @@ def chunks(column: pa.Array) -> Iterator[Chunk]:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
         yield Chunk(at, data[offsets[at]: offsets[to]], offsets[at: to + 1] - offsets[at])
         at = to
+    # What earlier batches held goes back to the system before the next one arrives.
+    pa.default_memory_pool().release_unused()

@@ -3,7 +3,7 @@
 Merges run by an agenda: the best-ranked neighbouring pair first, the leftmost of equals. Every
 candidate that comes up is skipped with probability ``dropout``, decided by a keyed hash of
 (seed, variant, word, place, piece), so an encoding is reproducible and another seed gives
-another segmentation. A document's variant (0 .. VARIANTS-1) is a keyed hash of its doc_id, so
+another segmentation. With more than one variant, a document's variant is a keyed hash of its doc_id, so
 one word is cut in several ways inside one pass too. Without dropout the ids are the standard
 encoding of the vocabulary.
 
@@ -30,16 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
-DROPOUT, SEED, VARIANTS = 0.1, 17, 2
+DROPOUT, SEED, VARIANTS = 0.1, 17, 1
 MARK = "▁"
 #: A worker remembers the words of its last one or two generations of so many, per variant; longer
 #: words are encoded anew each time.
-STORE_WORDS, STORE_LENGTH = 125_000, 40
+STORE_WORDS, STORE_LENGTH = 150_000, 40
 _M64 = (1 << 64) - 1
 
 
 class Codec:
-    def __init__(self, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED):
+    def __init__(self, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
         from sentencepiece import SentencePieceProcessor
 
         vocabulary = SentencePieceProcessor(model_file=model)
@@ -59,8 +59,8 @@ class Codec:
         newline = "" if "\n" in self.ids else "\n"
         self.cut = re.compile(f" *[^ {newline}]+|\n| +")
         self.limit, self.seed = int(dropout * (1 << 32)), seed
-        self.young: list[dict[str, tuple[int, ...]]] = [{} for _ in range(VARIANTS)]
-        self.old: list[dict[str, tuple[int, ...]]] = [{} for _ in range(VARIANTS)]
+        self.young: list[dict[str, tuple[int, ...]]] = [{} for _ in range(variants)]
+        self.old: list[dict[str, tuple[int, ...]]] = [{} for _ in range(variants)]
 
     def encode(self, text: str, variant: int = 0) -> list[int]:
         if not text:
@@ -81,17 +81,17 @@ class Codec:
     def _word(self, word: str, variant: int) -> list[int]:
         # A literal mark may not be read as white space, so no piece may hold it.
         symbols: list[str | None] = [MARK if c == " " else "\0" + c if c == MARK else c for c in word]
-        n, rank, limit = len(symbols), self.rank, self.limit
+        n, rank, limit = len(symbols), self.rank.get, self.limit
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        key = zlib.crc32(word.encode(), self.seed * VARIANTS + variant) * 0x9E3779B97F4A7C15
+        key = zlib.crc32(word.encode(), (self.seed * 4096 + variant) & 0xFFFFFFFF) * 0x9E3779B97F4A7C15
         agenda = []
         for i in range(n - 1):
             pair = symbols[i] + symbols[i + 1]
-            if pair in rank:
-                agenda.append((rank[pair], i, pair))
+            if (order := rank(pair)) is not None:
+                agenda.append((order, i, pair))
         heapq.heapify(agenda)
         while agenda:
-            order, i, pair = heapq.heappop(agenda)
+            _, i, pair = heapq.heappop(agenda)
             left = symbols[i]
             j = after[i]
             if left is None or j >= n or len(left) + len(symbols[j]) != len(pair) or left + symbols[j] != pair:
@@ -106,13 +106,13 @@ class Codec:
             if k < n:
                 before[k] = i
                 wider = pair + symbols[k]
-                if wider in rank:
-                    heapq.heappush(agenda, (rank[wider], i, wider))
+                if (order := rank(wider)) is not None:
+                    heapq.heappush(agenda, (order, i, wider))
             h = before[i]
             if h >= 0:
                 wider = symbols[h] + pair
-                if wider in rank:
-                    heapq.heappush(agenda, (rank[wider], h, wider))
+                if (order := rank(wider)) is not None:
+                    heapq.heappush(agenda, (order, h, wider))
         out = []
         for symbol in symbols:
             if symbol is None:
@@ -131,15 +131,15 @@ class Codec:
 _codecs: dict[tuple, Codec] = {}
 
 
-def codec(model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED) -> Codec:
+def codec(model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> Codec:
     """The worker's codec; one per setting."""
-    if (key := (model, dropout, seed)) not in _codecs:
+    if (key := (model, dropout, seed, variants)) not in _codecs:
         _codecs[key] = Codec(*key)
     return _codecs[key]
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], model: str, dropout: float, seed: int) -> Iterator[pa.RecordBatch]:
-    own = codec(model, dropout, seed)
+def _encoded(batches: Iterator[pa.RecordBatch], setting: tuple) -> Iterator[pa.RecordBatch]:
+    own = codec(*setting)
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
@@ -155,19 +155,21 @@ def _encoded(batches: Iterator[pa.RecordBatch], model: str, dropout: float, seed
                 [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                  pa.array(np.diff(offsets).astype(np.int64)), pa.array(digests), pa.array(same)],
                 ["doc_id", "ids", "n_tokens", "ids_sha256", "lossless"])
+        pa.default_memory_pool().release_unused()
 
 
-def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED,
+           variants: int = VARIANTS) -> DataFrame:
     """(doc_id, ids, n_tokens, ids_sha256, lossless) for every row of ``docs`` (doc_id, text).
 
     ``ids_sha256`` is taken over little-endian 32-bit ids; ``lossless`` says that decoding the
     ids gave back the text.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"),
-                       F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(VARIANTS)).cast("int").alias("variant"))
+                       F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(variants)).cast("int").alias("variant"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(
-        lambda b: _encoded(b, model, dropout, seed),
+        lambda b: _encoded(b, (model, dropout, seed, variants)),
         f"doc_id {kind}, ids array<int>, n_tokens long, ids_sha256 string, lossless boolean")
 
 
