@@ -322,7 +322,7 @@ def test_without_dropout_the_encoding_is_standard(documents):
 
 
 def test_dropout_is_seeded_varied_and_lossless(spark, documents, odd_docs, no_docs):
-    one, two = spm.Codec(seed=1), spm.Codec(seed=2)
+    one, two = spm.Codec(seed=1, variants=2), spm.Codec(seed=2)
     texts = list(texts_of(documents).values())[:40]
     assert [one.encode(t) for t in texts] == [spm.Codec(seed=1).encode(t) for t in texts]
     assert sum(one.encode(t) != two.encode(t) for t in texts) > 35
@@ -330,6 +330,7 @@ def test_dropout_is_seeded_varied_and_lossless(spark, documents, odd_docs, no_do
     assert [one.decode(one.encode(t)) for t in texts] == texts
     made = spm.encode(odd_docs)
     assert made.count() == odd_docs.count() and made.filter("not lossless").count() == 0
+    assert spm.encode(odd_docs, variants=3).filter("not lossless").count() == 0
     back = sorted((r.text for r in spm.decode(made).collect()))
     assert back == sorted(r.text or "" for r in odd_docs.collect())
     assert spm.encode(no_docs).count() == 0
