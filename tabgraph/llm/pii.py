@@ -279,8 +279,14 @@ def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Tagger | None:
-    """A tagger trained in one task on the ``sample`` texts with triggers whose hashes are smallest."""
-    held = docs.select("text").filter(F.col("text").rlike(TRIGGER)).orderBy(F.xxhash64("text"), "text").limit(sample)
+    """A tagger trained in one task on the ``sample`` distinct texts with triggers whose hashes are smallest.
+
+    The draw moves hashes only; texts follow for what was drawn.
+    """
+    texts = docs.select("text", F.xxhash64("text").alias("h")).filter(F.col("text").rlike(TRIGGER))
+    # At most `sample` hashes.
+    drawn = texts.select("h").distinct().orderBy("h").limit(sample)
+    held = texts.join(F.broadcast(drawn), "h").dropDuplicates(["h"]).select("text")
     rows = held.coalesce(1).mapInArrow(_trained, "name string, value binary").collect()
     if not rows:
         return None
