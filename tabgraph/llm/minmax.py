@@ -212,7 +212,10 @@ def _rest_pairs(placed: DataFrame, sets: DataFrame) -> DataFrame:
     count = lambda i: F.size(F.filter("_c", lambda c: c == i))
     counted = common.select("node", F.size("_c").alias("shared"), F.transform(
         F.sequence(F.lit(0), F.lit(CLASSES - 1)), count).alias("counts"))
-    bound = materialize(nodes.join(counted, "node"))
+    # A node whose shingles are all rare has no counts; its pairs come from the shingles alone.
+    bound = materialize(nodes.join(counted, "node", "left").select(
+        "node", "n", "component", F.coalesce("shared", F.lit(0)).alias("shared"),
+        F.coalesce("counts", F.array_repeat(F.lit(0), CLASSES)).alias("counts")))
     side = lambda t: bound.select(
         F.col("node").alias(t), F.col("n").alias(f"n{t}"), F.col("shared").alias(f"s{t}"),
         F.col("counts").alias(f"h{t}"), F.col("component").alias(f"c{t}"))

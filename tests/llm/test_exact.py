@@ -136,6 +136,21 @@ def test_a_family_without_its_original(spark):
     assert near(spark.createDataFrame(rows, "doc_id long, text string"), 2) == classes(dict(rows), 2)
 
 
+@pytest.mark.parametrize("words", [2, 5])
+def test_families_whose_shingles_are_all_rare(spark, words):
+    """Three to six siblings near the similarity, and no shingle that more than one family holds."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for family in range(600):
+        base = [f"f{family}w{i}" for i in range(150)]
+        for _ in range(int(rng.integers(3, 7))):
+            copy = list(base)
+            for at in rng.choice(150, {2: 4, 5: 1}[words] + int(rng.integers(0, 2)), replace=False):
+                copy[at] = f"c{len(rows)}x{at}"
+            rows.append((len(rows), " ".join(copy)))
+    assert near(spark.createDataFrame(rows, "doc_id long, text string"), words) == classes(dict(rows), words)
+
+
 def test_near_duplicates_of_odd_rows(spark, odd_docs, no_docs):
     got = minmax.near_duplicates(odd_docs, 2).collect()
     assert len(got) == odd_docs.count()
