@@ -5,9 +5,9 @@ none, such as written-out addresses or numbers set in unusual ways. It is traine
 labelled spans: the base spans of a bounded sample of documents, and variants of them made by
 rule (see ``varied``), in windows of text without other personal data around them.
 
-Every span of the label scheme holds a digit or an at-sign; decoding enforces it. A stretch
-without either is thus decoded as plain text whatever the network says, and windows are laid
-only where a trigger lies within reach, over the whole of every text. Windows overlap;
+Every value holds a digit, an at-sign, or the word "at" or "dot" (in any case, plain or in
+brackets): the cues of written-out addresses. Windows are laid wherever one of these lies within
+reach, over the whole of every text. Spans other than e-mail also have to hold a digit. Windows overlap;
 a character takes its label from the window in which it lies farthest from an edge, and labels
 of the whole text are then read as spans together.
 
@@ -36,15 +36,22 @@ PATTERNS = {
 }
 #: Characters of which any match holds one; only texts with a trigger meet the patterns.
 TRIGGER = "[0-9@]"
+#: Words of written-out addresses; brackets are no letters. Texts with a trigger or a cue meet the network.
+CUE = "(?<![A-Za-z])(?:[Aa][Tt]|[Dd][Oo][Tt])(?![A-Za-z])"
 #: Training reads at most this many documents that hold a trigger.
 SAMPLE = 1500
 WINDOW, STEP, REACH = 96, 48, 24
 EMBED, HIDDEN = 12, 16
-STEPS, BATCH, RATE, SEED = 350, 32, 0.01, 11
+STEPS, BATCH, RATE, SEED = 900, 32, 0.01, 11
 #: Mean margin, over a span, of the best label above plain text that an added span needs.
 MARGIN = 2.0
 LABELS = 1 + 2 * len(KINDS)  # 0 plain; 1 + 2k begins kind k, 2 + 2k continues it
 _CODES = 64
+CASED = re.compile(r"(?<=[ \[(])(?:at|dot)(?=[ \])])")
+WRITTEN_AT = (" at ", " at ", " at ", " [at] ", "[at]", " (at) ", "(at)")
+WRITTEN_DOT = (" dot ", " dot ", " dot ", " [dot] ", "[dot]", " (dot) ", "(dot)", ".", ".")
+#: Written-out forms without digits that each e-mail address of the training texts gives.
+DIGITLESS = 12
 
 
 def luhn(digits: str) -> bool:
@@ -83,9 +90,14 @@ _CLASS[48:58], _CLASS[65:91], _CLASS[97:123] = 2, 3, 4
 _CLASS[[9, 10, 11, 12, 13]] = 5
 for _number, _c in enumerate(" !\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"):
     _CLASS[ord(_c)] = 6 + _number
-# The letters of written-out "at" and "dot" keep classes of their own.
-for _number, _c in enumerate("atdo"):
+# The letters of written-out "at" and "dot" keep classes of their own, small and large.
+for _number, _c in enumerate("atdoATDO"):
     _CLASS[ord(_c)] = 42 + _number
+_LETTER = np.zeros(_CODES, bool)
+_LETTER[[3, 4, *range(42, 50)]] = True
+#: Which of "atdo" a class is, in either case.
+_WRITTEN = np.full(_CODES, -1)
+_WRITTEN[42:50] = np.tile(np.arange(4), 2)
 _CORE = np.zeros(_CODES, bool)
 _CORE[[2, _CLASS[ord("@")]]] = True
 
@@ -240,22 +252,40 @@ def varied(kind: int, text: str, rng: np.random.Generator) -> str:
             f"00{digits[:-10]} {digits[-10:-7]} {digits[-7:-4]} {digits[-4:]}", f"+{digits[:-10]}/{digits[-10:-7]}/{digits[-7:]}")[pick]
 
 
+def digitless(address: str, rng: np.random.Generator) -> str:
+    """An e-mail address written out, with letters for its digits; its name has one to three parts."""
+    letters = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(2, 9))))
+    name, _, host = address.partition("@")
+    name = re.split(r"[._%+-]+", re.sub("[0-9]", "", name))[0] or letters()
+    name = "._-"[int(rng.integers(3))].join([name, *(letters() for _ in range(int(rng.integers(3))))])
+    labels = [re.sub("[0-9]", "", x) or letters() for x in host.split(".")]
+    labels[0] = letters() if rng.integers(2) else labels[0]
+    at, dot = WRITTEN_AT[int(rng.integers(len(WRITTEN_AT)))], WRITTEN_DOT[int(rng.integers(len(WRITTEN_DOT)))]
+    written = name + at + dot.join(labels[-2:] if rng.integers(2) else labels)
+    return written if rng.integers(4) else CASED.sub(lambda m: m.group().upper(), written)
+
+
 def training_windows(text: str, rng: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
     """Labelled windows around the base spans of a text, as they stand and varied, and one without any."""
     spans, made = sorted(base_spans(text), key=lambda s: s[1]), []
     clear = [s for i, s in enumerate(spans) if all(s[2] <= o[1] or o[2] <= s[1] for j, o in enumerate(spans) if j != i)]
     for kind, start, end in clear[:4]:
-        for value in (text[start:end], varied(kind, text[start:end], rng)):
+        values = [text[start:end], varied(kind, text[start:end], rng)]
+        if KINDS[kind] == "email":
+            values += [digitless(text[start:end], rng) for _ in range(DIGITLESS)]
+        for value in values:
             lead = int(rng.integers(4, max(5, WINDOW - len(value) - 4)))
             left, right = text[max(0, start - lead): start], text[end: end + WINDOW]
             if any(o[1] < start and o[2] > start - lead or o[1] < end + WINDOW and o[2] > end for o in spans if o[1] != start):
                 left, right = re.sub(r"[0-9@+]", "x", left), re.sub(r"[0-9@+]", "x", right)
+            if KINDS[kind] == "email" and not rng.integers(3):
+                left, right = left[-int(rng.integers(1, 24)):].lstrip(), "" if rng.integers(2) else right
             window = (left + value + right)[:WINDOW]
             label = np.zeros(len(window), np.int64)
             label[len(left): len(left) + len(value)] = 2 + 2 * kind
             label[len(left): len(left) + 1] = 1 + 2 * kind
             made.append((codes(window), label))
-    for m in list(re.finditer(TRIGGER, text))[:40:8]:
+    for m in [*list(re.finditer(TRIGGER, text))[:40:8], *list(re.finditer(CUE, text))[:2]]:
         low = max(0, m.start() - WINDOW // 2)
         if not any(s[1] < low + WINDOW and s[2] > low for s in spans):
             window = text[low: low + WINDOW]
@@ -296,9 +326,18 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Tagger | None:
     return tagger
 
 
+def cue_places(code: np.ndarray) -> np.ndarray:
+    """Where the matches of ``CUE`` begin."""
+    around = np.concatenate(([0], code, [0, 0, 0]))
+    letter, written, n = _LETTER[around], _WRITTEN[around], len(code)
+    at = (written[1: n + 1] == 0) & (written[2: n + 2] == 1) & ~letter[3: n + 3]
+    dot = (written[1: n + 1] == 2) & (written[2: n + 2] == 3) & (written[3: n + 3] == 1) & ~letter[4: n + 4]
+    return np.flatnonzero((at | dot) & ~letter[:n])
+
+
 def window_starts(code: np.ndarray) -> np.ndarray:
-    """Starts of the windows of a text: every step whose window lies within reach of a trigger."""
-    core = np.flatnonzero(_CORE[code])
+    """Starts of the windows of a text: every step whose window lies within reach of a trigger or a cue."""
+    core = np.union1d(np.flatnonzero(_CORE[code]), cue_places(code))
     steps = np.arange(0, max(len(code) - STEP, 1), STEP)
     near = np.searchsorted(core, steps + WINDOW + REACH) > np.searchsorted(core, steps - REACH)
     return steps[near]
@@ -333,7 +372,7 @@ def tagged(codes_of: list[np.ndarray], tagger: Tagger) -> list[list[tuple[int, i
 
 
 def _read(labels: np.ndarray, margin: np.ndarray, code: np.ndarray) -> list[tuple[int, int, int]]:
-    """Spans of a text's labels: they hold a core character and are sure enough."""
+    """Spans of a text's labels that are sure enough; all kinds but e-mail hold a core character."""
     held = np.flatnonzero(labels)
     spans, at = [], 0
     while at < len(held):
@@ -341,7 +380,7 @@ def _read(labels: np.ndarray, margin: np.ndarray, code: np.ndarray) -> list[tupl
         kind, end = (labels[start] - 1) // 2, start + 1
         while end < len(labels) and labels[end] == 2 + 2 * kind:
             end += 1
-        if _CORE[code[start:end]].any() and margin[start:end].mean() >= MARGIN:
+        if (KINDS[kind] == "email" or _CORE[code[start:end]].any()) and margin[start:end].mean() >= MARGIN:
             spans.append((int(kind), int(start), int(end)))
         at = np.searchsorted(held, end)
     return spans
@@ -376,10 +415,10 @@ def spans(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     counts = [f"n_{k}" for k in KINDS]
-    held = texts.filter(F.col("text").rlike(TRIGGER)).mapInArrow(
+    held = texts.filter(F.col("text").rlike(f"{TRIGGER}|{CUE}")).mapInArrow(
         lambda b: _span_rows(b, tagger),
         f"doc_id {kind}, " + ", ".join(f"{c} long" for c in counts) + ", base_sha256 string, spans string")
-    empty = texts.filter(~F.col("text").rlike(TRIGGER)).select(
+    empty = texts.filter(~F.col("text").rlike(f"{TRIGGER}|{CUE}")).select(
         "doc_id", *[F.lit(0).cast("long").alias(c) for c in counts], F.sha2(F.lit(""), 256).alias("base_sha256"), F.lit("").alias("spans"))
     return held.union(empty)
 
@@ -405,5 +444,5 @@ def _masked(batches: Iterator[pa.RecordBatch], tagger: Tagger | None) -> Iterato
 
 def masked(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
     """``docs`` with personal data in ``text`` masked; all other columns and rows stay."""
-    held = F.coalesce(F.col("text").rlike(TRIGGER), F.lit(False))
+    held = F.coalesce(F.col("text").rlike(f"{TRIGGER}|{CUE}"), F.lit(False))
     return docs.filter(held).mapInArrow(lambda b: _masked(b, tagger), docs.schema).union(docs.filter(~held))

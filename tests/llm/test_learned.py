@@ -149,6 +149,28 @@ def test_network_finds_held_out_variants_and_leaves_prose_alone(spark, tagger):
     assert all(not s for s in pii.tagged([pii.codes(t) for t in plain], tagger))
 
 
+def test_cues_are_found_in_codes_as_in_text():
+    for text in ["at", "AT dot", "x at", "cat", "[at] (DOT)", "Dota at", "atdot", "é at", "do t", "a", "", "dot at dot"]:
+        assert pii.cue_places(pii.codes(text)).tolist() == [m.start() for m in re.finditer(pii.CUE, text)], text
+
+
+def test_network_finds_addresses_without_digits(spark, tagger):
+    lead, tail = "the and of with from that this or by as please write to ", " for the rest of it and thank you"
+    found = total = 0
+    for at, dot in ((" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" AT ", " DOT "), ("[at]", ".")):
+        for name in ("jane.doe", "jdoe", "anna_maria", "info", "m.dubois"):
+            for host in ("example.org", "mail.example.com", "firma.de"):
+                text = lead + name + at + host.replace(".", dot) + tail
+                seen = pii.all_spans([text], tagger)[0][1]
+                found += any(k == 0 and a < len(text) - len(tail) and b > len(lead) for k, a, b in seen)
+                total += 1
+    print(f"written-out addresses without digits: {found} of {total}")
+    assert found >= 0.75 * total
+    docs = spark.createDataFrame([(1, lead + "jane.doe [at] example [dot] org" + tail)], "doc_id long, text string")
+    assert "email:" in pii.spans(docs, tagger).first().spans
+    assert "<email>" in pii.masked(docs, tagger).first().text
+
+
 def test_windows_do_not_change_a_span(tagger):
     """A span reads the same wherever the window steps fall."""
     lead = "the and of with from that this or by as "
