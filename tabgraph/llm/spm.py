@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
-DROPOUT, SEED, VARIANTS = 0.1, 17, 1
+DROPOUT, SEED, VARIANTS = 0.1, 17, 2
 MARK = "▁"
 #: A worker remembers the words of its last one or two generations of so many, per variant; longer
 #: words are encoded anew each time.
-STORE_WORDS, STORE_LENGTH = 150_000, 40
+STORE_WORDS, STORE_LENGTH = 60_000, 40
 _M64 = (1 << 64) - 1
 
 
@@ -59,8 +59,13 @@ class Codec:
         newline = "" if "\n" in self.ids else "\n"
         self.cut = re.compile(f" *[^ {newline}]+|\n| +")
         self.limit, self.seed = int(dropout * (1 << 32)), seed
-        self.young: list[dict[str, tuple[int, ...]]] = [{} for _ in range(variants)]
-        self.old: list[dict[str, tuple[int, ...]]] = [{} for _ in range(variants)]
+        self.variants = variants
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the word stores."""
+        self.young: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
+        self.old: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
 
     def encode(self, text: str, variant: int = 0) -> list[int]:
         if not text:
@@ -156,6 +161,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], setting: tuple) -> Iterator[pa.R
                  pa.array(np.diff(offsets).astype(np.int64)), pa.array(digests), pa.array(same)],
                 ["doc_id", "ids", "n_tokens", "ids_sha256", "lossless"])
         pa.default_memory_pool().release_unused()
+    own.forget()
 
 
 def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED,

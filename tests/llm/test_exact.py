@@ -351,6 +351,12 @@ def test_dropout_is_seeded_varied_and_lossless(spark, documents, odd_docs, no_do
     assert spm.encode(no_docs).count() == 0
 
 
+def test_one_word_is_cut_differently_in_different_documents(spark):
+    rows = [(i, "characteristics straightforward") for i in range(40)]
+    made = spm.encode(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({tuple(r.ids) for r in made}) > 1 and all(r.lossless for r in made)
+
+
 def test_every_merge_may_be_skipped():
     assert len(spm.Codec(dropout=1.0).encode("hello")) == 1 + len("hello")
 
