@@ -143,17 +143,22 @@ def grades(labels: DataFrame) -> DataFrame:
         F.min("grade").alias("grade"))
 
 
+def _drawn_features(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """(grade, buckets, shape) of the drawn documents, made in all tasks; only these rows meet in one partition, in a fixed order."""
+    rated = grades(labels).join(docs.select("doc_id").distinct(), "doc_id")
+    # At most `sample` rows.
+    drawn = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "grade")
+    return texts.mapInArrow(_feature_rows, "grade int, buckets array<int>, shape array<double>").repartition(1).sortWithinPartitions(
+        "grade", "buckets", "shape")
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """The model, fitted in one task on the ``sample`` labelled documents with the smallest hashes of doc_id.
 
     Labels without a document do not count towards the sample. None without labelled documents.
     """
-    rated = grades(labels).join(docs.select("doc_id").distinct(), "doc_id")
-    # At most `sample` rows.
-    drawn = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "grade")
-    made = texts.mapInArrow(_feature_rows, "grade int, buckets array<int>, shape array<double>").coalesce(1).mapInArrow(
-        _fitted, "words binary, shapes binary, cuts binary").collect()
+    made = _drawn_features(docs, labels, sample).mapInArrow(_fitted, "words binary, shapes binary, cuts binary").collect()
     return tuple(np.frombuffer(bytes(x)) for x in made[0]) if made else None
 
 

@@ -92,6 +92,13 @@ def test_held_out_grades(spark):
     assert kept[0] <= 0.15 and kept[1] <= 0.15 and kept[2] >= 0.95
 
 
+def test_only_drawn_features_meet_in_one_task(spark):
+    read = lambda name: spark.read.parquet(f"{SMALL}/{name}.parquet")
+    plan = quality._drawn_features(read("documents"), read("labels"), 50)._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" not in plan
+    assert 0 < plan.index("Exchange SinglePartition") < plan.index("MapInArrow")
+
+
 def test_quality_of_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame(
         [(1, 1, 0), (1, 0, 1), (2, None, None), (3, None, 0), (4, 0, None), (None, 1, 0), (99, 1, 0)], "doc_id long, quality int, toxic int")
