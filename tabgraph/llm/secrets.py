@@ -73,16 +73,16 @@ def find(text: Column, rule: Rule) -> Column:
     return F.when(hit, F.aggregate(steps, empty, step, lambda s: s["found"])).otherwise(none)
 
 
-def blobs(paths: DataFrame, path: str, text: str) -> DataFrame:
+def blobs(paths: DataFrame, path: str, text: str, *more: str) -> DataFrame:
     """(path, blob): the content address of every path's text."""
-    return paths.select(F.col(path).alias("path"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("blob"))
+    return paths.select(F.col(path).alias("path"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("blob"), *more)
 
 
 def scan(paths: DataFrame, path: str = "doc_id", text: str = "text", ledger: DataFrame | None = None,
          rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """New ledger entries (blob, kind, version, found) for the unseen pairs of blob and rule.
 
-    ``path`` names rows uniquely. Pairs without findings are entries too, with an empty
+    ``path`` may repeat or be null. Pairs without findings are entries too, with an empty
     ``found``: they need no second scan. One path per blob is picked from the addresses alone,
     so only the texts of unseen blobs meet the patterns.
     """
@@ -96,9 +96,12 @@ def scan(paths: DataFrame, path: str = "doc_id", text: str = "text", ledger: Dat
         ).filter(F.size("_due") > 0)
     else:
         new = new.withColumn("_due", known)
-    texts = paths.select(F.col(path).alias("_one"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    texts = blobs(paths.withColumn("_text", F.coalesce(F.col(text), F.lit(""))), path, text, "_text")
     due = lambda r: F.array_contains("_due", F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")))
-    scanned = texts.join(new, "_one").select(
+    # The blob says which text is meant where a path repeats; null paths meet too.
+    met = texts.alias("t").join(new.alias("n"), (F.col("t.blob") == F.col("n.blob")) & F.col("t.path").eqNullSafe(F.col("n._one")))
+    once = met.select("t.blob", "_text", "_due").dropDuplicates(["blob"])
+    scanned = once.select(
         "blob", *[F.when(due(r), find(F.col("_text"), r)).alias(r.kind) for r in rules])
     entries = F.array(*[F.struct(
         F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.col(r.kind).alias("found")) for r in rules])
