@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabgraph.llm import chat, decontam, hnsw, langid, minmax, pii, quality, secrets, spm, suffix_dedup
+from tabgraph.llm import chat, decontam, hnsw, langid, lexical, minmax, pii, quality, rules, secrets, spm, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -139,3 +139,76 @@ def op5_nearest_neighbours(spark, sf_dir):
     vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     index, shards = hnsw.build_index(vectors, 10)
     return hnsw.search(index, shards, vectors.filter("vec_id % 100 = 0"), 10)
+
+
+@_query
+def op12_quality_rules(spark, sf_dir):
+    return rules.judged(_read(spark, sf_dir, "documents"))
+
+
+def _rules_oracle() -> str:
+    number = len(rules.RULES)
+    cast = ", ".join(f"case when {r.drop} then -1 when {r.keep} then 1 else 0 end" for r in rules.RULES)
+    log_odds = ("ln(good / (1 - good)) + list_sum(list_transform(range(1, {n} + 1), lambda i: case when votes[i] > 0 then ln(keep[i] / (1 - dropped[i])) "
+                "when votes[i] < 0 then ln((1 - keep[i]) / dropped[i]) else 0.0 end))").format(n=number)
+    share = lambda start, side, test: "[" + ", ".join(
+        f"({rules.PSEUDO * start} + coalesce(sum({side}) filter (votes[{i}] = {test}), 0)) / ({rules.PSEUDO} + coalesce(sum({side}) filter (votes[{i}] <> 0), 0))"
+        for i in range(1, number + 1)) + "]"
+    quoted = rules.PUNCTUATION.replace("'", "''")
+    count_of = lambda chars: f"length(t) - length(translate(t, '{chars}', ''))"
+    return rf"""
+with recursive docs as (select row_number() over () as r, doc_id, coalesce("text", '') as t from documents),
+split as (select *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') as words,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from docs),
+places as (select r, words, unnest(range(1, len(words) - 1)) as i from split where len(words) >= 3),
+windows as (select r, i, count(*) over (partition by r, words[i], words[i + 1], words[i + 2]) as n from places),
+covered as (select r, count(distinct i + k)::bigint as n_repeat_words from windows, (select unnest([0, 1, 2]) as k) where n > 1 group by r),
+counted as (select s.r, doc_id, len(words)::bigint as n_words,
+    coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::bigint as word_chars,
+    {count_of(rules.SYMBOLS)} as n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words,
+    len(lines) as n_lines, {count_of("ABCDEFGHIJKLMNOPQRSTUVWXYZ")} as n_capitals, {count_of("0123456789")} as n_digits,
+    {count_of("!")} as n_shouts, {count_of(".!?")} as n_ends, {count_of(quoted)} as n_marks
+  from split s left join covered c on s.r = c.r),
+voted as materialized (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, [{cast}] as votes from counted),
+patterns as materialized (select votes, count(*)::double as n from voted where not base_failed group by votes),
+model(step, good, keep, dropped) as (
+  select 0, {rules.START_GOOD}::double, list_resize([]::double[], {number}, {rules.START_KEEP}::double), list_resize([]::double[], {number}, {rules.START_DROP}::double)
+  union all
+  select any_value(step) + 1, ({rules.PSEUDO * rules.START_GOOD} + sum(g)) / ({rules.PSEUDO} + sum(n)),
+    {share(rules.START_KEEP, "g", 1)}, {share(rules.START_DROP, "b", -1)}
+  from (select step, votes, n, n * p as g, n * (1 - p) as b from (
+    select step, votes, n, 1 / (1 + exp(-({log_odds}))) as p from model, patterns where step < {rules.STEPS}))
+  having count(*) > 0),
+scored as (select v.*, 1 / (1 + exp(-({log_odds}))) as p from voted v, model where step = {rules.STEPS})
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and p >= {rules.THRESHOLD} as kept, round(p, 6) as quality from scored
+"""
+
+
+ORACLES["op12_quality_rules"] = _rules_oracle()
+
+
+@_query
+def op11_lexical_search(spark, sf_dir):
+    return lexical.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_lexical_search"] = r"""
+with words as (
+  select doc_id, unnest(regexp_extract_all(translate("text", 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+sized as (select doc_id, count(*) as n from words group by doc_id),
+whole as (select count(*) as docs, sum(n)::bigint as terms from sized),
+asked as (
+  select item_id, term, count(*) as c from (
+    select item_id, unnest(regexp_extract_all(translate("text", 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark) group by item_id, term),
+hits as (select doc_id, term, count(*) as tf from words where term in (select term from asked) group by doc_id, term),
+weights as (select term, floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)))::bigint as w from hits, whole group by term),
+gains as (
+  select h.doc_id, h.term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))) as gain
+  from hits h join sized s on h.doc_id = s.doc_id join weights w on h.term = w.term, whole),
+scores as (select item_id, doc_id, sum(c * gain)::bigint as score from asked a join gains g on a.term = g.term group by item_id, doc_id),
+ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id) as r from scores where score > 0)
+select item_id, r::integer as rank, doc_id, score from ranked where r <= 10
+"""
