@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabgraph.llm import chat, decontam, hnsw, langid, lexical, minmax, pii, quality, rules, secrets, spm, suffix_dedup
+from tabgraph.llm import chat, decontam, hnsw, langid, lexical, minmax, negatives, pii, quality, rules, secrets, spm, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -212,3 +212,31 @@ scores as (select item_id, doc_id, sum(c * gain)::bigint as score from asked a j
 ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id) as r from scores where score > 0)
 select item_id, r::integer as rank, doc_id, score from ranked where r <= 10
 """
+
+
+@_query
+def op13_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("vector"))
+    return negatives.mine(rows, F.col("id") % 100 == 0)
+
+
+ORACLES["op13_hard_negatives"] = """
+with rows as (
+  select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.id as anchor_id, r.id, r.label = a.label as same, list_sum(list_transform(list_zip(a.v, r.v), lambda p: p[1] * p[2]))::bigint as score
+  from rows a join rows r on a.id <> r.id where a.id % 100 = 0),
+positive as (select * from (
+  select anchor_id, id as positive_id, score as positive_score, row_number() over (partition by anchor_id order by score desc, id) as r
+  from scored where same) where r <= 5),
+negative as (
+  select p.anchor_id, positive_id, id as negative_id, positive_score, score as negative_score,
+    row_number() over (partition by p.anchor_id, positive_id order by score desc, id) as r
+  from positive p join scored s on p.anchor_id = s.anchor_id
+  where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score)
+select anchor_id, positive_id, r::integer as rank, negative_id, positive_score, negative_score from negative where r <= 10
+"""
