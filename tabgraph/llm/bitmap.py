@@ -43,8 +43,9 @@ def thinned(df: DataFrame, hashed: str, bits: np.ndarray, inverse: bool = False)
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is not in ``dropped`` (doc_id). Only rows that may go are shuffled."""
     dropped = materialize(dropped)
-    marked = docs.withColumn("_h", F.xxhash64("doc_id"))
+    spare = next(name for n in range(len(docs.columns) + 1) if (name := f"_h{n}") not in docs.columns)
+    marked = docs.withColumn(spare, F.xxhash64("doc_id"))
     bits = bitmap(dropped.select(F.xxhash64("doc_id").alias("h")), "h")
-    sure = thinned(marked, "_h", bits, inverse=True).drop("_h")
-    rest = thinned(marked, "_h", bits).drop("_h")
+    sure = thinned(marked, spare, bits, inverse=True).drop(spare)
+    rest = thinned(marked, spare, bits).drop(spare)
     return sure.union(rest.join(dropped, rest["doc_id"].eqNullSafe(dropped["doc_id"]), "left_anti"))

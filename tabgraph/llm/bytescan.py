@@ -33,6 +33,26 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+#: Prime moduli and bases of the span hashes: no text can be built whose powers cancel, as they can modulo 2^64.
+PRIMES, BASES = (2147483647, 2147483629), (1103515245, 1664525)
+_prime_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def prime_powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo a prime, for i < n at least."""
+    held = _prime_powers.get(which)
+    if held is None or len(held[0]) < n:
+        prime, size = PRIMES[which], max(n, CHUNK + 4096)
+        tables = []
+        for base in (BASES[which], pow(BASES[which], -1, prime)):
+            made = np.ones(1, np.uint64)
+            while len(made) < size:  # doubles: base**(i + n) = base**i * base**n
+                made = np.concatenate((made, made * np.uint64(pow(base, len(made), prime)) % np.uint64(prime)))
+            tables.append(made[:size])
+        held = _prime_powers[which] = tables[0], tables[1]
+    return held
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit (splitmix64's finaliser)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -46,12 +66,16 @@ class Chunk:
     def __init__(self, first: int, data: np.ndarray, offsets: np.ndarray):
         self.first, self.data, self.offsets, self.n = first, data, offsets, len(offsets) - 1
 
-    def prefix(self, data: np.ndarray | None = None) -> np.ndarray:
-        """Running polynomial sums, from which any span's hash follows."""
+    def prefix(self, data: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Running polynomial sums modulo two primes, from which any span's hash follows."""
         data = self.data if data is None else data
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data) + 1)[0][: len(data)], out=sums[1:])
-        return sums
+        digits, sums = data.astype(np.uint64) + np.uint64(1), []
+        for which, prime in enumerate(PRIMES):
+            total = np.zeros(len(data) + 1, np.uint64)
+            # Terms under 2^31 add up below 2^63 for any text that fits a row.
+            np.cumsum(digits * prime_powers(which, len(data) + 1)[0][: len(data)] % np.uint64(prime), out=total[1:])
+            sums.append(total)
+        return sums[0], sums[1]
 
     def words(self, data: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of the words, and ``n + 1`` word offsets of the texts."""
@@ -69,8 +93,11 @@ class Chunk:
         return LOWER[self.data]
 
 
-def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mix((prefix[ends] - prefix[starts]) * powers(len(prefix))[1][starts])
+def span_hashes(prefix: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes of spans, wherever they stand."""
+    parts = [(sums[ends] - sums[starts]) % np.uint64(prime) * prime_powers(which, len(sums))[1][starts] % np.uint64(prime)
+             for which, (sums, prime) in enumerate(zip(prefix, PRIMES))]
+    return mix(parts[0] << np.uint64(32) | parts[1])
 
 
 def chunks(column: pa.Array) -> Iterator[Chunk]:

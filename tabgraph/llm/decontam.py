@@ -11,14 +11,16 @@ Words are maximal runs of letters, digits and bytes beyond ASCII, with A-Z lower
 seeds are thinned by a fixed-size bitmap of the items' seeds before anything is shuffled; the
 join decides. Items of any number are handled: only their seeds' bitmap is broadcast.
 
-Defined cases: null and empty texts hold nothing; items under four words match nothing; equal
-items are reported each; repeated doc_ids are compared as one row each and reported once; empty
+Defined cases: null and empty texts hold nothing; items under four words match nothing (a word or
+two would be found in clean documents everywhere); equal items are reported each; rows without a doc_id are reported with a null one; repeated doc_ids are compared as one row each and reported once; empty
 tables give empty results; extra columns are dropped by ``overlaps``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +31,38 @@ from tabgraph.distributed import materialize
 from tabgraph.llm.bitmap import bitmap, has, thinned, without
 from tabgraph.llm.bytescan import LOWER, Chunk, chunks, mix, span_hashes
 
-#: Word positions each mask reads; 0 marks an ignored position. Fixed values.
-MASKS = ("1101011", "1110101", "1011101", "1111")
 LEAST, PERCENT = 13, 80
+#: Word positions each mask reads; 0 marks an ignored position. Fixed values. The first four serve
+#: items of any length, the others only those under ``LEAST`` words.
+MASKS = ("1101011", "1110101", "1011101", "1111", "11011", "10111", "11101")
+
+
+def masks_for(words: int) -> list[int]:
+    """Numbers of the masks that an item of so many words is looked for with."""
+    if words >= LEAST:
+        return [0, 1, 2, 3]
+    return [i for i, mask in enumerate(MASKS) if len(mask) <= words]
+
+
+@lru_cache(maxsize=None)
+def least_hits(words: int) -> int:
+    """The fewest seeds that any overlap that counts has on its alignment, for an item of so many words.
+
+    By enumeration: a longer overlap holds a stretch of ``LEAST`` agreeing words at ``PERCENT`` percent,
+    which begins and ends with an agreeing word.
+    """
+    need = LEAST if words >= LEAST else -(-PERCENT * words // 100)
+    longest = 100 * need // PERCENT if words >= LEAST else words
+    fewest = 1 << 30
+    for size in range(need, longest + 1):
+        for gone in combinations(range(size), size - need):
+            same = [i not in gone for i in range(size)]
+            hits = sum(all(same[at + k] for k, read in enumerate(MASKS[m]) if read == "1")
+                       for m in masks_for(words) for at in range(size - len(MASKS[m]) + 1))
+            fewest = min(fewest, hits)
+    return fewest
+
+
 #: Bytes that separate words.
 _BREAK = np.ones(256, bool)
 for _range in ((48, 58), (65, 91), (97, 123), (128, 256)):
@@ -46,10 +77,11 @@ def word_hashes(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(chunk.prefix(data), starts, ends), of_text
 
 
-def seeds(words: np.ndarray, of_text: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per mask, the seed hashes and their word positions; no seed crosses texts."""
+def seeds(words: np.ndarray, of_text: np.ndarray, masks: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per mask its number, the seed hashes and their word positions; no seed crosses texts."""
     text = np.repeat(np.arange(len(of_text) - 1), np.diff(of_text))
-    for number, mask in enumerate(MASKS):
+    for number in masks:
+        mask = MASKS[number]
         n = len(words) - len(mask) + 1
         if n <= 0:
             continue
@@ -59,24 +91,39 @@ def seeds(words: np.ndarray, of_text: np.ndarray) -> Iterator[tuple[np.ndarray,
                 made = made * np.uint64(0xD6E8FEB86659FD93) + words[k: k + n]
                 made ^= made >> np.uint64(32)
         inside = np.flatnonzero(text[:n] == text[len(mask) - 1:])
-        yield mix(made[inside]), inside
+        yield number, mix(made[inside]), inside
 
 
-def _seed_rows(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def _seed_rows(batches: Iterator[pa.RecordBatch], masks: list[int], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(key, seed, at): the documents' seeds that some item may have."""
     for batch in batches:
         key = batch.column(0)
         for chunk in chunks(batch.column(1)):
             words, of_text = word_hashes(chunk)
-            for made, at in seeds(words, of_text):
-                if wanted is not None:
-                    keep = has(wanted, made)
-                    made, at = made[keep], at[keep]
+            for _, made, at in seeds(words, of_text, masks):
+                keep = has(wanted, made)
+                made, at = made[keep], at[keep]
                 text = np.searchsorted(of_text, at, "right") - 1
                 yield pa.RecordBatch.from_arrays(
                     [key.take(pa.array(chunk.first + text)), pa.array(made.view(np.int64)), pa.array(at - of_text[text])],
                     ["key", "seed", "at"])
 
 
+def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, seed, at, mask, words): the seeds of items by the masks that fit their length."""
+    for batch in batches:
+        for chunk in chunks(batch.column(1)):
+            hashes, of_text = word_hashes(chunk)
+            size = np.diff(of_text)
+            for number, made, at in seeds(hashes, of_text, list(range(len(MASKS)))):
+                text = np.searchsorted(of_text, at, "right") - 1
+                fits = np.array([number in masks_for(n) for n in size[text].tolist()], bool)
+                made, at, text = made[fits], at[fits], text[fits]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(chunk.first + text)), pa.array(made.view(np.int64)), pa.array(at - of_text[text]),
+                     pa.array(np.full(len(at), number)), pa.array(size[text])], ["key", "seed", "at", "mask", "words"])
+
+
 def agreeing_stretch(same: np.ndarray) -> tuple[int, int, int]:
     """(begin, end, agreeing) of the stretch with most agreeing words among those with
     ``PERCENT`` percent agreement; the leftmost of equals."""
@@ -129,21 +176,24 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     ``docs`` (doc_id, text), ``items`` (item_id, text); begin and end are word positions in the
     document. Nothing that counts is missed: with one disagreement in five words at most, 13
-    agreeing words hold four in a row, which the last mask reads. Items under four words have no
-    seed and match nothing.
+    agreeing words hold four in a row, which a mask reads, and shorter items have masks of their
+    own. An alignment with fewer seeds than any overlap that counts has (:func:`least_hits`) goes
+    before a text is joined, so a phrase that many items and documents share costs its seeds only.
     """
     tests = materialize(items.select("item_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).withColumn(
         "item", F.xxhash64("item_id", "text")))
-    seed_type = "key long, seed long, at long"
     item_seeds = materialize(tests.select("item", "text").dropDuplicates(["item"]).mapInArrow(
-        lambda b: _seed_rows(b, None), seed_type).select(F.col("key").alias("item"), "seed", F.col("at").alias("item_at")))
+        _item_seeds, "key long, seed long, at long, mask long, words long").select(
+        F.col("key").alias("item"), "seed", F.col("at").alias("item_at"), "mask", "words"))
+    masks = sorted(r[0] for r in item_seeds.select("mask").distinct().collect())
     wanted = bitmap(item_seeds, "seed")
+    enough = F.create_map(*[F.lit(x) for n in range(4, LEAST + 1) for x in (n, least_hits(n))])[F.least("words", F.lit(LEAST).cast("long")).cast("int")]
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).withColumn(
         "key", F.xxhash64("doc_id", "text"))
-    hits = texts.select("key", "text").mapInArrow(lambda b: _seed_rows(b, wanted), seed_type)
+    hits = texts.select("key", "text").mapInArrow(lambda b: _seed_rows(b, masks, wanted), "key long, seed long, at long")
     # Alignments of a pair combine before the shuffle.
     pairs = hits.join(item_seeds, "seed").groupBy("key", "item", (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.count(F.lit(1)).alias("n"))
+        F.count(F.lit(1)).alias("n"), F.min("words").alias("words")).filter(F.col("n") >= enough)
     shifts = pairs.groupBy("key", "item").agg(F.collect_list("shift").alias("shifts"))
     named = shifts.join(tests.select("item", F.col("text").alias("item_text")).dropDuplicates(["item"]), "item")
     due = materialize(named.groupBy("key").agg(F.collect_list(F.struct("item", "item_text", "shifts")).alias("wanted")))

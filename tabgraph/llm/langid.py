@@ -5,17 +5,21 @@ probability is the sum over all its segmentations into pieces, by the forward al
 text's is the product over its words. The probabilities come from expectation-maximisation
 (forward-backward expected counts) over the words of a bounded sample of labelled texts.
 
-Words are split at white space and lower-cased. Words over ``SPAN`` characters are read in
-stretches of ``SPAN``, so texts without white space are scored whole as well.
+Words are split at white space and lower-cased. No piece of the vocabulary is left out and no word
+is cut: the forward state runs through words of any length (only its last columns are kept, as many
+as the longest piece has characters, and scaled as they shrink), so texts without white space are
+scored whole as well.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; null labels train
 nothing; without any label every text is ``und``; ties go to the language first in order;
-rows repeat as they are; an empty table gives an empty result; extra columns are dropped.
+rows repeat as they are and may lack a doc_id (those draw as one id in the sample); an empty table
+gives an empty result; extra columns are dropped.
 """
 
 from __future__ import annotations
 
 import os
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +35,10 @@ MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 #: Training reads whole texts of at most this many labelled rows of each language.
 SAMPLE = 600
 ROUNDS = 3
-SPAN, MAX_PIECE = 28, 10
+#: Words of more characters are trained on in logarithms, which no length can make vanish.
+SHORT = 28
+#: Columns between two scalings of the forward state.
+SCALED = 16
 #: Mass added to every piece, and the probability of a character outside the vocabulary.
 SMOOTH, UNSEEN = 0.02, 1e-8
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -47,8 +54,9 @@ class Pieces:
         vocabulary = SentencePieceProcessor(model_file=model)
         found = sorted({p for i in range(vocabulary.get_piece_size())
                         if not (vocabulary.is_byte(i) or vocabulary.is_control(i) or vocabulary.is_unknown(i))
-                        and len(p := vocabulary.id_to_piece(i).lower()) <= MAX_PIECE})
+                        and (p := vocabulary.id_to_piece(i).lower())})
         self.size = len(found)
+        self.longest = max(map(len, found), default=1)
         self.pieces = found
         keys = np.zeros(len(found), np.uint64)
         for i, piece in enumerate(found):
@@ -81,16 +89,21 @@ class Pieces:
             got[wrong] = np.where(self.keys[other] == keys[wrong], other, self.size)
         return got
 
+    def ending(self, letters: np.ndarray, end: int):
+        """Yields (length, piece numbers) of every span of the words (words x characters) that ends there."""
+        key = np.zeros(len(letters), np.uint64)
+        step = np.uint64(1)
+        for length in range(1, min(end, self.longest) + 1):
+            # The hash of the span, built from its last character backwards.
+            key = key + (letters[:, end - length].astype(np.uint64) + np.uint64(1)) * step
+            step = np.uint64((int(step) * int(_MULTIPLIER)) & ((1 << 64) - 1))
+            yield length, self.of(mix(key))
+
     def lattice(self, letters: np.ndarray):
         """Yields (end, length, piece numbers) for every span of the words (words x characters)."""
         for end in range(1, letters.shape[1] + 1):
-            key = np.zeros(len(letters), np.uint64)
-            step = np.uint64(1)
-            for length in range(1, min(end, MAX_PIECE) + 1):
-                # The hash of the span, built from its last character backwards.
-                key = key + (letters[:, end - length].astype(np.uint64) + np.uint64(1)) * step
-                step = np.uint64((int(step) * int(_MULTIPLIER)) & ((1 << 64) - 1))
-                yield end, length, self.of(mix(key))
+            for length, found in self.ending(letters, end):
+                yield end, length, found
 
 
 _pieces: dict[str, Pieces] = {}
@@ -102,81 +115,93 @@ def pieces(model: str = MODEL) -> Pieces:
     return _pieces[model]
 
 
-def word_table(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marked words cut in stretches: code points (stretches x SPAN + 1, zero-padded), lengths, word numbers."""
-    parts, owner = [], []
-    for i, word in enumerate(words):
-        if len(word) <= SPAN:
-            parts.append("▁" + word)
-            owner.append(i)
-        else:
-            for at in range(0, len(word), SPAN):
-                parts.append(("▁" if at == 0 else "") + word[at: at + SPAN])
-                owner.append(i)
-    lengths = np.array([len(p) for p in parts], np.int64)
-    table = np.zeros((len(parts), SPAN + 1), np.uint32)
-    joined = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    table[np.arange(SPAN + 1) < lengths[:, None]] = joined
-    return table, lengths, np.array(owner, np.int64)
-
-
-def _by_length(lengths: np.ndarray):
-    """Groups of equally long stretches, in blocks."""
+def _by_length(words: list[str]):
+    """Blocks of equally long words, marked: (word numbers, code points as words x characters)."""
+    marked = ["▁" + word for word in words]
+    lengths = np.array([len(w) for w in marked], np.int64)
     order = np.argsort(lengths, kind="stable")
-    cuts = np.flatnonzero(np.diff(lengths[order])) + 1
-    for group in np.split(order, cuts):
-        for at in range(0, len(group), 20_000):
-            yield group[at: at + 20_000]
+    for group in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1):
+        if len(group):
+            length = int(lengths[group[0]])
+            size = max(1, min(20_000, 2_000_000 // length))
+            for at in range(0, len(group), size):
+                part = group[at: at + size]
+                letters = np.frombuffer("".join(marked[i] for i in part).encode("utf-32-le", "surrogatepass"), np.uint32)
+                yield part, letters.reshape(len(part), length)
 
 
 def log_likelihoods(words: list[str], probability: np.ndarray, model: str = MODEL) -> np.ndarray:
     """log of the summed probability of all segmentations: words x languages."""
-    table, lengths, owner = word_table(words)
     total = np.zeros((len(words), probability.shape[1]))
     vocabulary = pieces(model)
-    for group in _by_length(lengths):
-        if not len(group):
-            continue
-        length = int(lengths[group[0]])
-        forward = _forward(vocabulary.lattice(table[group, :length]), len(group), length, probability)
-        np.add.at(total, owner[group], np.log(np.maximum(forward[length], 1e-300)))
+    for group, letters in _by_length(words):
+        total[group] = _summed(vocabulary, letters, probability)
     return total
 
 
-def _forward(lattice, n: int, length: int, probability: np.ndarray) -> list[np.ndarray]:
-    forward = [np.ones((n, probability.shape[1]))] + [np.zeros((n, probability.shape[1])) for _ in range(length)]
+def _summed(vocabulary: Pieces, letters: np.ndarray, probability: np.ndarray) -> np.ndarray:
     size = len(probability) - 1
-    for end, span, found in lattice:
-        if span == 1:
-            forward[end] += forward[end - 1] * np.where((found < size)[:, None], probability[found], UNSEEN)
-        else:
-            at = np.flatnonzero(found < size)
-            if len(at):
-                forward[end][at] += forward[end - span][at] * probability[found[at]]
-    return forward
+    state = deque([np.ones((len(letters), probability.shape[1]))], vocabulary.longest)
+    scale = np.zeros_like(state[0])
+    for end in range(1, letters.shape[1] + 1):
+        made = np.zeros_like(scale)
+        for span, found in vocabulary.ending(letters, end):
+            if span == 1:
+                made += state[-1] * np.where((found < size)[:, None], probability[found], UNSEEN)
+            else:
+                at = np.flatnonzero(found < size)
+                if len(at):
+                    made[at] += state[-span][at] * probability[found[at]]
+        state.append(made)
+        if end % SCALED == 0:
+            state = deque((x / made for x in state), vocabulary.longest)
+            scale += np.log(made)
+    return np.log(np.maximum(state[-1], 1e-300)) + scale
 
 
 def expected_counts(words: list[str], counts: np.ndarray, probability: np.ndarray, model: str = MODEL) -> np.ndarray:
     """Expected uses of every piece in words of one language (forward-backward)."""
-    table, lengths, owner = word_table(words)
-    vocabulary, column = pieces(model), probability[:, None]
+    vocabulary = pieces(model)
     uses = np.zeros(len(probability))
-    for group in _by_length(lengths):
-        if not len(group):
-            continue
-        length = int(lengths[group[0]])
-        spans = list(vocabulary.lattice(table[group, :length]))
-        forward = _forward(spans, len(group), length, column)
-        backward = [np.zeros(len(group)) for _ in range(length)] + [np.ones(len(group))]
-        weight = counts[owner[group]] / np.maximum(forward[length][:, 0], 1e-300)
-        for end, span, found in reversed(spans):
-            p = probability[found] if span > 1 else np.where(found < vocabulary.size, probability[found], UNSEEN)
-            through = p * backward[end]
-            backward[end - span] += through
-            uses += np.bincount(found, weight * forward[end - span][:, 0] * through, len(uses))
+    for group, letters in _by_length(words):
+        step = _uses_short if letters.shape[1] <= SHORT + 1 else _uses_long
+        step(vocabulary, letters, counts[group], probability, uses)
     return uses
 
 
+def _uses_short(vocabulary: Pieces, letters: np.ndarray, counts: np.ndarray, probability: np.ndarray, uses: np.ndarray) -> None:
+    n, length = letters.shape
+    spans = [(end, span, probability[found] if span > 1 else np.where(found < vocabulary.size, probability[found], UNSEEN), found)
+             for end, span, found in vocabulary.lattice(letters)]
+    forward = [np.ones(n)] + [np.zeros(n) for _ in range(length)]
+    for end, span, p, _ in spans:
+        forward[end] += forward[end - span] * p
+    backward = [np.zeros(n) for _ in range(length)] + [np.ones(n)]
+    weight = counts / np.maximum(forward[length], 1e-300)
+    for end, span, p, found in reversed(spans):
+        through = p * backward[end]
+        backward[end - span] += through
+        uses += np.bincount(found, weight * forward[end - span] * through, len(uses))
+
+
+def _uses_long(vocabulary: Pieces, letters: np.ndarray, counts: np.ndarray, probability: np.ndarray, uses: np.ndarray) -> None:
+    """As ``_uses_short`` in logarithms; spans are found again on the way back, not held."""
+    n, length = letters.shape
+    with np.errstate(divide="ignore"):
+        logs = np.log(probability)
+    of = lambda span, found: np.where(found < vocabulary.size, logs[found], np.log(UNSEEN) if span == 1 else -np.inf)
+    forward = [np.zeros(n)]
+    for end in range(1, length + 1):
+        forward.append(np.logaddexp.reduce([forward[end - span] + of(span, found) for span, found in vocabulary.ending(letters, end)]))
+    backward = {length: np.zeros(n)}
+    for end in range(length, 0, -1):
+        rest = backward.pop(end)
+        for span, found in vocabulary.ending(letters, end):
+            through = of(span, found) + rest
+            backward[end - span] = np.logaddexp(backward.get(end - span, -np.inf), through)
+            uses += np.bincount(found, counts * np.exp(forward[end - span] + through - forward[length]), len(uses))
+
+
 def _words_of(column: pa.Array) -> pa.Array:
     return pc.utf8_split_whitespace(pc.utf8_lower(column.fill_null("").cast(pa.large_string())))
 

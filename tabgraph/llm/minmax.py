@@ -11,8 +11,10 @@ nodes that a bucket still holds in different components are compared on, each wi
 outside its component. A link inside one component cannot change the classes, so none is lost.
 
 Defined cases: null or wordless text has an empty set and is linked with nothing; fewer words
-than ``words`` make one shingle; repeated doc_ids count once, with the union of their links;
-an empty table gives an empty result; extra columns are dropped.
+than ``words`` make one shingle; rows that repeat a doc_id are one document with the union of
+their links; rows without a doc_id link like others, are named by the smallest doc_id they reach
+(null if there is none) and are always kept; doc_ids may have any ordered type; an empty table
+gives an empty result; extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -83,19 +85,25 @@ def signatures(made: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return bands
 
 
+def set_keys(made: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Two 64-bit names of each text's set (2 x texts), 0 for empty ones."""
+    full, keys = np.diff(offsets) > 0, np.zeros((2, len(offsets) - 1), np.int64)
+    if full.any():
+        for k, salt in enumerate((np.uint64(0x1234567), np.uint64(0x89ABCDE))):
+            keys[k, full] = mix(np.add.reduceat(mix(made + salt), offsets[:-1][full])).view(np.int64)
+    return keys
+
+
 def _sketch(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for chunk in chunks(batch.column(1)):
             made, offsets = distinct_sets(*shingle_hashes(chunk, words))
             size = np.diff(offsets)
             full = size > 0
-            keys = np.zeros((2, chunk.n), np.int64)
+            keys = set_keys(made, offsets)
             bands = np.zeros((chunk.n, BANDS), np.uint64)
             if full.any():
-                starts = offsets[:-1][full]
-                for k, salt in enumerate((np.uint64(0x1234567), np.uint64(0x89ABCDE))):
-                    keys[k, full] = mix(np.add.reduceat(mix(made + salt), starts)).view(np.int64)
-                bands[full] = signatures(made, np.append(starts, len(made)))
+                bands[full] = signatures(made, np.append(offsets[:-1][full], len(made)))
             flat = np.ascontiguousarray(bands[full]).reshape(-1).view(np.int64)
             at = np.concatenate(([0], np.cumsum(np.where(full, BANDS, 0)))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -105,21 +113,23 @@ def _sketch(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(k1, k2, shingles) of the rows (text, h) whose h is wanted."""
     for batch in batches:
-        keep = has(wanted, batch.column(2).to_numpy(zero_copy_only=False))
+        keep = has(wanted, batch.column(1).to_numpy(zero_copy_only=False))
         batch = batch.filter(pa.array(keep))
-        for chunk in chunks(batch.column(1)):
+        for chunk in chunks(batch.column(0)):
             made, offsets = distinct_sets(*shingle_hashes(chunk, words))
+            keys = set_keys(made, offsets)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(chunk.first, chunk.n),
+                [pa.array(keys[0]), pa.array(keys[1]),
                  pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(made.view(np.int64)))],
-                ["doc_id", "shingles"])
+                ["k1", "k2", "shingles"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b, na, nb) whose sets are similar enough. Both sets meet in one row per pair."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("_sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("_sb"))
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("_sb"))
     common = F.size(F.array_intersect("_sa", "_sb"))
     return pairs.join(left, "a").join(right, "b").withColumn("_i", common).filter(
         100 * F.col("_i") >= PERCENT * (F.col("na") + F.col("nb") - F.col("_i"))).select("a", "b")
@@ -139,22 +149,29 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     id_type = texts.schema["doc_id"].dataType.simpleString()
     sketch = materialize(texts.mapInArrow(
         lambda b: _sketch(b, words), f"doc_id {id_type}, n_shingles long, k1 long, k2 long, bands array<long>"))
-    # One node per distinct set. Copies combine before the shuffle.
-    nodes = sketch.filter("n_shingles > 0").groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("node"), F.min("n_shingles").alias("n"))
+    # One numbered node per distinct set. Copies combine before the shuffle; ``rep`` is a row to read the set from.
+    nodes = materialize(sketch.filter("n_shingles > 0").groupBy("k1", "k2").agg(
+        F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands")).withColumn(
+        "node", F.monotonically_increasing_id()))
     member = sketch.select("doc_id", "n_shingles", "k1", "k2").join(nodes.select("k1", "k2", "node"), ["k1", "k2"], "left")
-    rows = sketch.select(F.col("doc_id").alias("node"), "k1", "k2", F.explode("bands").alias("band")).join(
-        nodes, ["node", "k1", "k2"]).select("node", "n", "band").distinct()
+    rows = nodes.select("node", "n", F.explode(F.array_distinct("bands")).alias("band"))
     crowded = rows.groupBy("band").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1")
     live = materialize(rows.join(crowded, "band"))
     # The most central node of a bucket is the one that meets most others over all its bands.
     degree = live.groupBy("node").agg(F.sum("crowd").alias("degree"))
     live = materialize(live.join(degree, "node").drop("crowd"))
-    wanted = bitmap(live.select(F.xxhash64("node").alias("h")), "h")
-    sets = materialize(texts.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(
-        lambda b: _sets(b, words, wanted), f"doc_id {id_type}, shingles array<long>").dropDuplicates(["doc_id"]))
-
-    links, tested, component = None, None, None
+    named = nodes.join(live.select("node").distinct(), "node", "left_semi").select("k1", "k2", "node", "rep")
+    wanted = bitmap(named.select(F.xxhash64("rep").alias("h")), "h")
+    sets = materialize(texts.select("text", F.xxhash64("doc_id").alias("h")).mapInArrow(
+        lambda b: _sets(b, words, wanted), "k1 long, k2 long, shingles array<long>").join(
+        named.drop("rep"), ["k1", "k2"]).dropDuplicates(["node"]).select("node", "shingles"))
+
+    # Rows that repeat a doc_id tie their sets together whatever these hold.
+    repeated = materialize(member.filter("doc_id is not null").groupBy("doc_id").agg(
+        F.min("node").alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1 and first is not null").select("doc_id", "first"))
+    links = materialize(repeated.join(member, "doc_id").filter("node > first").select(
+        F.col("first").alias("a"), F.col("node").alias("b")).distinct())
+    tested, component = None, None
     for whole in (False, False, True):
         placed = live.withColumn("component", F.col("node")) if component is None else live.join(
             component, live.node == component.id, "left").withColumn("component", F.coalesce("component", "node")).drop("id")
@@ -164,13 +181,16 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
         proposed = materialize(proposed)
         found = materialize(_confirmed(proposed, sets))
         tested = proposed.select("a", "b") if tested is None else tested.union(proposed.select("a", "b"))
-        links = found if links is None else links.union(found)
+        links = links.union(found)
         component = components(links)
-    classes = member.join(component, member.node == component.id, "left")
-    # A doc_id may stand in several rows with different sets; they share the smallest class.
+    member = member.join(repeated, "doc_id", "left").withColumn("node", F.coalesce("node", "first"))
+    named = member.join(component, member.node == component.id, "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = named.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    classes = named.join(smallest, "component", "left")
+    # A text without words is a class of its own.
     return classes.select(
-        "doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id")
-    ).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
+    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -202,8 +222,7 @@ def _rest_pairs(placed: DataFrame, sets: DataFrame) -> DataFrame:
         F.max(F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     mixed = materialize(placed.join(main.select("band", F.col("main.component").alias("main")), "band"))
     nodes = mixed.groupBy("node").agg(F.min("n").alias("n"), F.min("component").alias("component"))
-    held = sets.join(nodes.select(F.col("node").alias("doc_id")), "doc_id").select(
-        F.col("doc_id").alias("node"), F.explode("shingles").alias("s"))
+    held = sets.join(nodes.select("node"), "node").select("node", F.explode("shingles").alias("s"))
     few = held.groupBy("s").agg(F.count(F.lit(1)).alias("holders")).filter(F.col("holders") <= RARE)
     rare = materialize(held.join(few, "s"))
     # What is not rare, counted by hash class: an intersection holds at most the smaller count of each.

@@ -28,18 +28,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
+#: A number in an ip begins where a run of digits begins and takes all of it, so one try a run is enough.
 PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "ip": re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+#: An e-mail's characters before the at-sign, and what begins with it.
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+HOST = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 #: Characters of which any match holds one; only texts with a trigger meet the patterns.
 TRIGGER = "[0-9@]"
 #: Words of written-out addresses; brackets are no letters. Texts with a trigger or a cue meet the network.
 CUE = "(?<![A-Za-z])(?:[Aa][Tt]|[Dd][Oo][Tt])(?![A-Za-z])"
-#: Training reads at most this many documents that hold a trigger.
+#: Training reads at most this many documents that hold a trigger, and of each at most so many of its
+#: spans, plain triggers and plain cues, drawn by seed from the whole text.
 SAMPLE = 1500
+SPANS, PLAIN, CUES = 4, 5, 2
 WINDOW, STEP, REACH = 96, 48, 24
 EMBED, HIDDEN = 12, 16
 STEPS, BATCH, RATE, SEED = 900, 32, 0.01, 11
@@ -61,18 +66,36 @@ def luhn(digits: str) -> bool:
 
 def _holds(kind: str, match: str) -> bool:
     if kind == "ip":
-        return all(int(p) <= 255 for p in match.split("."))
+        return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in match.split("."))
     if kind == "email":
         return True
     digits = re.sub("[^0-9]", "", match)
     return 16 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 8 <= len(digits) <= 15
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping matches, in linear time: a match needs its at-sign, and starts as far
+    left of it as its characters and the match before allow."""
+    least, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > least and text[start - 1] in LOCAL:
+            start -= 1
+        host = HOST.match(text, at) if start < at else None
+        least = host.end() if host else at
+        if host:
+            yield start, least
+        at = text.find("@", at + 1)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind number, start, end) of the patterns' matches; failing ones are dropped, not retried."""
     found = []
     for number, kind in enumerate(KINDS):
-        if kind == "email" and "@" not in text or kind == "phone" and "+" not in text:
+        if kind == "email":
+            found += [(number, *span) for span in emails(text)]
+            continue
+        if kind == "phone" and "+" not in text:
             continue
         found += [(number, m.start(), m.end()) for m in PATTERNS[kind].finditer(text) if _holds(kind, m.group())]
     return found
@@ -265,11 +288,16 @@ def digitless(address: str, rng: np.random.Generator) -> str:
     return written if rng.integers(4) else CASED.sub(lambda m: m.group().upper(), written)
 
 
+def _drawn(choices: list, most: int, rng: np.random.Generator) -> list:
+    """At most ``most`` of the choices, in their order."""
+    return choices if len(choices) <= most else [choices[i] for i in np.sort(rng.choice(len(choices), most, replace=False))]
+
+
 def training_windows(text: str, rng: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
     """Labelled windows around the base spans of a text, as they stand and varied, and one without any."""
     spans, made = sorted(base_spans(text), key=lambda s: s[1]), []
     clear = [s for i, s in enumerate(spans) if all(s[2] <= o[1] or o[2] <= s[1] for j, o in enumerate(spans) if j != i)]
-    for kind, start, end in clear[:4]:
+    for kind, start, end in _drawn(clear, SPANS, rng):
         values = [text[start:end], varied(kind, text[start:end], rng)]
         if KINDS[kind] == "email":
             values += [digitless(text[start:end], rng) for _ in range(DIGITLESS)]
@@ -285,8 +313,9 @@ def training_windows(text: str, rng: np.random.Generator) -> list[tuple[np.ndarr
             label[len(left): len(left) + len(value)] = 2 + 2 * kind
             label[len(left): len(left) + 1] = 1 + 2 * kind
             made.append((codes(window), label))
-    for m in [*list(re.finditer(TRIGGER, text))[:40:8], *list(re.finditer(CUE, text))[:2]]:
-        low = max(0, m.start() - WINDOW // 2)
+    plain = [_drawn([m.start() for m in re.finditer(mark, text)], most, rng) for mark, most in ((TRIGGER, PLAIN), (CUE, CUES))]
+    for place in sum(plain, []):
+        low = max(0, place - WINDOW // 2)
         if not any(s[1] < low + WINDOW and s[2] > low for s in spans):
             window = text[low: low + WINDOW]
             made.append((codes(window), np.zeros(len(window), np.int64)))

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabgraph.distributed import materialize
+from tabgraph.functions.numbers import bound
 
 
 @dataclass(frozen=True)
@@ -48,6 +49,23 @@ BASE = ("assign", "access", "hex")
 FINDINGS = "array<struct<start:int,end:int>>"
 
 
+def running(values: Column, block: int = 64) -> Column:
+    """Inclusive running sums of an array, by blocks: appending to an array copies it, so only short ones grow."""
+    def grown(part: Column, start: Column) -> Column:
+        empty = F.struct(start.alias("at"), F.array().cast("array<int>").alias("sums"))
+        return F.aggregate(part, empty, lambda acc, x: F.struct(
+            (acc["at"] + x).alias("at"), F.array_append(acc["sums"], acc["at"] + x).alias("sums")), lambda acc: acc["sums"])
+
+    def of(v: Column) -> Column:
+        begins = F.when(F.size(v) > 0, F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), F.lit(block))).otherwise(F.array().cast("array<int>"))
+        parts = F.transform(begins, lambda at: F.slice(v, at, F.lit(block)))
+        return bound(parts, lambda p: F.flatten(F.zip_with(p, F.concat(F.array(F.lit(0)), grown(F.transform(
+            p, lambda x: F.aggregate(x, F.lit(0), lambda acc, y: acc + y)), F.lit(0))), lambda x, start: F.when(
+                x.isNotNull(), grown(x, start)).otherwise(F.array().cast("array<int>")))))
+
+    return bound(values, of)
+
+
 def find(text: Column, rule: Rule) -> Column:
     """Array of (start, end) of the rule's matches that pass its length test.
 
@@ -57,20 +75,13 @@ def find(text: Column, rule: Rule) -> Column:
     matches = F.regexp_extract_all(text, F.lit(f"({rule.pattern})"), F.lit(1))
     inner = F.regexp_extract_all(text, F.lit(f"({rule.pattern})"), F.lit(rule.group + 1))
     pieces = F.split(text, rule.pattern, -1)
-    steps = F.arrays_zip(matches.alias("m"), inner.alias("g"), F.slice(pieces, 1, F.size(matches)).alias("p"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(FINDINGS).alias("found"))
-
-    def step(state, x):
-        start = state["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        kept = F.length(x["g"]) >= rule.least
-        spans = F.when(kept, F.concat(state["found"], F.array(F.struct(start.alias("start"), end.alias("end"))))
-                       ).otherwise(state["found"])
-        return F.struct(end.alias("at"), spans.alias("found"))
-
+    sizes = F.transform(F.arrays_zip(matches.alias("m"), inner.alias("g"), F.slice(pieces, 1, F.size(matches)).alias("p")), lambda x: F.struct(
+        F.length(x["m"]).alias("m"), (F.length(x["g"]) >= rule.least).alias("kept"), (F.length(x["p"]) + F.length(x["m"])).alias("step")))
+    placed = bound(sizes, lambda z: F.zip_with(z, running(F.transform(z, lambda x: x["step"])), lambda x, end: F.struct(
+        (end - x["m"]).alias("start"), end.alias("end"), x["kept"].alias("kept"))))
+    spans = F.transform(F.filter(placed, lambda x: x["kept"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
     none = F.array().cast(FINDINGS)
-    hit = text.rlike(rule.hint)
-    return F.when(hit, F.aggregate(steps, empty, step, lambda s: s["found"])).otherwise(none)
+    return F.when(text.rlike(rule.hint), spans).otherwise(none)
 
 
 def blobs(paths: DataFrame, path: str, text: str, *more: str) -> DataFrame:
@@ -86,7 +97,7 @@ def scan(paths: DataFrame, path: str = "doc_id", text: str = "text", ledger: Dat
     ``found``: they need no second scan. One path per blob is picked from the addresses alone,
     so only the texts of unseen blobs meet the patterns.
     """
-    addressed = blobs(paths, path, text)
+    addressed = materialize(blobs(paths, path, text))
     known = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
     new = addressed.groupBy("blob").agg(F.min("path").alias("_one"))
     if ledger is not None:
@@ -108,10 +119,14 @@ def scan(paths: DataFrame, path: str = "doc_id", text: str = "text", ledger: Dat
     return scanned.select("blob", F.explode(entries).alias("_e")).select("blob", "_e.*").filter("found is not null")
 
 
-def findings_of_paths(paths: DataFrame, entries: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
-    """(path, spans): every path with the findings of its blob, an array of (start, rank, kind, end)."""
-    rank = F.create_map(*[x for r in RULES for x in (F.lit(r.kind), F.lit(r.rank))])
-    spans = entries.filter(F.size("found") > 0).select("blob", "kind", F.explode("found").alias("_f")).groupBy("blob").agg(
+def findings_of_paths(paths: DataFrame, entries: DataFrame, path: str = "doc_id", text: str = "text",
+                      rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(path, spans): every path with the findings of its blob under the versions of ``rules``,
+    an array of (start, rank, kind, end)."""
+    current = [F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules]
+    rank = F.create_map(*[x for r in rules for x in (F.lit(r.kind), F.lit(r.rank))])
+    valid = entries.filter((F.size("found") > 0) & F.struct("kind", "version").isin(*current))
+    spans = valid.select("blob", "kind", F.explode("found").alias("_f")).groupBy("blob").agg(
         F.sort_array(F.collect_list(F.struct(
             F.col("_f.start").alias("start"), rank[F.col("kind")].alias("rank"), "kind", F.col("_f.end").alias("end")))).alias("spans"))
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
@@ -124,6 +139,12 @@ def ledger_after(entries: DataFrame, ledger: DataFrame | None) -> DataFrame:
     return materialize(entries if ledger is None else ledger.unionByName(entries))
 
 
+def updated(paths: DataFrame, ledger: DataFrame | None, path: str = "doc_id", text: str = "text",
+            rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger after a run over ``paths``, which scans only what the ledger lacks."""
+    return ledger_after(scan(paths, path, text, ledger, rules), ledger)
+
+
 def digest(found: DataFrame, base: tuple[str, ...] = BASE) -> DataFrame:
     """One row per path: counts of the base kinds, their digest, and all spans."""
     joined = lambda spans: F.concat_ws(",", F.transform(

@@ -2,13 +2,17 @@
 
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tabgraph.llm import chat, decontam, hnsw, minmax, pii, secrets, spm, suffix_dedup
+from tabgraph.llm.bytescan import chunks
 from tests.llm.conftest import SF_DIR, texts_of
 
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -160,6 +164,36 @@ def test_near_duplicates_of_odd_rows(spark, odd_docs, no_docs):
     assert near(ties, 2) == {1: (1, 1, True), 3: (1, 1, False), 2: (1, 2, True), 4: (1, 2, False), 5: (0, 5, True), 6: (0, 6, True)}
 
 
+def test_rows_that_repeat_or_lack_an_id(spark):
+    """One document with two texts links through both; rows without an id link and are named by others."""
+    base = [f"w{i}" for i in range(60)]
+    near_by = lambda k: " ".join([*base[:k], "changed", *base[k + 1:]])
+    rows = [("e5", " ".join(base)), ("e7", near_by(0)), ("e7", "quite another text of nine words and no more"), ("f1", near_by(59)),
+            ("f2", "quite another text of nine words and no more"), (None, near_by(30)), (None, "lonely words here"), (None, "lonely words here"),
+            ("a9", None), ("b9", ""), ("e7", None)]
+    got = minmax.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string"), 2).collect()
+    assert sorted((r.doc_id or "", r.n_shingles, r.component_id or "", r.kept) for r in got) == sorted([
+        ("e5", 59, "e5", True), ("e7", 59, "e5", False), ("e7", 8, "e5", False), ("f1", 59, "e5", False), ("f2", 8, "e5", False),
+        ("", 59, "e5", True), ("", 2, "", True), ("", 2, "", True), ("a9", 0, "a9", True), ("b9", 0, "b9", True), ("e7", 0, "e5", False)])
+    assert minmax.one_of_each(spark.createDataFrame(rows, "doc_id string, text string"), 2).count() == 6
+
+
+def test_no_column_name_is_in_the_way(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 5, "x"), (2, "a b c d e f", 6, "y")], "doc_id long, text string, _h0 long, _h string")
+    assert [tuple(r) for r in minmax.one_of_each(docs).collect()] == [(1, "a b c d e f", 5, "x")]
+
+
+def test_words_of_one_hash_modulo_a_power_of_two_differ():
+    """The Thue-Morse word and its complement cancel in every polynomial hash modulo 2^64."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate({97: 98, 98: 97})
+    other = word.translate({97: 98, 98: 97})
+    chunk = next(chunks(pa.array([f"{word} {other} {word}"])))
+    one, two, three = minmax.shingle_hashes(chunk, 1)[0]
+    assert one == three != two
+
+
 def test_stage_keeps_one_of_each(documents):
     kept = minmax.one_of_each(documents, 5)
     want = {d for d, (_, _, keep) in classes(texts_of(documents), 5).items() if keep}
@@ -208,6 +242,35 @@ def test_overlaps_survive_substitutions(spark):
     assert got == want and len(want) > 10
 
 
+@pytest.mark.parametrize("size", range(4, 14))
+def test_every_overlap_that_counts_has_seeds(size):
+    """All patterns of agreeing words of items with 4 to 13 words: enough seeds of the item's masks."""
+    need = decontam.LEAST if size >= decontam.LEAST else -(-decontam.PERCENT * size // 100)
+    masks = [decontam.MASKS[m] for m in decontam.masks_for(size)]
+    for bits in range(1 << size):
+        same = [bits >> i & 1 for i in range(size)]
+        if sum(same) >= need:
+            hits = sum(all(same[at + k] for k, c in enumerate(m) if c == "1") for m in masks for at in range(size - len(m) + 1))
+            assert hits >= max(1, decontam.least_hits(size)), (size, same)
+
+
+def test_short_items_and_common_phrases(spark):
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in range(4, 13)] + [(50 + i, f"which of the following x{i} y{i} z{i} " * 3) for i in range(20)]
+    docs, want = [], set()
+    for n, text in items[:9]:
+        words = text.split()
+        for gone in range(-1, n):
+            copy = [w if k != gone else "other" for k, w in enumerate(words)]
+            docs.append((len(docs), "before it " + " ".join(copy) + " after it"))
+            if n - (gone >= 0) >= -(-80 * n // 100):
+                want.add((docs[-1][0], n))
+    docs += [(1000 + i, f"tell me which of the following is q{i}") for i in range(30)]
+    docs += [(2000, None), (None, items[0][1])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.overlaps(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want | {(None, 4)}
+
+
 def test_decontamination_of_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, None), (2, ""), (None, "long " * 20), (3, "a"), (3, "a")], "item_id long, text string")
     hit = decontam.overlaps(odd_docs, items).collect()
@@ -273,6 +336,27 @@ def test_base_spans_of_the_driver_table(spark, documents):
         assert r.spans == joined and r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
 
 
+PLAIN_EMAIL, PLAIN_IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+
+
+def test_linear_patterns_equal_the_plain_ones():
+    rng = np.random.default_rng(2)
+    for alphabet, plain, own in (("a1.@-_ +9", PLAIN_EMAIL, lambda t: list(pii.emails(t))),
+                                 ("12...0 a", PLAIN_IP, lambda t: [m.span() for m in pii.PATTERNS["ip"].finditer(t)])):
+        for _ in range(4000):
+            text = "".join(rng.choice(list(alphabet), int(rng.integers(1, 40))))
+            assert own(text) == [m.span() for m in plain.finditer(text)], text
+
+
+@pytest.mark.parametrize("text,found", [
+    ("1" * 5000 + ".1.1.1", 0), ("0" * 5000 + "1.1.1.1", 1), ("7" * 1_000_000, 0), ("a" * 1_000_000 + "@", 0), ("@a" * 200_000, 0),
+    ("a." * 300_000 + "@b", 0), ("+1" * 200_000, 0)])
+def test_long_runs_cost_linear_time(text, found):
+    begun = time.process_time()
+    assert len(pii.base_spans(text)) == found
+    assert time.process_time() - begun < 5
+
+
 def test_luhn():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
@@ -297,6 +381,27 @@ def test_ledger_scans_only_what_is_new(spark):
     assert rows[3].spans == rows[4].spans == "" and rows[5].n_assign == 1
 
 
+def test_running_sums_and_many_findings(spark):
+    for n in (0, 1, 64, 65, 5000):
+        row = spark.createDataFrame([(list(range(n)),)], "a array<int>").select(secrets.running(F.col("a")).alias("r")).first()
+        assert row.r == list(np.cumsum(np.arange(n)))
+    text = "AKIA" + "B" * 16 + " " + "token = abcdef12 é " * 3000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = secrets.digest(secrets.findings_of_paths(docs, secrets.scan(docs))).first().spans.split(",")
+    assert spans[0] == "access:0:20" and spans[1:] == [f"assign:{21 + 19 * i}:{37 + 19 * i}" for i in range(3000)]
+
+
+def test_a_new_rule_version_replaces_the_old_findings(spark):
+    docs = spark.createDataFrame([(1, "a" * 30), (2, "a" * 30), (3, "b" * 26)], "doc_id long, text string")
+    old = tuple(replace(r, version=0, least=28) if r.kind == "hex" else r for r in secrets.RULES)
+    first = secrets.updated(docs.filter("doc_id < 3"), None, rules=old)
+    ledger = secrets.updated(docs, first)
+    assert sorted((r.kind, r.version) for r in secrets.scan(docs, ledger=first).collect() if r.kind == "hex") == [("hex", 1)] * 2
+    got = secrets.digest(secrets.findings_of_paths(docs, ledger)).orderBy("doc_id").collect()
+    assert [(r.n_hex, r.spans) for r in got] == [(1, "hex:0:30"), (1, "hex:0:30"), (1, "hex:0:26")]
+    assert secrets.scan(docs, ledger=ledger).count() == 0
+
+
 def test_secrets_of_odd_rows(odd_docs, no_docs):
     docs = odd_docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
     assert secrets.digest(secrets.findings_of_paths(docs, secrets.scan(docs))).count() == docs.count()

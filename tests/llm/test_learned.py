@@ -21,7 +21,7 @@ def segmentations(word, probability, index):
     if not word:
         return 1.0
     total = 0.0
-    for n in range(1, min(len(word), langid.MAX_PIECE) + 1):
+    for n in range(1, min(len(word), langid.pieces().longest) + 1):
         i = index.get(word[:n])
         p = probability[i] if i is not None else (langid.UNSEEN if n == 1 else 0.0)
         total += p * segmentations(word[n:], probability, index) if p else 0.0
@@ -39,6 +39,50 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got, want)
 
 
+def by_columns(word, probability, index):
+    """log of the forward sum of one marked word, in plain Python."""
+    state = [0.0]
+    for end in range(1, len(word) + 1):
+        parts = []
+        for n in range(1, min(end, langid.pieces().longest) + 1):
+            i = index.get(word[end - n: end])
+            if i is not None or n == 1:
+                parts.append(state[end - n] + np.log(probability[i] if i is not None else langid.UNSEEN))
+        state.append(np.logaddexp.reduce(parts))
+    return state[-1]
+
+
+def test_no_piece_and_no_word_is_cut():
+    vocabulary = langid.pieces()
+    index = {p: i for i, p in enumerate(vocabulary.pieces)}
+    rng = np.random.default_rng(5)
+    probability = np.append(rng.random(vocabulary.size) / 100, 0.0)[:, None]
+    thirteen = [p for p in vocabulary.pieces if len(p) >= 13 and "▁" not in p][:3]
+    longest = max(vocabulary.pieces, key=len)
+    assert thirteen and len(longest) == vocabulary.longest > 13
+    words = [*thirteen, longest.strip("▁"), "".join(thirteen) * 2, ("unter" + thirteen[0]) * 4, "z" * 60, "日本" * 700, "ab" * 20]
+    got = langid.log_likelihoods(words, probability)[:, 0]
+    assert np.allclose(got, [by_columns("▁" + w, probability[:, 0], index) for w in words])
+    few = np.full_like(probability, 1e-9)
+    few[index[thirteen[0]]] = 0.5
+    assert langid.log_likelihoods([thirteen[0]], few)[0, 0] > np.log(0.5) + np.log(1e-9) - 0.1
+
+
+def test_long_words_train_like_short_ones():
+    vocabulary = langid.pieces()
+    rng = np.random.default_rng(6)
+    probability = np.append(rng.random(vocabulary.size), 0.0)
+    for word in ["undsoweiter", "x", "straßenbahn"]:
+        letters = next(langid._by_length([word]))[1]
+        one, two = np.zeros(len(probability)), np.zeros(len(probability))
+        langid._uses_short(vocabulary, letters, np.array([3.0]), probability, one)
+        langid._uses_long(vocabulary, letters, np.array([3.0]), probability, two)
+        assert np.allclose(one, two)
+    length = np.array([len(p) for p in vocabulary.pieces])
+    uses = langid.expected_counts(["a" * 300, "straße" * 30], np.array([1.0, 2.0]), probability)
+    assert np.isclose((uses[:-1] * length).sum() + uses[-1], 301 + 2 * 181)
+
+
 def test_expected_counts_add_up_to_characters():
     vocabulary = langid.pieces()
     probability = np.append(np.full(vocabulary.size, 1.0 / vocabulary.size), 0.0)
