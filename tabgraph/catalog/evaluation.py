@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tabgraph.catalog.registry import TRAIN, query
 from tabgraph.catalog.rounding import r6, rounded
 from tabgraph.catalog.relational import FEATURE_SQL
-from tabgraph.catalog.similarities import _vector_graph, customer_counts, vectors
+from tabgraph.catalog.similarities import CUSTOMERS, _vector_graph, customer_counts, vectors
+from tabgraph.distributed import with_scalars
 from tabgraph.functions import dates, numbers, text, timewin
 from tabgraph.operators import evaluate, graph, learn, propagate, sampling
 from tabgraph.operators import similarity as sim
@@ -363,18 +364,37 @@ def f1_preprocessed_categories(spark, sf_dir):
 
 
 def _snapshot_nodes(spark, sf_dir):
-    """Customers labelled by their segment, with three numbers to learn from that do not hold it."""
-    nodes = customer_counts(spark, sf_dir)
-    return nodes.select("node_id", F.col("segment").isNull().cast("int").alias("y"), "acctbal", "n_orders",
-                        F.col("nation").cast("double"))
+    """Customers labelled by whether they spent more than the mean, with three numbers to learn from:
+    the number of orders tells much of it, not all."""
+    spent = src.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("node_id")).agg(F.sum("o_totalprice").alias("spent"))
+    nodes = customer_counts(spark, sf_dir).join(spent, "node_id", "left").withColumn("spent", F.coalesce("spent", F.lit(0.0)))
+    rich = with_scalars(nodes, nodes.agg(F.avg("spent").alias("mean")))
+    return rich.select("node_id", (F.col("spent") > F.col("mean")).cast("int").alias("y"), "acctbal", "n_orders", F.col("nation").cast("double"))
+
+
+#: The same customers, split by rank and scaled on the training rows, in SQL.
+SNAPSHOT = f"""{CUSTOMERS}, money as (select n.*, coalesce((select sum(o_totalprice) from orders where o_custkey = n.node_id), 0) as spent from nodes n),
+labelled as (select node_id, acctbal, n_orders, nation::double as nation, (spent > (select avg(spent) from money))::int as y,
+    case when node_id < floor((select count(*) from money) * 0.8::double) then 'train'
+      when node_id < floor((select count(*) from money) * 0.8::double) + floor((select count(*) from money) * 0.1::double) then 'val' else 'test' end as split
+  from money),
+fitted as (select avg(acctbal) as ma, stddev_pop(acctbal) as da, avg(n_orders) as mn, stddev_pop(n_orders) as dn,
+    avg(nation) as mc, stddev_pop(nation) as dc from labelled where split = 'train'),
+scaled as (select node_id, split, y, (acctbal - ma) / da as acctbal, (n_orders - mn) / dn as n_orders, (nation - mc) / dc as nation
+  from labelled, fitted)"""
+
+
+def _scaled_snapshot(spark, sf_dir):
+    return graph.data_features(sampling.split_rowwise(_snapshot_nodes(spark, sf_dir)), ["acctbal", "n_orders", "nation"])
 
 
-@query("g13_build_graph")
-def g13_build_graph(spark, sf_dir):
-    nodes = vectors(spark, sf_dir)
-    near = sim.sim_cosine(nodes, "embedding", 0.1)
-    described, built, threshold = experiment.build_graph(nodes, near, 5.0)
-    return graph.graph_summary(built, described, threshold=threshold)
+def _moments(scored, weight, labels: int, columns: list[str]):
+    """(label, feature, moment): the weighted mean of p[label] * feature on the train rows."""
+    entries = F.array(*[F.struct(F.lit(c).alias("label"), F.lit(name).alias("feature"), (
+        F.element_at("probs", c + 1) * value * weight).alias("v")) for c in range(labels)
+        for name, value in [("bias", F.lit(1.0)), *[(x, F.col(x)) for x in columns]]])
+    rows = scored.filter("split = 'train'").select(F.inline(entries))
+    return rows.groupBy("label", "feature").agg(F.avg("v").alias("moment"))
 
 
 @query("l5_l8_l9_binary_experiment")
@@ -384,33 +404,119 @@ def l5_l8_l9_binary_experiment(spark, sf_dir):
     return experiment.run_experiment(nodes, linked, ["acctbal", "n_orders"], "GCN", hops=(1,))[1]
 
 
-@query("l5_optimal_fit", """
-select split_part(f, ',', 1) as feature, true as optimal
-from (select distinct unnest(['bias,', 'acctbal,', 'n_orders,']) as f from customer)""")
+# A fit without a penalty is a minimum exactly where, for every label and feature, the weighted mean of
+# the fitted probability times the feature equals that of the label itself. The right side needs no
+# model, so these oracles are the data's own moments.
+
+
+@query("l5_optimal_fit", f"""
+with {SNAPSHOT}, w as (select *, case when y = 1 then 2.0 else 1.0 end as w from scaled where split = 'train')
+select c::integer as label, f as feature, round(avg(case when y = c then w * case f when 'bias' then 1.0
+    when 'acctbal' then acctbal when 'n_orders' then n_orders else nation end else 0.0 end), 5) + 0.0 as moment
+from w, range(2) r(c), (values ('bias'), ('acctbal'), ('n_orders'), ('nation')) t(f) group by 1, 2""")
 def l5_optimal_fit(spark, sf_dir):
-    """The fitted weights are a minimum: the mean gradient of the loss vanishes on the train rows."""
-    nodes = sampling.split_stratified(_snapshot_nodes(spark, sf_dir), "y").withColumn("bias", F.lit(1.0))
-    scaled = graph.data_features(nodes, ["acctbal", "n_orders"])
-    kept = scaled.join(nodes.select("node_id", "bias"), "node_id") if "bias" not in scaled.columns else scaled
-    fitted = learn.train_binary(kept, ["acctbal", "n_orders"])
-    off = F.col("p") - F.col("y")
-    means = learn.score(fitted, kept).filter("split = 'train'").agg(
-        *[F.avg(off * F.col(c)).alias(c) for c in ("bias", "acctbal", "n_orders")])
-    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), (F.abs(F.col(c)) < 1e-3).alias("optimal"))
-                               for c in ("bias", "acctbal", "n_orders")]))
-    return means.select(rows.alias("r")).select("r.*")
-
-
-@query("l9_threshold_scores", """
-select c_custkey as node_id, true as agrees from customer""")
+    nodes = _scaled_snapshot(spark, sf_dir)
+    columns = ["acctbal", "n_orders", "nation"]
+    scored = learn.score(learn.train_binary(nodes, columns, pos_weight=2.0, max_iter=300, tol=1e-12), nodes)
+    found = _moments(scored, F.when(F.col("y") == 1, 2.0).otherwise(1.0), 2, columns)
+    return found.withColumn("moment", F.round("moment", 5) + F.lit(0.0))
+
+
+#: Newton's steps on (bias, n_orders): the weights of the best fit, in SQL.
+NEWTON = f"""{SNAPSHOT}, t as (select n_orders as x, y from scaled where split = 'train'),
+newton(step, b, w) as (
+  select 0, 0.0::double, 0.0::double
+  union all
+  select step + 1, b - (hww * gb - hbw * gw) / (hbb * hww - hbw * hbw), w - (hbb * gw - hbw * gb) / (hbb * hww - hbw * hbw)
+  from (select any_value(step) as step, any_value(b) as b, any_value(w) as w, sum(p - y) as gb, sum((p - y) * x) as gw,
+      sum(p * (1 - p)) as hbb, sum(p * (1 - p) * x) as hbw, sum(p * (1 - p) * x * x) as hww
+    from (select step, b, w, x, y, 1 / (1 + exp(-(b + w * x))) as p from newton, t where step < 25) having count(*) > 0))"""
+
+
+@query("l9_threshold_scores", f"""
+with recursive {NEWTON}, best as (select b, w from newton where step = 25)
+select node_id, split, y, round(1 / (1 + exp(-(b + w * n_orders))), 4) as p, (1 / (1 + exp(-(b + w * n_orders))) > 0.4)::integer as pred
+from scaled, best""")
 def l9_threshold_scores(spark, sf_dir):
-    """Every prediction is the threshold on its own probability, and probabilities sum to one."""
-    nodes = sampling.split_stratified(_snapshot_nodes(spark, sf_dir), "y")
-    scaled = graph.data_features(nodes, ["acctbal", "n_orders"])
-    scored = learn.score(learn.train_binary(scaled, ["acctbal", "n_orders"]), scaled)
-    total = F.aggregate("probs", F.lit(0.0), lambda acc, x: acc + x)
-    agrees = (F.col("pred") == (F.col("p") > 0.5).cast("int")) & (F.abs(total - 1) < 1e-9)
-    return scored.select("node_id", agrees.alias("agrees"))
+    """Probabilities and labels of the best fit on the number of orders."""
+    nodes = _scaled_snapshot(spark, sf_dir)
+    scored = learn.score(learn.train_binary(nodes, ["n_orders"], max_iter=300, tol=1e-13), nodes, threshold=0.4)
+    return scored.select("node_id", "split", "y", F.round("p", 4).alias("p"), "pred")
+
+
+@query("l6_optimal_multiclass", """
+with s as (select *, label as y, case when vec_id < floor(n * 0.8::double) then 1 else 0 end as fit
+  from embeddings, (select count(*) as n from embeddings)),
+w as (select y, unnest([1.0::double, embedding[1]::double, embedding[2]::double, embedding[3]::double]) as v,
+    unnest(['bias', 'x1', 'x2', 'x3']) as f, 1 + y / 10.0 as w from s where fit = 1)
+select c::integer as label, f as feature, round(avg(case when y = c then v * w else 0.0 end), 5) + 0.0 as moment
+from w, range(10) r(c) group by 1, 2""")
+def l6_optimal_multiclass(spark, sf_dir):
+    nodes = sampling.split_rowwise(vectors(spark, sf_dir)).select("node_id", "split", "y", *[
+        F.element_at("embedding", i).cast("double").alias(f"x{i}") for i in (1, 2, 3)])
+    columns = ["x1", "x2", "x3"]
+    fitted = learn.train_multiclass(nodes, columns, [1 + c / 10.0 for c in range(10)], max_iter=500, tol=1e-13)
+    found = _moments(learn.score(fitted, nodes, None), 1 + F.col("y") / F.lit(10.0), 10, columns)
+    return found.withColumn("moment", F.round("moment", 5) + F.lit(0.0))
+
+
+@query("l7_mlp_scores", f"""
+with {SNAPSHOT} select c::integer as label, 'bias' as feature, round(avg((y = c)::int), 2) as moment
+from scaled, range(2) r(c) where split = 'train' group by 1""")
+def l7_mlp_scores(spark, sf_dir):
+    """At a minimum the output layer's biases balance: mean probabilities are the label shares."""
+    nodes = _scaled_snapshot(spark, sf_dir)
+    columns = ["acctbal", "n_orders", "nation"]
+    fitted = learn.train_mlp(nodes, columns, [4], max_iter=400)
+    found = _moments(learn.score(fitted, nodes), F.lit(1.0), 2, []).filter("feature = 'bias'")
+    return found.withColumn("moment", F.round("moment", 2))
+
+
+@query("l8_select_best", f"""
+with {SNAPSHOT}, cand(no, name) as (values (1, 'acctbal'), (2, 'n_orders'), (3, 'n_orders_again'), (4, 'nation')),
+s as (select no, name, y, case name when 'acctbal' then acctbal when 'nation' then nation else n_orders end as p from scaled, cand where split = 'val'),
+g as (select no, name, p, count(*) filter (y = 1) as pos, count(*) filter (y <> 1) as neg from s group by 1, 2, 3),
+b as (select *, sum(neg) over (partition by no order by p rows unbounded preceding) - neg as below from g),
+a as (select no, name, sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)) as auroc from b group by 1, 2)
+select name as candidate, round(auroc, 6) as auroc from a order by a.auroc desc, no limit 1""")
+def l8_select_best(spark, sf_dir):
+    """Of four scores the one with the best validation AUROC, the first of equals."""
+    nodes = _scaled_snapshot(spark, sf_dir)
+    scores = [("acctbal", "acctbal"), ("n_orders", "n_orders"), ("n_orders_again", "n_orders"), ("nation", "nation")]
+    name, scored, value = learn.select_best(((n, nodes.withColumn("p", F.col(c))) for n, c in scores), "auroc")
+    return rounded(scored.agg(F.lit(name).alias("candidate"), F.lit(value).alias("auroc")))
+
+
+@query("e9_evaluate_multiclass", f"""with {MULTI}, {MACRO},
+s as (select split, cls, p, count(*) filter (y = 1) as pos, count(*) filter (y <> 1) as neg from flat group by 1, 2, 3),
+b as (select *, sum(neg) over (partition by split, cls order by p rows unbounded preceding) - neg as below from s),
+c as (select split, cls, sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)) as auroc from b group by 1, 2),
+a as (select split, avg(auroc) as auroc from c group by 1)
+select split, round(avg((y = pred)::int), 6) as accuracy, round(avg((y = pred)::int), 6) as f1_micro,
+  round(any_value(f1_macro), 6) as f1_macro, round(any_value(auroc), 6) as auroc
+from scored join macro using (split) join a using (split) group by split""")
+def e9_evaluate_multiclass(spark, sf_dir):
+    return rounded(evaluate.evaluate_multiclass(scored_vectors(spark, sf_dir)))
+
+
+@query("e10_from_raw", f"""with {SCORED}, q as (select split, y, (0.5 - p) * 4000 as raw from scored)
+select split, round(avg(case when y = 1 then 2.5 * (greatest(-raw, 0) + ln(1 + exp(-abs(raw)))) else greatest(raw, 0) + ln(1 + exp(-abs(raw))) end), 6) as loss
+from q group by split""")
+def e10_from_raw(spark, sf_dir):
+    """Scores whose probabilities round to 0 and 1 have finite losses."""
+    rows = scored_rows(spark, sf_dir).withColumn("raw", (0.5 - F.col("p")) * 4000)
+    return rounded(evaluate.log_loss(rows.withColumn("p", numbers.sigmoid(F.col("raw"))), pos_weight=2.5))
+
+
+@query("e10_cross_entropy_from_raws", """
+with e as (select label as y, list_transform(embedding, lambda x: x::double * 5000) as v, case when vec_id < floor(n * 0.8::double) then 'train'
+    when vec_id < floor(n * 0.8::double) + floor(n * 0.1::double) then 'val' else 'test' end as split
+  from embeddings, (select count(*) as n from embeddings))
+select split, round(avg(list_max(v) + ln(list_sum(list_transform(v, lambda x: exp(x - list_max(v))))) - v[y + 1]), 6) as loss from e group by split""")
+def e10_cross_entropy_from_raws(spark, sf_dir):
+    raws = F.transform("embedding", lambda x: x.cast("double") * 5000)
+    rows = sampling.split_rowwise(vectors(spark, sf_dir).select("node_id", "y", raws.alias("raws")))
+    return rounded(evaluate.cross_entropy(rows))
 
 
 @query("l6_multiclass_experiment")
@@ -421,12 +527,3 @@ def l6_multiclass_experiment(spark, sf_dir):
         F.element_at("embedding", i + 1).cast("double").alias(c) for i, c in enumerate(columns)])
     return experiment.run_experiment(
         nodes, _vector_graph(spark, sf_dir), columns, "GraphSAGE", hops=(1,), regs=(0.01,), num_classes=10)[1]
-
-
-@query("l7_mlp_scores")
-def l7_mlp_scores(spark, sf_dir):
-    nodes = sampling.split_stratified(_snapshot_nodes(spark, sf_dir), "y")
-    columns = ["acctbal", "n_orders", "nation"]
-    scaled = graph.data_features(nodes, columns)
-    fitted = learn.train_mlp(scaled, columns, [4], max_iter=20)
-    return learn.score(fitted, scaled).select("node_id", "split", "y", "p", "pred")

@@ -625,13 +625,15 @@ def l2_propagate_sage_sum(spark, sf_dir):
 
 
 @query("l3_propagate_gin", f"""
-with {VECTOR_EDGES}, x as (select vec_id as node_id, embedding[1]::double as v from embeddings)
-select n.node_id, round(n.v + coalesce(sum(m.v), 0), 6) as v from x n left join edges on src = n.node_id
-left join x m on m.node_id = dst group by n.node_id, n.v""")
+with {VECTOR_EDGES}, x as (select vec_id as node_id, unnest(embedding)::double as v, unnest(range(64))::integer as pos from embeddings)
+select n.node_id, n.pos, round(n.v + coalesce(sum(m.v), 0), 6) as v from x n left join edges on src = n.node_id
+left join x m on m.node_id = dst and m.pos = n.pos group by n.node_id, n.pos, n.v""")
 def l3_propagate_gin(spark, sf_dir):
     nodes = vectors(spark, sf_dir)
-    x = nodes.select("node_id", F.element_at("embedding", 1).cast("double").alias("v"))
-    return rounded(propagate.propagate_gin(_vector_graph(spark, sf_dir), x, ["v"]))
+    columns = [f"x{i}" for i in range(64)]
+    x = nodes.select("node_id", *[F.element_at("embedding", i + 1).cast("double").alias(c) for i, c in enumerate(columns)])
+    summed = propagate.propagate_gin(_vector_graph(spark, sf_dir), x, columns)
+    return rounded(summed.select("node_id", F.posexplode(F.array(*columns)).alias("pos", "v")))
 
 
 @query("l4_sample_neighbors", f"""

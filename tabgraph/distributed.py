@@ -6,9 +6,7 @@ global rank or a global cumulative sum never runs in one task.
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Row position inside a partition, as laid out by monotonically_increasing_id.
@@ -18,19 +16,20 @@ _POSITION_BITS = 33
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so lost executors re-read files.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only a local session
-    without that setting gets a folder of its own.
+    The folder is the session's ``spark.checkpoint.dir``, which all executors share, or one
+    under its warehouse where that is not set.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of checkpoints and written tables, set on first use."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="tabgraph-checkpoint-")
-        context.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse.rstrip('/')}/_checkpoints")
+    return context.getCheckpointDir()
 
 
 def with_scalars(df: DataFrame, row: DataFrame) -> DataFrame:
@@ -91,6 +90,31 @@ def running_totals(df: DataFrame, order: list, totals: dict[str, Column]) -> Dat
     return summed.drop("_slice", "_at", *values, *[f"_s{v}" for v in values])
 
 
+def last_known(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """Adds ``name``: the last non-null ``value`` up to each row, per ``keys``, along ``order``.
+
+    Rows are range-partitioned over (keys, order), so a key that holds a third of all rows is cut over as
+    many slices as it fills, also where its rows share one time. Inside a slice a window runs; only the
+    first key of a slice may go back further, and finds its value among the last ones of the slices
+    before (at most two rows a slice).
+    """
+    placed = _range_placed(df, [*keys, *order])
+    inside = Window.partitionBy("_slice", *keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    key = F.struct(*keys)
+    ends = placed.groupBy("_slice").agg(F.min_by(key, "_at").alias("_k0"), F.max_by(key, "_at").alias("_k1"))
+    # One row per range slice.
+    edge = placed.join(F.broadcast(ends), "_slice").filter((key == F.col("_k0")) | (key == F.col("_k1")))
+    newest = edge.filter(F.col(value).isNotNull()).groupBy("_slice", *keys).agg(F.max_by(value, "_at").alias("_last"))
+    asked = ends.select("_slice", F.col("_k0.*"))
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = newest.join(asked, ["_slice", *keys], "full").withColumn(
+        "_carry", F.last("_last", ignorenulls=True).over(earlier)).filter(F.col("_carry").isNotNull()).select("_slice", *keys, "_carry")
+    # A carry is wanted by the first key of a slice only, so this has at most two rows a slice as well.
+    return placed.withColumn("_near", F.last(value, ignorenulls=True).over(inside)).join(
+        F.broadcast(carried), ["_slice", *keys], "left").withColumn(name, F.coalesce("_near", "_carry")).drop(
+        "_slice", "_at", "_near", "_carry")
+
+
 def seeded_hash(seed, *keys) -> Column:
     """Text hash that any SQL engine reproduces: md5(seed | key | key ...)."""
     seed = seed if isinstance(seed, Column) else F.lit(str(seed))

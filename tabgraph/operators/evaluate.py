@@ -173,7 +173,11 @@ def evaluate_splits(scored: DataFrame, threshold: float | None = None) -> DataFr
 
 
 def evaluate_multiclass(scored: DataFrame) -> DataFrame:
-    """E9 multi-class: (split, accuracy, f1_micro, f1_macro, auroc) of argmax labels."""
+    """E9 multi-class: (split, accuracy, f1_micro, f1_macro, auroc) of argmax labels.
+
+    The scored rows are written once, so the plan that scores them runs once for all measures.
+    """
+    scored = materialize(scored.select("split", "y", "pred", "probs"))
     f1 = f1_multiclass(confusion_matrix(scored))
     return accuracy(scored).join(f1, "split").join(auroc_ovr_macro(scored), "split")
 
@@ -199,9 +203,19 @@ def log_loss(scored: DataFrame, pos_weight: float = 1.0, by: str = "split") -> D
 
 
 def cross_entropy(scored: DataFrame, class_weights: list[float] | None = None, by: str = "split") -> DataFrame:
-    """E10 multi-class: weighted mean of -ln p[y]."""
+    """E10 multi-class: weighted mean of -ln p[y].
+
+    Frames that keep ``raws``, the scores before the softmax, stay finite: -ln p[y] is then the
+    log of the summed exponentials less the label's own score.
+    """
     weight = F.lit(1.0)
     if class_weights:
         weight = F.element_at(F.array(*[F.lit(float(w)) for w in class_weights]), F.col("y").cast("int") + 1)
-    own = F.element_at("probs", F.col("y").cast("int") + 1)
-    return scored.groupBy(by).agg((F.sum(-_log(own) * weight) / F.sum(weight)).alias("loss"))
+    place = F.col("y").cast("int") + 1
+    if "raws" in scored.columns:
+        top = F.array_max("raws")
+        spread = F.aggregate(F.transform("raws", lambda x: F.exp(x - top)), F.lit(0.0), lambda acc, x: acc + x)
+        surprise = top + F.log(spread) - F.element_at("raws", place)
+    else:
+        surprise = -_log(F.element_at("probs", place))
+    return scored.groupBy(by).agg((F.sum(surprise * weight) / F.sum(weight)).alias("loss"))

@@ -7,7 +7,7 @@ case of one class per node, so every metric has one implementation.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 import numpy as np
@@ -16,8 +16,18 @@ from pyspark.sql import functions as F
 
 from tabgraph.distributed import materialize, ordered_index, running_totals, with_scalars
 from tabgraph.functions.numbers import l2_normalize, log_degree_bin, one_hot, standard_scale
+from tabgraph.operators.mixtures import combine_pruned
 from tabgraph.operators.similarity import Similarity, closeness, expand_pairs
 
+#: Counts of node pairs pass 64 bits from 3 x 10^9 nodes on.
+PAIRS = "decimal(38,0)"
+
+
+def product(x: str, y: str) -> Column:
+    """Product of two counts beyond 64 bits."""
+    return (F.col(x).cast("decimal(19,0)") * F.col(y).cast("decimal(19,0)")).cast(PAIRS)
+
+
 #: Thresholds are multiples of 1 / SCALE: the bisection interval stays above 1e-6 that long.
 SCALE = 1 << 20
 
@@ -52,6 +62,88 @@ class Graph:
     def sizes(self) -> DataFrame:
         return self.members.groupBy("cls").agg(F.count(F.lit(1)).alias("m"))
 
+    def class_degrees(self) -> DataFrame:
+        """(cls, deg, clique): neighbours of each member, and whether its own class is linked."""
+        reach = self.links.join(self.sizes().withColumnRenamed("cls", "b"), "b")
+        return reach.groupBy(F.col("a").alias("cls")).agg(
+            F.sum(F.when(F.col("a") == F.col("b"), F.col("m") - 1).otherwise(F.col("m"))).alias("deg"),
+            F.max(F.col("a") == F.col("b")).alias("clique"),
+        )
+
+    def linked_totals(self, per_class: DataFrame, columns: list[str]) -> DataFrame:
+        """(cls, columns...): sums over all classes linked to a class, itself included if it is a clique."""
+        sent = self.links.join(per_class.select(F.col("cls").alias("b"), *columns), "b")
+        return sent.groupBy(F.col("a").alias("cls")).agg(*[F.sum(c).alias(c) for c in columns])
+
+    def label_totals(self, counts: DataFrame) -> DataFrame:
+        """(cls, y_dst, n, own): for counts (cls, y, n), how many nodes of each label the classes linked to a
+        class hold, and whether its own class is among them."""
+        met = self.links.join(counts.withColumnsRenamed({"cls": "b", "y": "y_dst"}), "b")
+        return met.groupBy(F.col("a").alias("cls"), "y_dst").agg(
+            F.sum("n").alias("n"), F.max(F.col("a") == F.col("b")).alias("own"))
+
+
+@dataclass(frozen=True)
+class IntervalGraph:
+    """Graph of one number: nodes are linked where 1 / (1 + |difference|) exceeds a threshold.
+
+    No link is stored. The neighbours of a value are one range of the sorted values, so degrees, label
+    counts and sums over neighbours are differences of running totals: n log n at any density, where
+    a table of links would hold a row per pair of distinct values. Sums of doubles carry the rounding
+    of the running total.
+
+    members: (node_id, cls); cls is the number, null where a node has none (null or NaN: no links).
+    """
+
+    members: DataFrame
+    gap: float
+
+    @staticmethod
+    def above(nodes: DataFrame, column: str, threshold: float, node: str = "node_id") -> "IntervalGraph":
+        """Links of X1 on ``column`` above ``threshold``; scale the column first for X3."""
+        number = F.col(column).cast("double") + F.lit(0.0)
+        members = nodes.select(F.col(node).alias("node_id"), F.when(~F.isnan(number), number).alias("cls"))
+        return IntervalGraph(members, _widest_gap(threshold))
+
+    def materialized(self) -> "IntervalGraph":
+        return IntervalGraph(materialize(self.members), self.gap)
+
+    def sizes(self) -> DataFrame:
+        return self.members.filter("cls is not null").groupBy("cls").agg(F.count(F.lit(1)).alias("m"))
+
+    def _range_totals(self, per_class: DataFrame, columns: list[str], by: list[str], asking: DataFrame) -> DataFrame:
+        """For the rows of ``asking`` (cls, by...): sums of ``columns`` over the values within reach, of the same ``by``."""
+        if self.gap < 0:
+            return asking.limit(0).select("*", *[F.lit(0).cast(per_class.schema[c].dataType).alias(c) for c in columns])
+        none = [F.lit(0).cast(per_class.schema[c].dataType).alias(c) for c in columns]
+        value = per_class.select(*by, F.col("cls").alias("x"), F.lit(1).alias("kind"), F.col("cls").alias("v"), *columns)
+        # At equal x a lower question comes before the value and an upper one behind it.
+        ends = F.explode(F.array(
+            F.struct((-_reach(-F.col("cls"), self.gap)).alias("x"), F.lit(0).alias("kind")),
+            F.struct(_reach(F.col("cls"), self.gap).alias("x"), F.lit(2).alias("kind"))))
+        asked = asking.select(*by, F.col("cls").alias("v"), ends.alias("e"), *none).select(*by, "e.x", "e.kind", "v", *columns)
+        summed = running_totals(value.unionByName(asked), [*by, "x", "kind"], {f"_u_{c}": F.col(c) for c in columns})
+        sign = F.when(F.col("kind") == 2, 1).otherwise(-1)
+        return summed.filter("kind <> 1").groupBy(*by, F.col("v").alias("cls")).agg(
+            *[F.sum(sign * F.col(f"_u_{c}")).alias(c) for c in columns])
+
+    def class_degrees(self) -> DataFrame:
+        sizes = materialize(self.sizes())
+        reached = self._range_totals(sizes, ["m"], [], sizes.select("cls"))
+        return reached.select("cls", (F.col("m") - 1).alias("deg"), F.lit(True).alias("clique"))
+
+    def linked_totals(self, per_class: DataFrame, columns: list[str]) -> DataFrame:
+        known = materialize(per_class.filter("cls is not null").select("cls", *[
+            F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns]))
+        return self._range_totals(known, columns, [], known.select("cls"))
+
+    def label_totals(self, counts: DataFrame) -> DataFrame:
+        counts = materialize(counts.withColumnRenamed("y", "y_dst"))
+        # Every value asks for every label: as many rows as the result can have per value.
+        labels = counts.agg(F.collect_set("y_dst").alias("_all"))
+        asking = with_scalars(counts.select("cls").distinct(), labels).select("cls", F.explode("_all").alias("y_dst"))
+        return self._range_totals(counts, ["n"], ["y_dst"], asking).filter("n > 0").withColumn("own", F.lit(True))
+
 
 def above(similarity: Similarity, threshold: float) -> DataFrame:
     """Pairs with sim > threshold, NaN excluded."""
@@ -85,16 +177,23 @@ def undirected(edges: DataFrame) -> DataFrame:
 # --- pair tables ------------------------------------------------------------
 
 
-def normalize_pairs(similarity: Similarity, diagonal: tuple[float, float] = (1.0, 1.0)) -> Similarity:
+def least_closeness(nodes: DataFrame, column: str) -> float:
+    """The smallest X1 similarity of any two nodes: that of the extreme values; 1 without two values."""
+    span = nodes.select((F.col(column).cast("double") + F.lit(0.0)).alias("v")).filter("not isnan(v)").agg(F.max("v") - F.min("v")).first()[0]
+    return 1.0 if span is None else 1.0 / (1.0 + span)
+
+
+def normalize_pairs(similarity: Similarity, diagonal: tuple[float, float] = (1.0, 1.0), low: float | None = None) -> Similarity:
     """G1: global min-max over the whole matrix, NaN skipped; unchanged if min = max.
 
     ``diagonal`` is the range of the self similarities. A sparse matrix also
-    holds the 0 of absent pairs; a dense one must hold all its pairs.
+    holds the 0 of absent pairs. The pairs of a pruned dense one do not show its
+    smallest entry: it is then ``low``, for numbers that of :func:`least_closeness`.
     """
-    if similarity.kind == "dense" and similarity.min_sim > 0:
-        raise ValueError("the minimum of a pruned dense similarity is unknown")
+    if similarity.kind == "dense" and similarity.min_sim > 0 and low is None:
+        raise ValueError("the minimum of a pruned dense similarity is unknown; give it as low")
     known = F.when(~F.isnan("sim"), F.col("sim"))
-    low = [F.min(known), F.lit(float(diagonal[0]))]
+    low = [F.min(known), F.lit(float(diagonal[0])), *([] if low is None else [F.lit(float(low))])]
     if similarity.kind == "sparse":
         low.append(F.lit(0.0))
     span = similarity.pairs.agg(
@@ -103,7 +202,7 @@ def normalize_pairs(similarity: Similarity, diagonal: tuple[float, float] = (1.0
     wide = F.col("_hi") > F.col("_lo")
     scaled = F.when(wide, F.try_divide(F.col("sim") - F.col("_lo"), F.col("_hi") - F.col("_lo"))).otherwise(F.col("sim"))
     pairs = with_scalars(similarity.pairs, span).withColumn("sim", scaled).drop("_lo", "_hi")
-    return similarity.with_pairs(pairs)
+    return replace(similarity, pairs=pairs, exact=None)
 
 
 def mixture_configs(
@@ -138,13 +237,14 @@ def combine_pairs(
     """Weighted sums of several similarities, one result per configuration.
 
     Nodes equal in every column form a joint class. Pairs are lifted to joint
-    classes and pivoted once, so all configurations share one shuffle. Every
-    input must be complete: sparse, or dense without pruning.
+    classes and pivoted once, and written, so all configurations read one table.
+    With pruned dense inputs the result is complete above ``min_sim`` > 0, see
+    :mod:`tabgraph.operators.mixtures`.
     """
-    pruned = [n for n, s in similarities.items() if s.kind == "dense" and s.min_sim > 0]
-    if pruned:
-        raise ValueError(f"pruned dense similarities cannot be summed: {pruned}")
+    if any(s.kind == "dense" and s.min_sim > 0 for s in similarities.values()):
+        return combine_pruned(similarities, configs, min_sim)
     members, lifted = _joint_pairs(similarities)
+    lifted = materialize(lifted)
     names = list(similarities)
     kinds = {s.kind for s in similarities.values()}
     kind = "sparse" if kinds == {"sparse"} and min_sim <= 0 else "dense"
@@ -235,6 +335,8 @@ def threshold_for_density(histogram: DataFrame, n_nodes: int, target: float, tol
     The histogram has at most 2^20 + 2 rows. ``min_sim`` is the pruning of the
     pairs behind it; a search that ends there raises, since lower counts are unknown.
     """
+    if n_nodes < 2:
+        return 0.0
     rows = histogram.toPandas().sort_values("slot")
     slots, counts = rows["slot"].to_numpy(), rows["n"].to_numpy()
     tail = np.concatenate([counts[::-1].cumsum()[::-1], [0]])
@@ -296,8 +398,9 @@ def pairs_above(values: DataFrame, column: str, thresholds: list[float]) -> list
 
 
 def _value_counts(values: DataFrame, column: str) -> DataFrame:
-    """(v, m): distinct values and their multiplicities."""
-    return values.groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("m"))
+    """(v, m): distinct values and their multiplicities; null and NaN are similar to nothing."""
+    number = F.col(column).cast("double") + F.lit(0.0)
+    return values.select(number.alias("v")).filter("v is not null and not isnan(v)").groupBy("v").agg(F.count(F.lit(1)).alias("m"))
 
 
 def _pairs_above(groups: DataFrame, thresholds: list[float]) -> list[int]:
@@ -313,9 +416,11 @@ def _pairs_above(groups: DataFrame, thresholds: list[float]) -> list[int]:
     # Ordered pairs (v, w) with w <= v + gap, less those with w < v and self pairs.
     sums = {
         r.q: int(r.s) for r in
-        total.groupBy("q").agg(F.sum(F.col("m") * F.col("upto")).alias("s")).collect()
+        total.groupBy("q").agg(F.sum(product("m", "upto")).alias("s")).collect()
     }
-    n = groups.agg(F.sum("m"), F.sum(F.col("m") * F.col("m"))).first()
+    if not sums:
+        return [0] * len(thresholds)
+    n = groups.agg(F.sum("m"), F.sum(product("m", "m"))).first()
     below = sums[-1] - int(n[1])  # pairs w < v
     inside = (int(n[1]) - int(n[0])) // 2
     return [
@@ -330,7 +435,9 @@ def threshold_for_density_numeric(values: DataFrame, column: str, target: float,
     Each pass counts all the middles the next ``levels`` bisection steps could visit.
     """
     groups = materialize(_value_counts(values, column))
-    n_nodes = groups.agg(F.sum("m")).first()[0]
+    n_nodes = values.count()  # also those without a value
+    if n_nodes < 2:
+        return 0.0
     known: dict[int, int] = {}
 
     def look_ahead(k: int) -> None:
@@ -353,19 +460,9 @@ def threshold_for_density_numeric(values: DataFrame, column: str, target: float,
 # --- structure --------------------------------------------------------------
 
 
-def _class_degrees(graph: Graph) -> DataFrame:
-    """(cls, deg, clique): neighbours of each member, and whether its own class is linked."""
-    sizes = graph.sizes()
-    reach = graph.links.join(sizes.withColumnRenamed("cls", "b"), "b")
-    return reach.groupBy(F.col("a").alias("cls")).agg(
-        F.sum(F.when(F.col("a") == F.col("b"), F.col("m") - 1).otherwise(F.col("m"))).alias("deg"),
-        F.max(F.col("a") == F.col("b")).alias("clique"),
-    )
-
-
 def degree(graph: Graph) -> DataFrame:
     """(node_id, degree), 0 for isolated nodes."""
-    degrees = _class_degrees(graph).select("cls", "deg")
+    degrees = graph.class_degrees().select("cls", "deg")
     return graph.members.join(degrees, "cls", "left").select(
         "node_id", F.coalesce("deg", F.lit(0)).cast("long").alias("degree")
     )
@@ -384,16 +481,23 @@ def data_features(features: DataFrame, columns: list[str], split: str = "split")
 
 
 def edge_count(graph: Graph) -> DataFrame:
-    """One row (n_nodes, n_edges), edges undirected."""
-    ends = _class_degrees(graph).join(graph.sizes(), "cls")
-    edges = ends.agg(F.coalesce(F.sum(F.col("deg") * F.col("m")), F.lit(0)).alias("_ends"))
+    """One row (n_nodes, n_edges), edges undirected; n_edges is null where it passes 64 bits."""
+    return _edge_total(graph).select("n_nodes", F.expr("try_cast(_edges as bigint)").alias("n_edges"))
+
+
+def _edge_total(graph: "Graph | IntervalGraph") -> DataFrame:
+    ends = graph.class_degrees().join(graph.sizes(), "cls")
+    edges = ends.agg(F.floor(F.coalesce(F.sum(product("deg", "m")), F.lit(0).cast(PAIRS)) / 2).alias("_edges"))
     nodes = graph.members.agg(F.count(F.lit(1)).alias("n_nodes"))
-    return with_scalars(nodes, edges).select("n_nodes", F.shiftright("_ends", 1).alias("n_edges"))
+    return with_scalars(nodes, edges)
 
 
 def density(graph: Graph) -> DataFrame:
     """One row (n_nodes, n_edges, density)."""
-    return edge_count(graph).withColumn("density", density_percent(F.col("n_nodes"), F.col("n_edges")))
+    pairs = F.col("n_nodes").cast("double") * (F.col("n_nodes") - 1) / 2
+    return _edge_total(graph).select(
+        "n_nodes", F.expr("try_cast(_edges as bigint)").alias("n_edges"),
+        (F.try_divide(F.col("_edges").cast("double"), pairs) * 100).alias("density"))
 
 
 def mixing_counts(graph: Graph, labels: DataFrame, label: str = "y", node: str = "node_id") -> DataFrame:
@@ -404,12 +508,12 @@ def mixing_counts(graph: Graph, labels: DataFrame, label: str = "y", node: str =
     """
     known = labels.select(F.col(node).alias("node_id"), F.col(label).alias("y"))
     counts = graph.members.join(known, "node_id").groupBy("cls", "y").agg(F.count(F.lit(1)).alias("n"))
-    one = counts.withColumnsRenamed({"cls": "a", "y": "y_src", "n": "n_a"})
-    two = counts.withColumnsRenamed({"cls": "b", "y": "y_dst", "n": "n_b"})
-    met = graph.links.join(one, "a").join(two, "b")
-    own = ((F.col("a") == F.col("b")) & (F.col("y_src") == F.col("y_dst"))).cast("long")
+    counts = counts.filter("cls is not null")
+    met = graph.label_totals(counts).join(counts.withColumnsRenamed({"y": "y_src", "n": "n_a"}), "cls")
+    # A node is no neighbour of its own.
+    own = (F.col("own") & (F.col("y_src") == F.col("y_dst"))).cast("long")
     return met.groupBy("y_src", "y_dst").agg(
-        F.sum(F.col("n_a") * (F.col("n_b") - own)).alias("n")
+        F.sum(F.col("n_a") * (F.col("n") - F.coalesce(own, F.lit(0)))).alias("n")
     ).filter("n > 0")
 
 

@@ -14,6 +14,7 @@ no pair above ``min_sim``; there is no cross join.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,19 +27,32 @@ from tabgraph.functions.numbers import bound, l2_normalize, minmax_scale, stable
 _SLACK = 1 + 1e-9
 
 
+@dataclass(frozen=True)
+class Exact:
+    """Random access to a similarity: ``of`` applied to the values of two classes.
+
+    values: (cls, value), a row per class. A class without a row is similar to nothing.
+    """
+
+    values: DataFrame
+    of: Callable[[Column, Column], Column]
+
+
 @dataclass(frozen=True)
 class Similarity:
     """Factored similarity of one column.
 
     members: (node_id, cls). pairs: (a, b, sim, m_a, m_b) with a <= b and m the
     class sizes; a = b only for classes of two or more. kind "sparse": absent
-    pairs are exactly 0. kind "dense": an absent pair is at most ``min_sim``.
+    pairs are exactly 0. kind "dense": an absent pair is at most ``min_sim``;
+    ``exact`` then tells the similarity of any two classes.
     """
 
     members: DataFrame
     pairs: DataFrame
     kind: str
     min_sim: float = 0.0
+    exact: Exact | None = None
 
     def with_pairs(self, pairs: DataFrame) -> "Similarity":
         return replace(self, pairs=pairs)
@@ -54,7 +68,8 @@ class Similarity:
 
 def pair_weight() -> Column:
     m = F.col("m_a")
-    inside = F.shiftright(m * (m - 1), 1)
+    # The even factor is halved first, so the product itself has to fit, not its double.
+    inside = F.when(m % 2 == 0, F.shiftright(m, 1) * (m - 1)).otherwise(m * F.shiftright(m - 1, 1))
     return F.when(F.col("a") == F.col("b"), inside).otherwise(m * F.col("m_b"))
 
 
@@ -158,7 +173,7 @@ def sim_count(nodes: DataFrame, column: str, min_sim: float, node: str = "node_i
     near = near.withColumn("sim", closeness(F.col("v_a"), F.col("v_b"))).filter(F.col("sim") > min_sim)
     columns = ["a", "b", "sim", "m_a", "m_b"]
     pairs = near.select(*columns).unionByName(_inside(groups, F.lit(1.0)))
-    return Similarity(members, pairs, "dense", min_sim)
+    return Similarity(members, pairs, "dense", min_sim, Exact(groups.select("cls", F.col("v").alias("value")), closeness))
 
 
 def sim_count_checked(
@@ -255,7 +270,13 @@ def sim_distribution_items(
     sim = F.lit(1.0) / (F.lit(1.0) + _cdf_area(F.col("entries_a"), F.col("entries_b")))
     near = _ordered(near.withColumn("sim", sim).filter(F.col("sim") > min_sim))
     pairs = near.unionByName(_inside(groups, F.lit(1.0)))
-    return Similarity(members.select("node_id", "cls"), pairs, "dense", min_sim)
+
+    def of(a: Column, b: Column) -> Column:
+        empty = (F.size(a) == 0).cast("int") + (F.size(b) == 0).cast("int")
+        return F.when(empty == 2, 1.0).when(empty == 1, 0.0).otherwise(F.lit(1.0) / (F.lit(1.0) + _cdf_area(a, b)))
+
+    exact = Exact(groups.select("cls", F.col("entries").alias("value")), of)
+    return Similarity(members.select("node_id", "cls"), pairs, "dense", min_sim, exact)
 
 
 # --- categories -------------------------------------------------------------
@@ -347,7 +368,8 @@ def sim_overlap_items(
     own = bags.withColumn("sim", _hit_share(F.col("entries"), F.col("entries")))
     inside = _inside(own, F.col("sim")).filter(F.col("sim") > min_sim)
     kind = "dense" if min_sim > 0 else "sparse"
-    return Similarity(members.select("node_id", "cls"), found.unionByName(inside), kind, min_sim)
+    exact = Exact(bags.select("cls", F.col("entries").alias("value")), lambda a, b: (_hit_share(a, b) + _hit_share(b, a)) / 2)
+    return Similarity(members.select("node_id", "cls"), found.unionByName(inside), kind, min_sim, exact)
 
 
 def _overlap_candidates(items: DataFrame, min_sim: float, expanded: bool) -> DataFrame:
@@ -532,7 +554,14 @@ def sim_cosine(
         _emit_pairs(min_sim, not grid_axes), "a string, b string, sim double, m_a long, m_b long"
     )
     inside = _inside(groups, F.lit(1.0))
-    return Similarity(members, _ordered(found).unionByName(inside), "dense", min_sim)
+    return Similarity(members, _ordered(found).unionByName(inside), "dense", min_sim, _cosine_access(groups))
+
+
+def _cosine_access(groups: DataFrame) -> Exact:
+    def of(a: Column, b: Column) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+
+    return Exact(groups.select("cls", F.col("unit").alias("value")), of)
 
 
 def cosine_histogram(
@@ -575,4 +604,4 @@ def sim_cosine_lsh(
         F.col("datasetA.cls").alias("a"), F.col("datasetB.cls").alias("b"), dot.alias("sim"),
         F.col("datasetA.m").alias("m_a"), F.col("datasetB.m").alias("m_b"),
     ).filter(F.col("sim") > min_sim)
-    return Similarity(members, found.unionByName(_inside(groups, F.lit(1.0))), "dense", min_sim)
+    return Similarity(members, found.unionByName(_inside(groups, F.lit(1.0))), "dense", min_sim, _cosine_access(groups))

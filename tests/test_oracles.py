@@ -7,8 +7,7 @@ from tabgraph.catalog import ORACLES, QUERIES
 from tabgraph.catalog.compare import differences
 
 #: Model fits and approximate candidates; their properties are in test_fixtures and test_properties.
-NO_ORACLE = {"x13_sim_cosine_lsh", "g13_build_graph", "l5_l8_l9_binary_experiment",
-             "l6_multiclass_experiment", "l7_mlp_scores"}
+NO_ORACLE = {"x13_sim_cosine_lsh", "l5_l8_l9_binary_experiment", "l6_multiclass_experiment"}
 
 
 def test_only_the_known_queries_lack_an_oracle():

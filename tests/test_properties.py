@@ -67,7 +67,7 @@ def test_hot_entity_window_and_asof(spark, rng):
         got = joins.window_join(r, f, "k", "rt", "ft", "-30d", bucket_days=width).collect()
         want = {(b[2], a[2]) for a in facts for b in rows if a[0] == b[0] and b[1] - 30 <= a[1] < b[1]}
         assert {(x.rid, x.id) for x in got} == want and len(got) == len(want)
-        near = joins.asof_join(r, f, ["k"], "rt", "ft", bucket_days=width).collect()
+        near = joins.asof_join(r, f, ["k"], "rt", "ft").collect()
         for x in near:
             row = next(b for b in rows if b[2] == x.rid)
             days = [a[1] for a in facts if a[0] == row[0] and a[1] <= row[1]]
