@@ -91,16 +91,33 @@ def window_exists(
 ) -> DataFrame:
     """Rows with some fact in ``[ts - window, ts]``, or any ``<= ts`` without a window.
 
-    The latest fact decides, so this is the as-of join plus a lower bound.
-    A duration given with a plus sign looks back, as in the sampler.
+    A duration given with a plus sign looks back, as in the sampler. Facts shrink to their first and
+    last time per entity and time slot, combined before any shuffle, so no entity's history is sorted
+    or gathered: slots between the ends of a window hold a fact wherever they have a row, and the two
+    end slots are settled by those times. Rows with a null key or time match nothing.
     """
-    matched = asof_join(left, right.select(*by, right_ts), by, left_ts, right_ts)
-    keep = F.col(right_ts).isNotNull()
-    if window is not None:
-        offset = as_offset(window)
-        offset = offset if offset.is_backward else offset.negated()
-        keep = keep & (F.col(right_ts) >= offset_by(left_ts, offset))
-    return matched.filter(keep).select(*left.columns)
+    known = right.dropna(how="any", subset=[*by, right_ts])
+    if window is None:
+        first = known.groupBy(*by).agg(F.min(right_ts).alias("_first"))
+        return left.join(first, by).filter(F.col("_first") <= F.col(left_ts)).select(*left.columns)
+    offset = as_offset(window)
+    offset = offset if offset.is_backward else offset.negated()
+    if abs(offset.months) * 28 + abs(offset.days) + abs(offset.seconds) // 86400 < 1:
+        # Under a day, which is the shortest slot: the latest fact decides.
+        matched = asof_join(left, known.select(*by, right_ts), by, left_ts, right_ts)
+        return matched.filter(F.col(right_ts) >= offset_by(left_ts, offset)).select(*left.columns)
+    width = max(1, offset.approx_days // 6)
+    cells = known.groupBy(*by, day_bucket(F.col(right_ts), width).alias("_slot")).agg(
+        F.min(right_ts).alias("_first"), F.max(right_ts).alias("_last"))
+    # Rows of one key and time are asked for once.
+    asked = left.select(*by, F.col(left_ts).alias("_t")).dropna().distinct().withColumn("_low", offset_by("_t", offset))
+    asked = asked.withColumns({"_a": day_bucket(F.col("_low"), width), "_z": day_bucket(F.col("_t"), width)})
+    spread = asked.withColumn("_slot", F.explode(F.sequence("_a", "_z")))
+    # The window is as long as a slot or longer, so its ends lie in different slots.
+    inside = F.when(F.col("_slot") == F.col("_a"), F.col("_last") >= F.col("_low")).when(
+        F.col("_slot") == F.col("_z"), F.col("_first") <= F.col("_t")).otherwise(True)
+    found = spread.join(cells, [*by, "_slot"]).filter(inside).select(*by, F.col("_t").alias(left_ts)).distinct()
+    return left.join(found, [*by, left_ts], "left_semi").select(*left.columns)
 
 
 def attach(base: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:

@@ -176,3 +176,31 @@ def test_asof_of_a_hot_instant_and_null_keys(spark, many_slices):
     got = joins.asof_join(rows.select("k", "rid", when.alias("rt")), facts.select("k", "id", when.alias("ft")), ["k"], "rt", "ft")
     assert {r.rid: r.id for r in got.collect()} == {0: None, 1: 1999, 2: 1999, 3: 7, 4: None, 5: None, 6: None, 7: None}
     assert got.columns == ["k", "rid", "rt", "ft", "id"]
+
+
+@pytest.mark.parametrize("window", [None, "2h", "1d", "-3d", "2mo"])
+def test_existence_in_a_window_by_slot_extremes(spark, window):
+    rng = random.Random(5)
+    facts = [(rng.choice([1, 1, 1, 2, 3, None]), rng.choice([None, *range(0, 24 * 90, 7)])) for _ in range(90)]
+    rows = [(rng.choice([1, 2, 3, 4, None]), rng.choice([None, *range(0, 24 * 120, 5)]), i) for i in range(150)]
+    when = F.expr("timestamp_ntz '2020-01-03' + make_dt_interval(0, h)")
+    left = spark.createDataFrame([*rows, rows[0]], "k int, h int, i int").select("k", "i", when.alias("rt"), "h")
+    right = spark.createDataFrame(facts, "k int, h int").select("k", when.alias("ft"))
+    got = joins.window_exists(left, right, ["k"], "rt", "ft", window)
+    from datetime import datetime, timedelta
+
+    def low(t):
+        if window is None:
+            return datetime.min
+        if window == "2mo":
+            month = (t.month - 3) % 12 + 1
+            year = t.year - (month > t.month)
+            last = (datetime(year + month // 12, month % 12 + 1, 1) - timedelta(days=1)).day
+            return t.replace(year=year, month=month, day=min(t.day, last))
+        return t - {"2h": timedelta(hours=2), "1d": timedelta(days=1), "-3d": timedelta(days=3)}[window]
+
+    base = datetime(2020, 1, 3)
+    times = [(k, base + timedelta(hours=h)) for k, h in facts if k is not None and h is not None]
+    want = sorted(i for k, h, i in [*rows, rows[0]] if k is not None and h is not None
+                  for t in [base + timedelta(hours=h)] if any(x == k and low(t) <= f <= t for x, f in times))
+    assert sorted(r.i for r in got.collect()) == want and got.columns == ["k", "i", "rt", "h"]
