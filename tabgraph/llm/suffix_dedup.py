@@ -11,10 +11,15 @@ anchors, about one in 77 bytes. All windows of one anchor form its context, unde
    every window of it repeats, and nothing more is compared.
 2. The other distinct contexts become suffixes, range-partitioned by sampled splitters over
    their leading bytes. A gram with more than ``RUN_MAX`` contexts, such as the edge of a
-   passage shared by a third of all texts, is dealt over many buckets by what precedes it.
-3. A bucket sorts its suffixes by multikey quicksort; neighbours that share a gram form a run,
-   and runs compare their windows. A run dealt over several buckets compares across their
-   boundaries by a shuffle on its distinct windows.
+   passage shared by a third of all texts, is dealt over many buckets by what precedes it and, behind
+   a header that all share, by what follows.
+3. A bucket sorts its suffixes by multikey quicksort, and what precedes them, read backwards, as
+   well. A window that begins ``o`` bytes before two anchors is the same where the suffixes share
+   ``LENGTH - o`` bytes and their left sides ``o``: cutting either order wherever neighbours have a
+   shorter common prefix leaves classes, and a window repeats if another one is in both of its
+   classes. So repeats come from the common prefixes of neighbours, byte by byte.
+4. A run dealt over several buckets compares across their boundaries by a shuffle on its distinct
+   windows, named by hashes modulo two primes.
 
 Texts whose rows no repeat touches are never shuffled (a fixed-size bitmap sorts them out).
 
@@ -35,12 +40,14 @@ from pyspark.sql import functions as F
 
 from tabgraph.distributed import materialize
 from tabgraph.llm.bitmap import bitmap, thinned
-from tabgraph.llm.bytescan import Chunk, chunks, mix, powers
+from tabgraph.llm.bytescan import Chunk, chunks, mix, powers, span_hashes
 
 LENGTH, GRAM = 200, 48
 WINDOW = LENGTH - GRAM + 1
 #: Runs of more contexts are dealt over several buckets; either way all windows are compared.
 RUN_MAX = 4096
+#: Suffixes of a bucket, about; each takes some 400 bytes.
+BUCKET = 1 << 18
 #: Long texts are anchored in pieces of this many windows.
 PIECE = 1 << 18
 _POSITION = np.uint64((1 << 24) - 1)
@@ -74,6 +81,7 @@ def _anchors(data: np.ndarray, offsets: np.ndarray):
     prefix = np.zeros(len(data) + 1, np.uint64)
     up, down = powers(len(data) + 1)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=prefix[1:])
+    # Gram hashes only pick anchors and bring contexts together; what is equal is decided elsewhere.
     grams = mix((prefix[GRAM:] - prefix[:-GRAM]) * down[: len(data) - GRAM + 1])
     keys = (grams & ~_POSITION) | np.arange(len(grams), dtype=np.uint64)
     least = (_sliding_min(keys, WINDOW) & _POSITION).astype(np.int64)
@@ -88,9 +96,9 @@ def _anchors(data: np.ndarray, offsets: np.ndarray):
     begin = np.flatnonzero(new)
     first, last = window[begin], window[np.append(begin[1:], len(window)) - 1]
     anchor = anchor[begin]
-    context = (prefix[last + LENGTH] - prefix[first]) * down[first]
+    context = span_hashes(Chunk(0, data, offsets).prefix(), first, last + LENGTH)
     place = ((anchor - first) << 8 | (anchor - last)).astype(np.uint64)
-    return text[begin], anchor, first, last, grams[anchor], mix(mix(context) + place)
+    return text[begin], anchor, first, last, grams[anchor], mix(context + place)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,6 +159,50 @@ def multikey_quicksort(tokens: np.ndarray) -> np.ndarray:
     return order
 
 
+def _padded(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a binary column as rows of ``width``, zero-padded, and their sizes."""
+    parts = list(chunks(column))
+    size = np.concatenate([np.diff(c.offsets) for c in parts])
+    rows = np.zeros((len(size), width), np.uint8)
+    rows[np.arange(width) < size[:, None]] = np.concatenate([c.data for c in parts])
+    return rows, size
+
+
+def _shared(rows: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of each row with the one before it; the first has none."""
+    out = np.zeros(len(rows), np.int64)
+    differ = rows[1:] != rows[:-1]
+    out[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+    return out
+
+
+def repeated_windows(right: np.ndarray, left: np.ndarray, back: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest offset at which each context's window stands in another context as well (255, -1: none).
+
+    ``right`` (contexts x bytes) in suffix order, ``left`` reads backwards from the anchors; a context has
+    the windows that begin ``near`` to ``back`` bytes before its anchor.
+    """
+    shared = _shared(right)
+    by_left = multikey_quicksort(left.view(">u8").astype(np.uint64))
+    behind = _shared(left[by_left])
+    low, high = np.full(len(right), 255), np.full(len(right), -1)
+    left_class = np.empty(len(right), np.int64)
+    for offset in range(int(near.min(initial=0)), int(back.max(initial=-1)) + 1):
+        have = np.flatnonzero((near <= offset) & (back >= offset))
+        # Neighbours with a shorter common prefix part the classes.
+        left_class[by_left] = np.cumsum(behind < offset)
+        pair = np.cumsum(shared < LENGTH - offset)[have] * (len(right) + 1) + left_class[have]
+        order = np.argsort(pair, kind="stable")
+        same = pair[order][1:] == pair[order][:-1]
+        twin = np.zeros(len(have), bool)
+        twin[1:] |= same
+        twin[:-1] |= same
+        hit = have[order[twin]]
+        low[hit] = np.minimum(low[hit], offset)
+        high[hit] = offset
+    return low, high
+
+
 def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows that repeat inside the bucket, and the distinct windows of dealt runs for comparison across buckets."""
     held = [b for b in batches if b.num_rows]
@@ -159,59 +211,31 @@ def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = pa.Table.from_batches(held).combine_chunks()
     gram, context, copies, back, near = (table.column(i).to_numpy() for i in range(5))
     dealt = table.column(7).to_numpy(zero_copy_only=False)
-    width = -(-LENGTH // _TOKEN) * _TOKEN
-    padded = np.zeros((len(gram), width), np.uint8)
-    rights, lefts = list(chunks(table.column(5).combine_chunks())), list(chunks(table.column(6).combine_chunks()))
-    data = np.concatenate([c.data for c in rights])
-    size = np.concatenate([np.diff(c.offsets) for c in rights])
-    padded[np.arange(width) < size[:, None]] = data
-    order = multikey_quicksort(padded.view(">u8").astype(np.uint64))
+    right, _ = _padded(table.column(5).combine_chunks(), -(-LENGTH // _TOKEN) * _TOKEN)
+    left, _ = _padded(table.column(6).combine_chunks(), -(-WINDOW // _TOKEN) * _TOKEN)
+    order = multikey_quicksort(right.view(">u8").astype(np.uint64))
     # A run: neighbours in suffix order that agree on the whole gram.
-    ahead = padded[order, :GRAM]
-    new = np.ones(len(order), bool)
-    new[1:] = (ahead[1:] != ahead[:-1]).any(axis=1)
-    run = np.cumsum(new) - 1
+    bounds = np.flatnonzero(_shared(right[order]) < GRAM)
     whole = copies[order] >= 2
-    left_data = np.concatenate([c.data for c in lefts])
-    left_size = np.concatenate([np.diff(c.offsets) for c in lefts])
-    left_start, start = np.cumsum(left_size) - left_size, np.cumsum(size) - size
-    bounds = np.flatnonzero(new)
     # Whole runs at a time, about 2^14 suffixes.
     at = 0
     while at < len(order):
         to = int(np.searchsorted(bounds, at + (1 << 14), "left"))
         to = int(bounds[to]) if to < len(bounds) else len(order)
         rows = order[at:to]
-        windows, owner, offset = _windows(
-            [data[start[r]: start[r] + size[r]] for r in rows], [left_data[left_start[r]: left_start[r] + left_size[r]] for r in rows],
-            back[rows], near[rows])
-        # The same gram, offset and bytes: the gram separates runs.
-        windows = mix(mix(gram[rows][owner].view(np.uint64) + offset.astype(np.uint64)) + windows)
-        low = np.full(len(rows), 255), np.full(len(rows), -1)
-        seen = np.argsort(windows, kind="stable")
-        ordered = windows[seen]
-        twin = np.zeros(len(ordered), bool)
-        twin[1:] |= ordered[1:] == ordered[:-1]
-        twin[:-1] |= ordered[1:] == ordered[:-1]
-        hit = seen[twin]
-        np.minimum.at(low[0], owner[hit], offset[hit])
-        np.maximum.at(low[1], owner[hit], offset[hit])
+        low, high = repeated_windows(right[rows], np.ascontiguousarray(left[rows]), back[rows], near[rows])
         full = whole[at:to]
-        low[0][full], low[1][full] = near[rows][full], back[rows][full]
-        good = low[1] >= 0
-        yield _found(gram[rows], context[rows], copies[rows], low[0], low[1], good, None)
-        # One row stands for all equal windows here, with their number.
-        one = np.ones(len(ordered), bool)
-        one[1:] = ordered[1:] != ordered[:-1]
-        group = np.cumsum(one) - 1
-        times = np.bincount(group, copies[rows][owner][seen]).astype(np.int64)
-        out = np.zeros(len(windows), bool)
-        out[seen[one]] = True
-        number = np.zeros(len(windows), np.int64)
-        number[seen[one]] = times
-        out &= dealt[rows][owner]
-        if out.any():
-            yield _found(gram[rows][owner], context[rows][owner], number, offset, offset, out, windows.view(np.int64))
+        low[full], high[full] = near[rows][full], back[rows][full]
+        yield _found(gram[rows], context[rows], copies[rows], low, high, high >= 0, None)
+        across = rows[dealt[rows]]
+        for part in (across[i: i + 4096] for i in range(0, len(across), 4096)):
+            windows, owner, offset = _windows(right[part], left[part], back[part], near[part])
+            # The same gram, offset and bytes. One row stands for all equal windows here, with their number.
+            windows = mix(mix(gram[part][owner].view(np.uint64) + offset.astype(np.uint64)) + windows)
+            _, one, group = np.unique(windows, return_index=True, return_inverse=True)
+            times = np.bincount(group, copies[part][owner]).astype(np.int64)
+            keep = np.ones(len(one), bool)
+            yield _found(gram[part][owner[one]], context[part][owner[one]], times, offset[one], offset[one], keep, windows[one].view(np.int64))
         at = to
 
 
@@ -222,18 +246,16 @@ def _found(gram, context, copies, low, high, keep, window) -> pa.RecordBatch:
          pa.array(high[keep].astype(np.int32)), none if window is None else pa.array(window[keep])], schema=_FOUND)
 
 
-def _windows(rights: list, lefts: list, back: np.ndarray, near: np.ndarray):
+def _windows(right: np.ndarray, left: np.ndarray, back: np.ndarray, near: np.ndarray):
     """Hash, owner and offset of every window of some contexts."""
-    joined = np.concatenate([x for right, left in zip(rights, lefts) for x in (left[::-1], right)])
-    sizes = np.array([len(r) + len(x) for r, x in zip(rights, lefts)])
-    up, down = powers(len(joined) + 1)
-    prefix = np.zeros(len(joined) + 1, np.uint64)
-    np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * up[: len(joined)], out=prefix[1:])
+    width = left.shape[1]
+    joined = np.concatenate([left[:, ::-1], right], axis=1)
+    prefix = Chunk(0, joined.reshape(-1), np.array([0, joined.size])).prefix()
     counts = (back - near + 1).astype(np.int64)
     owner = np.repeat(np.arange(len(counts)), counts)
-    step = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    first = (np.cumsum(sizes) - sizes)[owner] + step
-    return mix((prefix[first + LENGTH] - prefix[first]) * down[first]), owner, back[owner].astype(np.int64) - step
+    offset = back[owner].astype(np.int64) - (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts))
+    first = owner * joined.shape[1] + width - offset
+    return span_hashes(prefix, first, first + LENGTH), owner, offset
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,6 +286,12 @@ def merged(packed: list[int]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in runs]
 
 
+def in_buckets(suffixes: DataFrame, parts: int) -> DataFrame:
+    """Suffixes range-partitioned by sampled splitters: runs stay whole, dealt ones split by left and right."""
+    split = lambda side: F.when(F.col("dealt"), F.col(side))
+    return suffixes.repartitionByRange(parts, F.substring("right", 1, GRAM), split("left"), split("right"))
+
+
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """(key, span) of every repeated stretch of ``texts`` (key long, text binary); span is start << 16 | length."""
     sketch = texts.mapInArrow(_sketch, "key long, gram long, context long, at long")
@@ -281,9 +309,10 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
         F.collect_list(F.struct("gram", "context", "copies", "at", "dealt")).alias("wanted")))
     suffixes = thinned(texts, "key", bitmap(wanted, "key")).dropDuplicates(["key"]).join(wanted, "key").select(
         "text", "wanted").mapInArrow(_cut, "gram long, context long, copies long, back int, near int, right binary, left binary, dealt boolean")
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = materialize(suffixes.repartitionByRange(
-        parts, F.substring("right", 1, GRAM), F.when(F.col("dealt"), F.col("left"))).mapInArrow(
+    # A bucket is held whole by one task, so their number follows that of the suffixes.
+    number = wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0
+    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-number // BUCKET))
+    found = materialize(in_buckets(suffixes, parts).mapInArrow(
         _sort_bucket, "gram long, context long, copies long, low int, high int, window long"))
     across = found.filter("window is not null")
     shared = across.groupBy("window").agg(F.sum("copies").alias("n")).filter("n > 1").select("window")
@@ -306,7 +335,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).withColumn(
         "key", F.xxhash64("doc_id", "text"))
-    spans = materialize(repeated_spans(rows.select("key", "text")).groupBy("key").agg(F.collect_list("span").alias("spans")))
+    spans = materialize(repeated_spans(rows.select("key", "text")).groupBy("key").agg(F.collect_set("span").alias("spans")))
     touched = bitmap(spans, "key")
     none = F.lit(0).cast("long")
     clean = thinned(rows, "key", touched, inverse=True).select(

@@ -72,6 +72,57 @@ def test_long_texts_are_anchored_in_pieces(spark, monkeypatch):
     assert dedup(spark.createDataFrame(rows, "doc_id long, text string")) == removed(dict(rows))
 
 
+def test_repeats_are_told_by_common_prefixes():
+    """Every offset of every context against its bytes."""
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        n = int(rng.integers(2, 40))
+        base_right, base_left = (rng.integers(97, 99, size).astype(np.uint8) for size in (200, 152))
+        right, left = np.zeros((n, 200), np.uint8), np.zeros((n, 160), np.uint8)
+        near = rng.integers(0, 100, n)
+        back = np.array([int(rng.integers(a, 153)) for a in near])
+        for i in range(n):
+            r, x = base_right.copy(), base_left.copy()
+            if rng.random() < 0.7:
+                r[int(rng.integers(48, 200))] ^= 3
+            if rng.random() < 0.7:
+                x[int(rng.integers(0, 152))] ^= 3
+            right[i, : 200 - near[i]], left[i, : back[i]] = r[: 200 - near[i]], x[: back[i]]
+        order = suffix_dedup.multikey_quicksort(right.view(">u8").astype(np.uint64))
+        right, left, near, back = right[order], left[order], near[order], back[order]
+        low, high = suffix_dedup.repeated_windows(right, left, back, near)
+        for i in range(n):
+            same = [o for o in range(near[i], back[i] + 1) if any(
+                j != i and near[j] <= o <= back[j] and (right[i, : 200 - o] == right[j, : 200 - o]).all() and (left[i, :o] == left[j, :o]).all()
+                for j in range(n))]
+            assert (low[i], high[i]) == ((min(same), max(same)) if same else (255, -1))
+
+
+@pytest.mark.parametrize("shared", ["header", "footer"])
+def test_a_passage_all_texts_share_is_dealt_over_buckets(spark, monkeypatch, shared):
+    monkeypatch.setattr(suffix_dedup, "RUN_MAX", 32)
+    rng = np.random.default_rng(7)
+    letters = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    passage = letters(600)
+    own = [letters(300) for _ in range(250)]
+    rows = [(i, passage + t if shared == "header" else t + passage) for i, t in enumerate(own)]
+    assert dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == removed(dict(rows))
+    gram, side = bytearray(passage[:48].encode()), [t.encode() for t in own]
+    edge = [(bytes(gram) + t[:100], b"h" * 152) if shared == "header" else (bytes(gram) + b"f" * 100, t[:152]) for t in side]
+    frame = spark.createDataFrame([(r, x, True) for r, x in edge], "right binary, left binary, dealt boolean")
+    sizes = [r.n for r in suffix_dedup.in_buckets(frame, 8).groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) == 8 and max(sizes) < 80
+
+
+def test_texts_whose_hashes_cancel_keep_their_bytes(spark):
+    """Thue-Morse texts, equal modulo 2^64 in every polynomial hash, are not copies of each other."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate({97: 98, 98: 97})
+    rows = [(0, "x" * 50 + word[:2048] + "y" * 50), (1, "z" * 50 + word[2048:] + "w" * 50)]
+    assert dedup(spark.createDataFrame(rows, "doc_id long, text string")) == removed(dict(rows))
+
+
 def test_suffix_dedup_of_odd_rows(odd_docs, no_docs):
     rows = suffix_dedup.without_repeats(odd_docs).collect()
     assert len(rows) == odd_docs.count()
