@@ -35,6 +35,9 @@ MARK = "▁"
 #: A worker remembers the words of its last one or two generations of so many, per variant; longer
 #: words are encoded anew each time.
 STORE_WORDS, STORE_LENGTH = 60_000, 40
+#: Words of more characters keep their agenda in a heap.
+SHORT = 48
+INFINITE = float("inf")
 _M64 = (1 << 64) - 1
 
 
@@ -58,10 +61,109 @@ class Codec:
                 self.bytes.append(piece.replace(MARK, " ").encode())
         newline = "" if "\n" in self.ids else "\n"
         self.cut = re.compile(f" *[^ {newline}]+|\n| +")
+        self._tables()
         self.limit, self.seed = int(dropout * (1 << 32)), seed
         self.variants = variants
         self.forget()
 
+    def _tables(self) -> None:
+        """Arrays for encoding many words at once: symbol of each character, merges by their two symbols, ranks."""
+        size = len(self.bytes)
+        self.symbol = np.full(0x110000, -1, np.int32)
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self.symbol[ord(piece)] = i
+        # Texts hold spaces for marks; a literal mark is no symbol.
+        self.symbol[ord(" ")], self.symbol[ord(MARK)] = self.ids.get(MARK, -1), -1
+        found = sorted((self.ids[piece[:k]] * size + self.ids[piece[k:]], i) for piece, i in self.ids.items()
+                       for k in range(1, len(piece)) if piece[:k] in self.ids and piece[k:] in self.ids)
+        self.pair_keys, self.pair_made = (np.array([f[c] for f in found] + [-1][:not found], np.int64) for c in (0, 1))
+        self.order = np.full(size + 1, INFINITE)
+        for piece, i in self.ids.items():
+            self.order[i] = self.rank[piece]
+
+    def _merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The pieces that pairs of symbols make; the vocabulary's size for none."""
+        keys = left.astype(np.int64) * len(self.bytes) + right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_made[at], len(self.bytes))
+
+    def many(self, words: list[str], variant: int = 0) -> Iterator[tuple[str, list[int]]]:
+        """(word, ids) of every word, as ``_word`` gives them, by array arithmetic over words of like length."""
+        rest = []
+        short = sorted((w for w in words if len(w) <= SHORT or rest.append(w)), key=len)
+        for at in range(0, len(short), 8192):
+            part = short[at: at + 8192]
+            lengths = np.array([len(w) for w in part])
+            points = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)
+            symbols = np.full((len(part), int(lengths[-1]) + 1), -1, np.int32)
+            inside = np.arange(symbols.shape[1]) < lengths[:, None]
+            symbols[inside] = self.symbol[points]
+            known = ~((symbols < 0) & inside).any(axis=1)
+            rest += [w for w, k in zip(part, known) if not k]
+            part = [w for w, k in zip(part, known) if k]
+            if part:
+                yield from zip(part, self._many(part, symbols[known], lengths[known], variant))
+        for word in rest:
+            yield word, self._word(word, variant)
+
+    def _many(self, words: list[str], symbols: np.ndarray, lengths: np.ndarray, variant: int) -> list[list[int]]:
+        seed = (self.seed * 4096 + variant) & 0xFFFFFFFF
+        key = np.array([zlib.crc32(w.encode(), seed) for w in words], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        n, width = symbols.shape
+        none = len(self.bytes)
+        after = np.tile(np.arange(1, width + 1), (n, 1))
+        after[np.arange(width) >= lengths[:, None] - 1] = width - 1  # the last column is the end of every word
+        before = np.tile(np.arange(-1, width - 1), (n, 1))
+        made = np.full((n, width), none)
+        pairs = np.arange(width - 1) < lengths[:, None] - 1
+        row, at = np.nonzero(pairs)
+        made[row, at] = self._merged(symbols[row, at], symbols[row, at + 1])
+        orders = self.order[made]
+        rows = np.arange(n)
+        while True:
+            at = orders[rows].argmin(axis=1)
+            live = orders[rows, at] < INFINITE
+            rows, at = rows[live], at[live]
+            if not len(rows):
+                break
+            piece = made[rows, at]
+            if self.limit:
+                mixed = key[rows] + at.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + piece.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
+                mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                skipped = (mixed >> np.uint64(32)).astype(np.int64) < self.limit
+                orders[rows[skipped], at[skipped]] = INFINITE
+                r, i, piece = rows[~skipped], at[~skipped], piece[~skipped]
+            else:
+                r, i = rows, at
+            j = after[r, i]
+            k = after[r, j]
+            symbols[r, i], symbols[r, j] = piece, -1
+            after[r, i] = k
+            orders[r, j] = INFINITE
+            wider = np.where(k < width - 1, self._merged(piece, symbols[r, k]), none)
+            made[r, i], orders[r, i] = wider, self.order[wider]
+            before[r, k] = i
+            h = before[r, i]
+            held = h >= 0
+            r, h, piece = r[held], h[held], piece[held]
+            wider = self._merged(symbols[r, h], piece)
+            made[r, h], orders[r, h] = wider, self.order[wider]
+        kept = symbols >= 0
+        ends = np.cumsum(kept.sum(axis=1)).tolist()
+        flat = symbols[kept].tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+    def learn(self, texts: list[str], variants: list[int]) -> None:
+        """Puts the words of some texts that are not remembered into the stores, all at once."""
+        wanted: list[set[str]] = [set() for _ in range(self.variants)]
+        for text, variant in zip(texts, variants):
+            wanted[variant].update(self.cut.findall(" " + text))
+        for variant, words in enumerate(wanted):
+            young, old = self.young[variant], self.old[variant]
+            new = [w for w in words if len(w) <= STORE_LENGTH and w not in young and w not in old]
+            young.update((w, tuple(ids)) for w, ids in self.many(new, variant))
+
     def forget(self) -> None:
         """Empties the word stores."""
         self.young: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
@@ -85,48 +187,70 @@ class Codec:
 
     def _word(self, word: str, variant: int) -> list[int]:
         # A literal mark may not be read as white space, so no piece may hold it.
-        symbols: list[str | None] = [MARK if c == " " else "\0" + c if c == MARK else c for c in word]
-        n, rank, limit = len(symbols), self.rank.get, self.limit
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        symbols = [MARK if c == " " else "\0" + c if c == MARK else c for c in word]
         key = zlib.crc32(word.encode(), (self.seed * 4096 + variant) & 0xFFFFFFFF) * 0x9E3779B97F4A7C15
-        agenda = []
-        for i in range(n - 1):
-            pair = symbols[i] + symbols[i + 1]
+        out = []
+        for symbol in (self._short if len(symbols) <= SHORT else self._long)(symbols, key):
+            if symbol in self.ids:
+                out.append(self.ids[symbol])
+            else:
+                out += [self.byte_id[b] for b in symbol.lstrip("\0").encode() or b"\0"]
+        return out
+
+    def _skipped(self, pair: str, i: int, key: int) -> bool:
+        """Whether dropout skips the merge to ``pair`` that begins at place ``i``; the place and piece decide alone."""
+        mixed = (key + i * 0xC2B2AE3D27D4EB4F + self.ids[pair] * 0x165667B19E3779F9) & _M64
+        return ((mixed ^ mixed >> 29) * 0xBF58476D1CE4E5B9 & _M64) >> 32 < self.limit
+
+    def _short(self, symbols: list[str], key: int) -> list[str]:
+        """Symbols after all merges. The agenda of a short word is the list of its candidates' ranks: the
+        least comes up next, the leftmost of equals."""
+        rank, limit, skipped = self.rank.get, self.limit, self._skipped
+        starts = list(range(len(symbols)))
+        orders = [rank(a + b, INFINITE) for a, b in zip(symbols, symbols[1:])]
+        while orders:
+            least = min(orders)
+            if least == INFINITE:
+                break
+            at = orders.index(least)
+            pair = symbols[at] + symbols[at + 1]
+            if limit and skipped(pair, starts[at], key):
+                orders[at] = INFINITE
+                continue
+            symbols[at] = pair
+            del symbols[at + 1], orders[at], starts[at + 1]
+            if at < len(orders):
+                orders[at] = rank(pair + symbols[at + 1], INFINITE)
+            if at:
+                orders[at - 1] = rank(symbols[at - 1] + pair, INFINITE)
+        return symbols
+
+    def _long(self, symbols: list[str], key: int) -> list[str]:
+        """As ``_short``, by a heap: n log n for words of any length."""
+        n, rank = len(symbols), self.rank.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        agenda: list[tuple[float, int, str]] = []
+
+        def propose(i: int, pair: str) -> None:
             if (order := rank(pair)) is not None:
-                agenda.append((order, i, pair))
-        heapq.heapify(agenda)
+                heapq.heappush(agenda, (order, i, pair))
+
+        for i in range(n - 1):
+            propose(i, symbols[i] + symbols[i + 1])
+        merged: list[str | None] = list(symbols)
         while agenda:
             _, i, pair = heapq.heappop(agenda)
-            left = symbols[i]
-            j = after[i]
-            if left is None or j >= n or len(left) + len(symbols[j]) != len(pair) or left + symbols[j] != pair:
+            left, j = merged[i], after[i]
+            if left is None or j >= n or left + merged[j] != pair or self.limit and self._skipped(pair, i, key):
                 continue
-            if limit:
-                mixed = (key + i * 0xC2B2AE3D27D4EB4F + self.ids[pair] * 0x165667B19E3779F9) & _M64
-                mixed = ((mixed ^ mixed >> 29) * 0xBF58476D1CE4E5B9) & _M64
-                if mixed >> 32 < limit:
-                    continue
-            symbols[i], symbols[j] = pair, None
+            merged[i], merged[j] = pair, None
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                wider = pair + symbols[k]
-                if (order := rank(wider)) is not None:
-                    heapq.heappush(agenda, (order, i, wider))
-            h = before[i]
-            if h >= 0:
-                wider = symbols[h] + pair
-                if (order := rank(wider)) is not None:
-                    heapq.heappush(agenda, (order, h, wider))
-        out = []
-        for symbol in symbols:
-            if symbol is None:
-                continue
-            if symbol in self.ids:
-                out.append(self.ids[symbol])
-            else:
-                out += [self.byte_id[b] for b in symbol.lstrip("\0").encode() or b"\0"]
-        return out
+                propose(i, pair + merged[k])
+            if before[i] >= 0:
+                propose(before[i], merged[before[i]] + pair)
+        return [s for s in merged if s is not None]
 
     def decode(self, ids) -> str:
         table = self.bytes
@@ -149,7 +273,9 @@ def _encoded(batches: Iterator[pa.RecordBatch], setting: tuple) -> Iterator[pa.R
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
             ids, same, digests = [], [], []
-            for text, variant in zip(part.column("text").to_pylist(), part.column("variant").to_pylist()):
+            texts, variants = part.column("text").to_pylist(), part.column("variant").to_pylist()
+            own.learn(texts, variants)
+            for text, variant in zip(texts, variants):
                 made = np.array(own.encode(text, variant), np.int32)
                 ids.append(made)
                 same.append(own.decode(made.tolist()) == text)

@@ -522,6 +522,22 @@ def test_one_word_is_cut_differently_in_different_documents(spark):
     assert len({tuple(r.ids) for r in made}) > 1 and all(r.lossless for r in made)
 
 
+def test_many_words_at_once_equal_one_at_a_time(documents):
+    texts = list(texts_of(documents).values())
+    odd = ["x" * 47, "x" * 48, "x" * 200, " " + "abc" * 60, "日本語" * 30, " ▁▁a", "é" * 70, " 😀😀ab", "x y", "
+", "  ", " ", "a"]
+    for dropout in (0.0, 0.1, 0.6, 1.0):
+        codec = spm.Codec(dropout=dropout)
+        words = [*dict.fromkeys(w for t in texts for w in codec.cut.findall(" " + t)), *odd]
+        for variant in (0, 1):
+            got = dict(codec.many(words, variant))
+            assert got == {w: codec._word(w, variant) for w in words}
+        for word in words[:3000]:
+            symbols = [spm.MARK if c == " " else "\0" + c if c == spm.MARK else c for c in word]
+            assert codec._short(list(symbols), 12345) == codec._long(list(symbols), 12345)
+    assert list(codec.many([])) == []
+
+
 def test_every_merge_may_be_skipped():
     assert len(spm.Codec(dropout=1.0).encode("hello")) == 1 + len("hello")
 

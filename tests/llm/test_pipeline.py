@@ -35,3 +35,22 @@ def test_stages_and_run(spark, documents):
             decode = spm.codec().decode
             assert set(new) == set(old) and all(decode(r.ids) == old[d] for d, r in new.items())
     assert corpus_pipeline.run(spark, SF_DIR).count() == docs.count()
+
+
+def test_stages_take_odd_repeated_and_no_rows(spark, odd_docs, no_docs):
+    """Nulls in every column, empty and long texts, repeated rows, clashing names: a defined result from every stage."""
+    rows = odd_docs.count()
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd_docs, SF_DIR)
+        if name != "pieces":
+            assert out.columns == odd_docs.columns, name
+        kept = out.collect()
+        if name in ("personal_data", "pieces"):
+            assert len(kept) == rows, name
+        elif name == "near_duplicates":
+            # Rows without an id stay; each text of two words or more is kept once, the repeated rows with their id.
+            assert sum(r.doc_id is None for r in kept) == odd_docs.filter("doc_id is null").count()
+            assert {r.doc_id for r in kept} >= {1, 2, 3, 4, 7, 8, 9, 11, 12, 13, 14}
+        else:
+            assert len(kept) <= rows, name
+        assert stage(spark, no_docs, SF_DIR).count() == 0, name
