@@ -524,8 +524,7 @@ def test_one_word_is_cut_differently_in_different_documents(spark):
 
 def test_many_words_at_once_equal_one_at_a_time(documents):
     texts = list(texts_of(documents).values())
-    odd = ["x" * 47, "x" * 48, "x" * 200, " " + "abc" * 60, "日本語" * 30, " ▁▁a", "é" * 70, " 😀😀ab", "x y", "
-", "  ", " ", "a"]
+    odd = ["x" * 47, "x" * 48, "x" * 200, " " + "abc" * 60, "日本語" * 30, " ▁▁a", "é" * 70, " 😀😀ab", "x\0y", "\n", "  ", " ", "a"]
     for dropout in (0.0, 0.1, 0.6, 1.0):
         codec = spm.Codec(dropout=dropout)
         words = [*dict.fromkeys(w for t in texts for w in codec.cut.findall(" " + t)), *odd]
