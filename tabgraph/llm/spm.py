@@ -78,7 +78,8 @@ class Codec:
         found = sorted((self.ids[piece[:k]] * size + self.ids[piece[k:]], i) for piece, i in self.ids.items()
                        for k in range(1, len(piece)) if piece[:k] in self.ids and piece[k:] in self.ids)
         self.pair_keys, self.pair_made = (np.array([f[c] for f in found] + [-1][:not found], np.int64) for c in (0, 1))
-        self.order = np.full(size + 1, INFINITE)
+        # Ranks of a vocabulary are whole numbers or floats of 32 bits.
+        self.order = np.full(size + 1, INFINITE, np.float32)
         for piece, i in self.ids.items():
             self.order[i] = self.rank[piece]
 
@@ -112,17 +113,17 @@ class Codec:
         key = np.array([zlib.crc32(w.encode(), seed) for w in words], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         n, width = symbols.shape
         none = len(self.bytes)
-        after = np.tile(np.arange(1, width + 1), (n, 1))
+        after = np.tile(np.arange(1, width + 1, dtype=np.int16), (n, 1))
         after[np.arange(width) >= lengths[:, None] - 1] = width - 1  # the last column is the end of every word
-        before = np.tile(np.arange(-1, width - 1), (n, 1))
-        made = np.full((n, width), none)
+        before = np.tile(np.arange(-1, width - 1, dtype=np.int16), (n, 1))
+        made = np.full((n, width), none, np.int32)
         pairs = np.arange(width - 1) < lengths[:, None] - 1
         row, at = np.nonzero(pairs)
         made[row, at] = self._merged(symbols[row, at], symbols[row, at + 1])
         orders = self.order[made]
         rows = np.arange(n)
         while True:
-            at = orders[rows].argmin(axis=1)
+            at = orders.argmin(axis=1) if len(rows) == n else orders[rows].argmin(axis=1)
             live = orders[rows, at] < INFINITE
             rows, at = rows[live], at[live]
             if not len(rows):
@@ -154,11 +155,11 @@ class Codec:
         flat = symbols[kept].tolist()
         return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
-    def learn(self, texts: list[str], variants: list[int]) -> None:
+    def learn(self, texts: list[list[str]], variants: list[int]) -> None:
         """Puts the words of some texts that are not remembered into the stores, all at once."""
         wanted: list[set[str]] = [set() for _ in range(self.variants)]
-        for text, variant in zip(texts, variants):
-            wanted[variant].update(self.cut.findall(" " + text))
+        for words, variant in zip(texts, variants):
+            wanted[variant].update(words)
         for variant, words in enumerate(wanted):
             young, old = self.young[variant], self.old[variant]
             new = [w for w in words if len(w) <= STORE_LENGTH and w not in young and w not in old]
@@ -169,12 +170,16 @@ class Codec:
         self.young: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
         self.old: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
 
+    def words(self, text: str) -> list[str]:
+        return self.cut.findall(" " + text) if text else []
+
     def encode(self, text: str, variant: int = 0) -> list[int]:
-        if not text:
-            return []
+        return self.encode_words(self.words(text), variant)
+
+    def encode_words(self, words: list[str], variant: int = 0) -> list[int]:
         young, out = self.young[variant], []
         get, extend, older = young.get, out.extend, self.old[variant].get
-        for word in self.cut.findall(" " + text):
+        for word in words:
             ids = get(word)
             if ids is None:
                 ids = older(word) or tuple(self._word(word, variant))
@@ -270,13 +275,14 @@ def codec(model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, varian
 def _encoded(batches: Iterator[pa.RecordBatch], setting: tuple) -> Iterator[pa.RecordBatch]:
     own = codec(*setting)
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
             ids, same, digests = [], [], []
             texts, variants = part.column("text").to_pylist(), part.column("variant").to_pylist()
-            own.learn(texts, variants)
-            for text, variant in zip(texts, variants):
-                made = np.array(own.encode(text, variant), np.int32)
+            cut = [own.words(text) for text in texts]
+            own.learn(cut, variants)
+            for text, words, variant in zip(texts, cut, variants):
+                made = np.array(own.encode_words(words, variant), np.int32)
                 ids.append(made)
                 same.append(own.decode(made.tolist()) == text)
                 digests.append(hashlib.sha256(made.astype("<i4").tobytes()).hexdigest())
