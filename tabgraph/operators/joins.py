@@ -31,16 +31,18 @@ def window_join(
 
     Both sides carry a time slot in the equi-join key, so an entity with a huge
     history is cut over its slots and non-overlapping times never meet. The
-    training side, the small one, is repeated once per slot its window touches;
-    each fact is shuffled once.
+    training side is repeated once per slot its window touches, three at most by
+    default; each fact is shuffled once. Row counts after an explode are unknown
+    to the planner, which would broadcast millions of repeated rows as if they
+    were the few before it, so the join is asked to merge.
     """
     offset = as_offset(window)
-    width = bucket_days or max(1, offset.approx_days // 6)
+    width = bucket_days or max(1, offset.approx_days // 2)
     first = day_bucket(offset_by(ts, offset), width)
     last = day_bucket(F.col(ts), width)
     left = train.withColumn("_slot", F.explode(F.sequence(first, last)))
     right = facts.withColumn("_slot", day_bucket(F.col(fact_ts), width))
-    joined = left.join(right, [key, "_slot"])
+    joined = left.hint("merge").join(right, [key, "_slot"])
     return joined.filter(window_predicate(F.col(fact_ts), F.col(ts), offset)).drop("_slot")
 
 

@@ -51,3 +51,16 @@ def test_yearly_top_k_limits_before_the_shuffle(spark):
     facts = src.fact(spark, SF_DIR)
     text = plan(rows.top_k_per_year(facts, "product_id", "review_time", 5).select(F.col("year")))
     assert "WindowGroupLimit" in text
+
+
+def _few_that_become_many(spark):
+    """Rows whose repetition the planner does not see, and many facts of an unknown number."""
+    train = spark.range(200).select(F.col("id").alias("k"), F.explode(src.snapshots()).alias("ts"))
+    facts = spark.range(10**9).select((F.col("id") % 200).alias("k"), F.lit("1999-05-01").cast("timestamp_ntz").alias("at"))
+    return train, facts
+
+
+def test_window_join_never_broadcasts_repeated_rows(spark):
+    train, facts = _few_that_become_many(spark)
+    text = plan(joins.window_join(train, facts, "k", "ts", "at", "-6mo"))
+    assert "BroadcastHashJoin" not in text and "SortMergeJoin" in text
