@@ -118,7 +118,8 @@ def window_exists(
     # The window is as long as a slot or longer, so its ends lie in different slots.
     inside = F.when(F.col("_slot") == F.col("_a"), F.col("_last") >= F.col("_low")).when(
         F.col("_slot") == F.col("_z"), F.col("_first") <= F.col("_t")).otherwise(True)
-    found = spread.join(cells, [*by, "_slot"]).filter(inside).select(*by, F.col("_t").alias(left_ts)).distinct()
+    # As in window_join: the planner takes the repeated rows for few.
+    found = spread.hint("merge").join(cells, [*by, "_slot"]).filter(inside).select(*by, F.col("_t").alias(left_ts)).distinct()
     return left.join(found, [*by, left_ts], "left_semi").select(*left.columns)
 
 

@@ -64,3 +64,9 @@ def test_window_join_never_broadcasts_repeated_rows(spark):
     train, facts = _few_that_become_many(spark)
     text = plan(joins.window_join(train, facts, "k", "ts", "at", "-6mo"))
     assert "BroadcastHashJoin" not in text and "SortMergeJoin" in text
+
+
+def test_window_exists_never_broadcasts_repeated_rows(spark):
+    train, facts = _few_that_become_many(spark)
+    text = plan(joins.window_exists(train, facts, ["k"], "ts", "at", "-6mo"))
+    assert "BroadcastHashJoin" not in text and "BroadcastNestedLoopJoin" not in text
