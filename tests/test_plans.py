@@ -70,3 +70,9 @@ def test_window_exists_never_broadcasts_repeated_rows(spark):
     train, facts = _few_that_become_many(spark)
     text = plan(joins.window_exists(train, facts, ["k"], "ts", "at", "-6mo"))
     assert "BroadcastHashJoin" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_overlaps_of_small_bags_look_up_no_bag(spark):
+    """What two bags share comes from the hits; a row per candidate never carries whole bags."""
+    found = S.sim_overlap_items(cat.orders_with_items(spark, SF_DIR), cat.order_items(spark, SF_DIR))
+    assert "entries_a" not in found.pairs._jdf.queryExecution().optimizedPlan().toString()

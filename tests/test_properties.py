@@ -242,3 +242,17 @@ def test_auroc_against_pair_counting(spark, rng):
         neg = [p for s, y, p in rows if s == r.split and not y]
         wins = sum((a > b) + (a == b) / 2 for a in pos for b in neg)
         assert r.auroc == pytest.approx(wins / len(pos) / len(neg))
+
+
+@pytest.mark.parametrize("with_map", [False, True])
+def test_overlap_pairs_of_bags_with_items_that_do_not_probe(spark, rng, with_map):
+    bags = {i: [str(rng.randint(0, 14)) for _ in range(rng.choice([1, 2, 9, 14]))] for i in range(30)}
+    expand = {str(k): [str(k), str((k + 5) % 15)] if with_map and k % 2 else [str(k)] for k in range(15)}
+    related = spark.createDataFrame([(k, v) for k, vs in expand.items() for v in vs], "key string, related string") if with_map else None
+
+    def share(a, b):
+        return sum(any(v in b for v in expand[x]) for x in a) / len(a)
+
+    nodes = spark.createDataFrame(list(bags.items()), "node_id long, v array<string>")
+    got = node_pairs(S.sim_overlap(nodes, "v", related, 0.6))
+    agree(got, brute(30, lambda i, j: (share(bags[i], bags[j]) + share(bags[j], bags[i])) / 2, 0.6))
