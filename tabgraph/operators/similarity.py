@@ -444,6 +444,10 @@ def _overlap_candidates(items: DataFrame, min_sim: float, expanded: bool) -> tup
 
 #: Vectors per block of the block-by-block product.
 BLOCK = 1024
+#: Vectors per block where only counts leave a block: every vector is sent to as many tasks as there are blocks.
+COUNT_BLOCK = 16_384
+#: Rows of a block multiplied at a time, so that memory does not grow with the square of a block.
+_TILE = 512
 
 
 def _vector_classes(nodes: DataFrame, vec_col: str, node: str) -> tuple[DataFrame, DataFrame]:
@@ -527,15 +531,17 @@ def _grid_products(batches, halved: bool):
             m_b = col["m_b"][r].values.to_numpy(zero_copy_only=False)
             a = col["unit_a"][r].values.to_numpy(zero_copy_only=False).reshape(len(cls_a), -1)
             b = col["unit_b"][r].values.to_numpy(zero_copy_only=False).reshape(len(cls_b), -1)
-            sims = a @ b.T
             ids_a = cls_a.to_numpy(zero_copy_only=False)
             ids_b = cls_b.to_numpy(zero_copy_only=False)
             home = col["home_b"][r].values.to_numpy(zero_copy_only=False).astype(bool)
-            once = np.ones(sims.shape, dtype=bool)
             same_block = col["i"][r].as_py() == col["j"][r].as_py()
-            if same_block or not halved:
-                once[:, home] = ids_a[:, None] < ids_b[None, home]
-            yield ids_a, ids_b, m_a, m_b, sims, once
+            for start in range(0, len(ids_a), _TILE):
+                at = slice(start, start + _TILE)
+                sims = a[at] @ b.T
+                once = np.ones(sims.shape, dtype=bool)
+                if same_block or not halved:
+                    once[:, home] = ids_a[at, None] < ids_b[None, home]
+                yield ids_a[at], ids_b, m_a[at], m_b, sims, once
 
 
 def _emit_pairs(min_sim: float, halved: bool):
@@ -561,14 +567,15 @@ def _emit_counts(scale: int, halved: bool):
         import numpy as np
         import pyarrow as pa
 
+        counts = np.zeros(scale + 2, dtype=np.int64)  # of the whole task
         for _, _, m_a, m_b, sims, once in _grid_products(batches, halved):
             slot = np.clip(np.ceil(sims[once] * scale), 0, scale + 1).astype(np.int64)
-            weight = (m_a[:, None] * m_b[None, :])[once]
-            found, at = np.unique(slot, return_inverse=True)
-            counts = np.zeros(len(found), dtype=np.int64)
-            np.add.at(counts, at.ravel(), weight)
+            np.add.at(counts, slot, (m_a[:, None] * m_b[None, :])[once])
+        found = np.flatnonzero(counts)
+        for start in range(0, len(found), 200_000):
+            slots = found[start:start + 200_000]
             yield pa.RecordBatch.from_pydict({
-                "slot": pa.array(found, pa.int64()), "n": pa.array(counts, pa.int64()),
+                "slot": pa.array(slots, pa.int64()), "n": pa.array(counts[slots], pa.int64()),
             })
 
     return run
@@ -600,7 +607,7 @@ def _cosine_access(groups: DataFrame) -> Exact:
 
 
 def cosine_histogram(
-    nodes: DataFrame, vec_col: str, scale: int, node: str = "node_id", block: int = BLOCK
+    nodes: DataFrame, vec_col: str, scale: int, node: str = "node_id", block: int = COUNT_BLOCK
 ) -> DataFrame:
     """(slot, n): number of node pairs per ceil(cosine * scale), cosines below 0 in slot 0.
 

@@ -256,3 +256,21 @@ def test_overlap_pairs_of_bags_with_items_that_do_not_probe(spark, rng, with_map
     nodes = spark.createDataFrame(list(bags.items()), "node_id long, v array<string>")
     got = node_pairs(S.sim_overlap(nodes, "v", related, 0.6))
     agree(got, brute(30, lambda i, j: (share(bags[i], bags[j]) + share(bags[j], bags[i])) / 2, 0.6))
+
+
+def test_large_blocks_are_multiplied_tile_by_tile():
+    import numpy as np
+    import pyarrow as pa
+
+    n = 1200
+    units = np.random.default_rng(5).normal(size=(n, 3))
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    side = {"cls": [f"{i:05d}" for i in range(n)], "m": [1] * n, "home": [True] * n, "unit": units.ravel().tolist()}
+    batch = pa.RecordBatch.from_pydict({
+        **{f"{k}_{tag}": [v] for k, v in side.items() for tag in "ab"}, "i": [0], "j": [0]})
+    tiles = list(S._grid_products([batch], True))
+    assert max(sims.shape[0] for *_, sims, _ in tiles) <= 512
+    assert sum(int(once.sum()) for *_, once in tiles) == n * (n - 1) // 2
+    counts = {s: c for b in S._emit_counts(64, True)([batch]) for s, c in zip(b["slot"].to_pylist(), b["n"].to_pylist())}
+    slots = np.clip(np.ceil((units @ units.T)[np.triu_indices(n, 1)] * 64), 0, 65).astype(int)
+    assert counts == dict(zip(*(x.tolist() for x in np.unique(slots, return_counts=True))))
