@@ -129,12 +129,17 @@ def attach(base: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def self_pairs(nodes: DataFrame, band: list[str], node: str = "node_id") -> DataFrame:
-    """Unordered node pairs that share ``band``; never a bare cross join."""
-    other = nodes.select(*band, F.col(node).alias("dst"))
-    return (
-        nodes.select(*band, F.col(node).alias("src"))
-        .join(other, band)
-        .filter("src < dst")
-        .select("src", "dst")
-        .distinct()
-    )
+    """Unordered node pairs that share ``band``; never a bare cross join.
+
+    A pair can arise twice only between two nodes that both have several bands; only such pairs are
+    compared with each other, all others are written as they are found.
+    """
+    rows = nodes.select(*band, node).distinct()
+    bands = rows.groupBy(F.col(node).alias("_id")).agg((F.count(F.lit(1)) > 1).alias("_many"))
+    rows = rows.join(bands, F.col(node).eqNullSafe(F.col("_id"))).drop("_id")
+    one = rows.withColumnsRenamed({node: "src", "_many": "_many_src"})
+    two = rows.withColumnsRenamed({node: "dst", "_many": "_many_dst"})
+    # A merge join holds the rows of one band of one side and may spill them.
+    met = one.join(two.hint("merge"), band).filter("src < dst")
+    again = F.col("_many_src") & F.col("_many_dst")
+    return met.filter(~again).select("src", "dst").unionByName(met.filter(again).select("src", "dst").distinct())

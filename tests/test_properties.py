@@ -274,3 +274,13 @@ def test_large_blocks_are_multiplied_tile_by_tile():
     counts = {s: c for b in S._emit_counts(64, True)([batch]) for s, c in zip(b["slot"].to_pylist(), b["n"].to_pylist())}
     slots = np.clip(np.ceil((units @ units.T)[np.triu_indices(n, 1)] * 64), 0, 65).astype(int)
     assert counts == dict(zip(*(x.tolist() for x in np.unique(slots, return_counts=True))))
+
+
+def test_self_pairs_compare_only_pairs_that_can_repeat(spark):
+    rows = [(i, i % 3) for i in range(30)] + [(1, 2), (2, 1), (4, 0), (4, 1), (None, 1), (5, None)]
+    nodes = spark.createDataFrame(rows, "id long, band int")
+    got = [(r.src, r.dst) for r in joins.self_pairs(nodes, ["band"], "id").collect()]
+    want = {(a, b) for a, x in rows for b, y in rows if a is not None and b is not None and x is not None and a < b and x == y}
+    assert len(got) == len(want) and set(got) == want
+    plan = joins.self_pairs(nodes, ["band"], "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union")  # before: one aggregate over all pairs
