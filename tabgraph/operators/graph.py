@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabgraph.distributed import materialize, ordered_index, running_totals, with_scalars
-from tabgraph.functions.numbers import l2_normalize, log_degree_bin, one_hot, standard_scale
+from tabgraph.functions.numbers import bound, l2_normalize, log_degree_bin, one_hot, standard_scale
 from tabgraph.operators.mixtures import combine_pruned
 from tabgraph.operators.similarity import Similarity, Vectors, closeness, expand_pairs
 
@@ -624,7 +624,8 @@ def top_n_similar_all(similarity: Similarity, n: int) -> DataFrame:
     """(node_id, rank, neighbour, similarity): the ``n`` most similar other nodes of each.
 
     Ties go to the smaller id. A class can fill at most n + 1 places, so its
-    n + 1 smallest ids stand for it; each class ranks at most n + 1 classes.
+    n + 1 smallest ids stand for it; each class ranks at most n + 1 classes. A node
+    finishes its list in its own row, from the list of its class.
 
     Sparse families are complete: nodes at similarity 0 fill the list, and the smallest n + 1
     ids of all hold enough of them. A dense family ends at its ``min_sim``; for one number
@@ -641,20 +642,28 @@ def top_n_similar_all(similarity: Similarity, n: int) -> DataFrame:
         firsts.select(F.col("cls").alias("b"), F.col("node_id").alias("neighbour")), "b")
     near = Window.partitionBy("a").orderBy(F.desc("sim"), "neighbour")
     options = options.withColumn("_no", F.row_number().over(near)).filter(F.col("_no") <= wanted)
-    mine = similarity.members.select("node_id", F.col("cls").alias("a")).join(
-        options.select("a", "neighbour", F.col("sim").alias("similarity")), "a"
-    ).filter("node_id <> neighbour")
+    place = F.struct((F.lit(0.0) - F.col("sim")).alias("far"), "neighbour")
+    lists = options.groupBy(F.col("a").alias("cls")).agg(F.collect_list(place).alias("_near"))
+    # A node has one class, save where its id repeats; only then are lists gathered by node.
+    own = similarity.members.filter("node_id is not null")
+    counted = own.groupBy("node_id").agg(F.count(F.lit(1)).alias("_rows"), F.min("cls").alias("cls"))
+    single = counted.filter("_rows = 1").join(lists, "cls", "left").select("node_id", "_near")
+    several = own.join(counted.filter("_rows > 1").select("node_id"), "node_id").join(lists, "cls", "left").groupBy(
+        "node_id").agg(F.flatten(F.collect_list("_near")).alias("_near"))
+    near = F.coalesce("_near", F.array().cast(lists.schema["_near"].dataType))
+    mine = single.unionByName(several).withColumn("_near", near)
     if similarity.kind == "sparse":
         smallest = similarity.members.orderBy("node_id").limit(n + 1)
-        packed = smallest.agg(F.sort_array(F.collect_list("node_id")).alias("_fill"))
-        fill = with_scalars(similarity.members.select("node_id"), packed)
-        fill = fill.select("node_id", F.explode("_fill").alias("neighbour"), F.lit(0.0).alias("similarity"))
-        mine = mine.select("node_id", "neighbour", "similarity").unionByName(fill.filter("node_id <> neighbour")).groupBy("node_id", "neighbour").agg(
-            F.max("similarity").alias("similarity"))
-    final = Window.partitionBy("node_id").orderBy(F.desc("similarity"), "neighbour")
-    return mine.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= n).select(
-        "node_id", "rank", "neighbour", "similarity"
-    )
+        packed = smallest.agg(F.transform(F.sort_array(F.collect_list("node_id")), lambda i: F.struct(
+            F.lit(0.0).alias("far"), i.alias("neighbour"))).alias("_fill"))
+        mine = with_scalars(mine, packed).select("node_id", F.concat("_near", "_fill").alias("_near"))
+    ranked = F.array_sort(F.filter("_near", lambda p: p["neighbour"] != F.col("node_id")))
+    if similarity.kind == "sparse":  # each neighbour once, where it is nearest
+        ranked = bound(ranked, lambda all_: F.filter(all_, lambda p, i: F.array_position(
+            F.transform(all_, lambda q: q["neighbour"]), p["neighbour"]) == i + 1))
+    return mine.select("node_id", F.posexplode(F.slice(ranked, 1, n)).alias("_at", "_p")).select(
+        "node_id", (F.col("_at") + 1).alias("rank"), F.col("_p.neighbour").alias("neighbour"),
+        (F.lit(0.0) - F.col("_p.far")).alias("similarity"))
 
 
 def top_n_closest(nodes: DataFrame, column: str, n: int, node: str = "node_id") -> DataFrame:

@@ -284,3 +284,22 @@ def test_self_pairs_compare_only_pairs_that_can_repeat(spark):
     assert len(got) == len(want) and set(got) == want
     plan = joins.self_pairs(nodes, ["band"], "id")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.startswith("Union")  # before: one aggregate over all pairs
+
+
+def test_top_n_finishes_lists_in_their_rows(spark):
+    rows = [(i, "abc"[i % 3]) for i in range(40)] + [(33, "b"), (33, "b"), (7, None), (41, None), (-5, "z")]
+    nodes = spark.createDataFrame(rows, "node_id long, k string")
+    found = G.top_n_similar_all(S.sim_exact(nodes, "k"), 6)
+    sims = {}
+    for i, x in rows:
+        for j, y in rows:
+            if i != j:
+                sims[i, j] = max(sims.get((i, j), 0.0), float(x == y))
+    want = set()
+    for i in {i for i, _ in rows}:
+        best = sorted((-s, j) for (k, j), s in sims.items() if k == i)[:6]
+        want |= {(i, at, j, -s) for at, (s, j) in enumerate(best, 1)}
+    got = [tuple(r) for r in found.select("node_id", "rank", "neighbour", "similarity").collect()]
+    assert len(got) == len(want) and set(got) == want
+    # before: every node's list went through an aggregate and a window of its own
+    assert "windowspecdefinition(node_id#" not in found._jdf.queryExecution().optimizedPlan().toString()
