@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tabgraph import distributed
 from tabgraph.operators import evaluate, graph as G, joins, propagate
 from tabgraph.operators import similarity as S
-from tabgraph.operators.text_similarity import sim_text
+from tabgraph.operators.text_similarity import embed_text, sim_text
 
 
 def node_pairs(similarity):
@@ -303,3 +303,20 @@ def test_top_n_finishes_lists_in_their_rows(spark):
     assert len(got) == len(want) and set(got) == want
     # before: every node's list went through an aggregate and a window of its own
     assert "windowspecdefinition(node_id#" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_cut_into_terms_where_their_node_is(spark):
+    rows = [(1, "a b b c"), (1, "a d"), (2, "b c"), (3, None), (None, "c d e"), (4, "x")]
+    found = embed_text(spark.createDataFrame(rows, "node_id long, text string"), "text")
+    got = {(r.node_id, r.term): r.weight for r in found.collect()}
+    counts, heads = {}, {}
+    for i, text in rows:
+        for w in (text or "").split():
+            counts[i, w] = counts.get((i, w), 0) + 1
+    for _, w in counts:
+        heads[w] = heads.get(w, 0) + 1
+    raw = {k: n * np.log(7 / (heads[k[1]] + 1)) for k, n in counts.items()}
+    norm = {i: np.sqrt(sum(v * v for (j, _), v in raw.items() if j == i)) for i, _ in raw}
+    agree(got, {k: v / norm[k[0]] for k, v in raw.items() if k[0] is not None})
+    planned = found._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in planned.split("\n") if "Exchange hashpartitioning(node_id" in x and ", term" in x]
