@@ -22,7 +22,7 @@ import heapq
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +32,8 @@ from pyspark.sql import functions as F
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 DROPOUT, SEED, VARIANTS = 0.1, 17, 2
 MARK = "▁"
-#: A worker remembers the words of its last one or two generations of so many, per variant; longer
-#: words are encoded anew each time.
-STORE_WORDS, STORE_LENGTH = 60_000, 40
+#: A worker forgets its words before it learns those of another part of texts, once they have more characters.
+STORE_CHARACTERS = 2_000_000
 #: Words of more characters keep their agenda in a heap.
 SHORT = 48
 INFINITE = float("inf")
@@ -90,7 +89,13 @@ class Codec:
         return np.where(self.pair_keys[at] == keys, self.pair_made[at], len(self.bytes))
 
     def many(self, words: list[str], variant: int = 0) -> Iterator[tuple[str, list[int]]]:
-        """(word, ids) of every word, as ``_word`` gives them, by array arithmetic over words of like length."""
+        """(word, ids) of every word, as ``_word`` gives them."""
+        for part, sizes, ids in self._encoded_words(words, variant):
+            ends, flat = np.cumsum(sizes).tolist(), ids.tolist()
+            yield from zip(part, [flat[a:b] for a, b in zip([0, *ends], ends)])
+
+    def _encoded_words(self, words: Iterable[str], variant: int) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+        """Some of the words, how many ids each has, and the ids, by array arithmetic over words of like length."""
         rest = []
         short = sorted((w for w in words if len(w) <= SHORT or rest.append(w)), key=len)
         for at in range(0, len(short), 8192):
@@ -101,14 +106,16 @@ class Codec:
             inside = np.arange(symbols.shape[1]) < lengths[:, None]
             symbols[inside] = self.symbol[points]
             known = ~((symbols < 0) & inside).any(axis=1)
-            rest += [w for w, k in zip(part, known) if not k]
-            part = [w for w, k in zip(part, known) if k]
+            if not known.all():
+                rest += [w for w, k in zip(part, known) if not k]
+                part, symbols, lengths = [w for w, k in zip(part, known) if k], symbols[known], lengths[known]
             if part:
-                yield from zip(part, self._many(part, symbols[known], lengths[known], variant))
-        for word in rest:
-            yield word, self._word(word, variant)
+                yield part, *self._many(part, symbols, lengths, variant)
+        if rest:
+            made = [self._word(w, variant) for w in rest]
+            yield rest, np.array([len(ids) for ids in made]), np.array([i for ids in made for i in ids], np.int32)
 
-    def _many(self, words: list[str], symbols: np.ndarray, lengths: np.ndarray, variant: int) -> list[list[int]]:
+    def _many(self, words: list[str], symbols: np.ndarray, lengths: np.ndarray, variant: int) -> tuple[np.ndarray, np.ndarray]:
         seed = (self.seed * 4096 + variant) & 0xFFFFFFFF
         key = np.array([zlib.crc32(w.encode(), seed) for w in words], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         n, width = symbols.shape
@@ -121,74 +128,88 @@ class Codec:
         row, at = np.nonzero(pairs)
         made[row, at] = self._merged(symbols[row, at], symbols[row, at + 1])
         orders = self.order[made]
-        rows = np.arange(n)
-        while True:
-            at = orders.argmin(axis=1) if len(rows) == n else orders[rows].argmin(axis=1)
-            live = orders[rows, at] < INFINITE
-            rows, at = rows[live], at[live]
-            if not len(rows):
-                break
-            piece = made[rows, at]
+        # From here on cells are numbered through, and only words that still merge are kept.
+        ended, who, first = np.empty_like(symbols), np.arange(n), np.arange(n) * width
+        symbols, after, before, made, orders = (x.ravel() for x in (symbols, after, before, made, orders))
+        while len(who):
+            cell = first[: len(who)] + orders.reshape(-1, width).argmin(axis=1)
+            live = np.flatnonzero(orders.take(cell) < INFINITE)
+            if 2 * len(live) <= len(who):
+                ended[who] = symbols.reshape(-1, width)
+                who, key = who[live], key[live]
+                symbols, after, before, made, orders = (x.reshape(-1, width)[live].ravel() for x in (symbols, after, before, made, orders))
+                continue
+            i, start = cell.take(live), first.take(live)
+            piece = made.take(i)
             if self.limit:
-                mixed = key[rows] + at.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + piece.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
+                place = (i - start).astype(np.uint64)
+                mixed = key.take(live) + place * np.uint64(0xC2B2AE3D27D4EB4F) + piece.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
                 mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
                 skipped = (mixed >> np.uint64(32)).astype(np.int64) < self.limit
-                orders[rows[skipped], at[skipped]] = INFINITE
-                r, i, piece = rows[~skipped], at[~skipped], piece[~skipped]
-            else:
-                r, i = rows, at
-            j = after[r, i]
-            k = after[r, j]
-            symbols[r, i], symbols[r, j] = piece, -1
-            after[r, i] = k
-            orders[r, j] = INFINITE
-            wider = np.where(k < width - 1, self._merged(piece, symbols[r, k]), none)
-            made[r, i], orders[r, i] = wider, self.order[wider]
-            before[r, k] = i
-            h = before[r, i]
-            held = h >= 0
-            r, h, piece = r[held], h[held], piece[held]
-            wider = self._merged(symbols[r, h], piece)
-            made[r, h], orders[r, h] = wider, self.order[wider]
-        kept = symbols >= 0
-        ends = np.cumsum(kept.sum(axis=1)).tolist()
-        flat = symbols[kept].tolist()
-        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+                orders[i[skipped]] = INFINITE
+                i, start, piece = i[~skipped], start[~skipped], piece[~skipped]
+            j = start + after.take(i)
+            next_ = after.take(j)
+            k = start + next_
+            symbols[i], symbols[j] = piece, -1
+            after[i] = next_
+            orders[j] = INFINITE
+            before[k] = i - start
+            wider = np.full(len(i), none)
+            inner = np.flatnonzero(next_ < width - 1)
+            wider[inner] = self._merged(piece.take(inner), symbols.take(k.take(inner)))
+            made[i], orders[i] = wider, self.order.take(wider)
+            back = before.take(i)
+            held = np.flatnonzero(back >= 0)
+            h = start.take(held) + back.take(held)
+            wider = self._merged(symbols.take(h), piece.take(held))
+            made[h], orders[h] = wider, self.order.take(wider)
+        kept = ended >= 0
+        return kept.sum(axis=1), ended[kept]
 
     def learn(self, texts: list[list[str]], variants: list[int]) -> None:
-        """Puts the words of some texts that are not remembered into the stores, all at once."""
+        """Puts the words of some texts that are not remembered into the store, all at once."""
+        if self.held > STORE_CHARACTERS:
+            self.forget()
         wanted: list[set[str]] = [set() for _ in range(self.variants)]
         for words, variant in zip(texts, variants):
             wanted[variant].update(words)
+        sizes, ids = [self.sizes], [self.ids_of_words]
+        count = len(self.sizes)
         for variant, words in enumerate(wanted):
-            young, old = self.young[variant], self.old[variant]
-            new = [w for w in words if len(w) <= STORE_LENGTH and w not in young and w not in old]
-            young.update((w, tuple(ids)) for w, ids in self.many(new, variant))
+            place = self.place[variant]
+            for part, n, made in self._encoded_words(words.difference(place), variant):
+                place.update(zip(part, range(count, count + len(part))))
+                count += len(part)
+                self.held += sum(map(len, part))
+                sizes.append(n)
+                ids.append(made)
+        self.sizes, self.ids_of_words = np.concatenate(sizes), np.concatenate(ids)
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def forget(self) -> None:
-        """Empties the word stores."""
-        self.young: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
-        self.old: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
+        """Empties the word store."""
+        self.place: list[dict[str, int]] = [{} for _ in range(self.variants)]
+        self.sizes, self.ids_of_words, self.held = np.zeros(0, np.int64), np.zeros(0, np.int32), 0
 
     def words(self, text: str) -> list[str]:
         return self.cut.findall(" " + text) if text else []
 
     def encode(self, text: str, variant: int = 0) -> list[int]:
-        return self.encode_words(self.words(text), variant)
-
-    def encode_words(self, words: list[str], variant: int = 0) -> list[int]:
-        young, out = self.young[variant], []
-        get, extend, older = young.get, out.extend, self.old[variant].get
-        for word in words:
-            ids = get(word)
-            if ids is None:
-                ids = older(word) or tuple(self._word(word, variant))
-                if len(word) <= STORE_LENGTH:
-                    young[word] = ids
-            extend(ids)
-        if len(young) >= STORE_WORDS:
-            self.young[variant], self.old[variant] = {}, young
-        return out
+        return self.encode_texts([self.words(text)], [variant])[0].tolist()
+
+    def encode_texts(self, texts: list[list[str]], variants: list[int]) -> list[np.ndarray]:
+        """The ids of texts that are cut into words."""
+        self.learn(texts, variants)
+        at, ends = [], []
+        for words, variant in zip(texts, variants):
+            at.extend(map(self.place[variant].__getitem__, words))
+            ends.append(len(at))
+        at = np.array(at, np.int64)
+        sizes, starts = self.sizes.take(at), self.starts.take(at)
+        upto = np.concatenate(([0], np.cumsum(sizes)))
+        flat = self.ids_of_words.take(np.repeat(starts - upto[:-1], sizes) + np.arange(upto[-1]))
+        return np.split(flat, upto[ends[:-1]])
 
     def _word(self, word: str, variant: int) -> list[int]:
         # A literal mark may not be read as white space, so no piece may hold it.
@@ -277,13 +298,10 @@ def _encoded(batches: Iterator[pa.RecordBatch], setting: tuple) -> Iterator[pa.R
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            ids, same, digests = [], [], []
+            same, digests = [], []
             texts, variants = part.column("text").to_pylist(), part.column("variant").to_pylist()
-            cut = [own.words(text) for text in texts]
-            own.learn(cut, variants)
-            for text, words, variant in zip(texts, cut, variants):
-                made = np.array(own.encode_words(words, variant), np.int32)
-                ids.append(made)
+            ids = own.encode_texts([own.words(text) for text in texts], variants)
+            for text, made in zip(texts, ids):
                 same.append(own.decode(made.tolist()) == text)
                 digests.append(hashlib.sha256(made.astype("<i4").tobytes()).hexdigest())
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)

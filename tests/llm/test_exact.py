@@ -537,6 +537,16 @@ def test_many_words_at_once_equal_one_at_a_time(documents):
     assert list(codec.many([])) == []
 
 
+def test_words_of_one_part_are_cut_once(monkeypatch):
+    """However many words a part of texts has, none of them is forgotten before the part is done."""
+    slow = []
+    monkeypatch.setattr(spm.Codec, "_word", lambda self, word, variant: slow.append(word))
+    texts = ["".join(f" {i}" for i in range(a, a + 62_000)) for a in range(0, 186_000, 62_000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [0, 1, 2], "text": texts, "variant": pa.array([0, 0, 0], pa.int32())})
+    made = pa.Table.from_batches(spm._encoded(iter([batch]), (spm.MODEL, 0.1, 5, 1)))
+    assert made["lossless"].to_pylist() == [True] * 3 and not slow
+
+
 def test_every_merge_may_be_skipped():
     assert len(spm.Codec(dropout=1.0).encode("hello")) == 1 + len("hello")
 
