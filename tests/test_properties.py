@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +100,26 @@ def test_distribution_pairs(spark, rng, t):
     agree(node_pairs(S.sim_distribution(nodes, "v", t)), brute(40, sim, t))
 
 
+def test_few_pairs_of_bags_are_measured(spark, rng, monkeypatch):
+    """Bags of one mean and unlike spread are told apart by areas; blocks give what one block gives."""
+    cells = [sorted(5 + (1 + i % 40) / 8 * (rng.random() - .5) * s for _ in range(4) for s in (1, -1)) for i in range(300)]
+    nodes = spark.createDataFrame(list(enumerate(cells)), "node_id long, v array<double>")
+    items = nodes.select("node_id", F.explode("v").alias("item"))
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300)
+            if 1 / (1 + sum(abs(x - y) for x, y in zip(cells[i], cells[j])) / 8) > 0.9}
+    for block in (32, 4096):
+        got = [(r.src, r.dst) for r in S.sim_distribution_items(nodes, items, 0.9, block=block).between_nodes().collect()]
+        assert len(got) == len(want) and set(got) == want
+    measured = []
+    found = S._distances
+    monkeypatch.setattr(S, "_distances", lambda a, b, i, j: (measured.append(len(i)), found(a, b, i, j))[1])
+    entries = pa.array([[{"x": x, "n": 1} for c in cells for x in c]], pa.list_(pa.struct([("x", pa.float64()), ("n", pa.int64())])))
+    batch = pa.RecordBatch.from_pydict({"home_b": [[True] * 300], **{f"{k}_{s}": v for s in "ab" for k, v in {
+        "cls": [[f"{i:03}" for i in range(300)]], "m": [[1] * 300], "size": [[8] * 300], "entries": entries}.items()}})
+    rows = sum(part.num_rows for part in S._emit_distributions(0.9)([batch]))
+    assert rows == len(want) <= sum(measured) < 2 * len(want) < 300 * 299 / 2 / 4
+
+
 @pytest.mark.parametrize("t", [0.0, 0.25, 0.5, 0.75])
 @pytest.mark.parametrize("with_map", [False, True])
 def test_overlap_pairs(spark, rng, t, with_map):
