@@ -35,6 +35,26 @@ def test_node_pairs_are_written_where_they_are_found(spark, axes, block):
     assert all(abs(r.sim - want[r.src, r.dst]) < 1e-9 for r in got)
 
 
+@pytest.mark.parametrize("block", [16, 10_000])
+def test_bucketed_pairs_meet_in_blocks(spark, block):
+    """Each pair above the similarity that shares a bucket in some table, once; no candidate is a row."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    rows, nodes = vectors(spark, copies=3)
+    unit = [(i, [float(x) for x in np.array(v) / np.linalg.norm(v)]) for i, v in rows if v and any(v)]
+    held = spark.createDataFrame(unit, "i long, u array<double>").withColumn("v", array_to_vector("u"))
+    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=0.5, numHashTables=2, seed=17)
+    hashes = {r.i: [v[0] for v in r.h] for r in lsh.fit(held).transform(held).collect()}
+    every = linked(rows, 0.3)
+    want = {p: s for p, s in every.items() if any(x == y for x, y in zip(hashes[p[0]], hashes[p[1]]))}
+    found = S.sim_cosine_lsh(nodes, "v", 0.3, tables=2, block=block)
+    got = found.between_nodes().collect()
+    assert 0 < len(want) < len(every)
+    assert len(got) == len(want) and {(r.src, r.dst) for r in got} == set(want)
+    assert all(abs(r.sim - want[r.src, r.dst]) < 1e-9 for r in got)
+
+
 def test_repeated_and_missing_ids_pair_as_before(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (None, [1.0, 0.1]), (3, [1.0, 0.1])]
     near = S.sim_cosine(spark.createDataFrame(rows, "node_id long, v array<double>"), "v", 0.5)
