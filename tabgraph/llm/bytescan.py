@@ -6,6 +6,7 @@ about ``CHUNK`` bytes, so memory follows the chunk (or the longest single text).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,13 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def give_back() -> None:
+    """Hands free memory back to the system, so a worker that waits for its next task keeps only what is in use."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2^64, for i < n at least."""
     if len(_powers[0]) < n:

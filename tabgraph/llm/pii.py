@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabgraph.llm.bytescan import give_back
+
 KINDS = ("email", "ip", "card", "phone")
 #: A number in an ip begins where a run of digits begins and takes all of it, so one try a run is enough.
 PATTERNS = {
@@ -437,6 +439,7 @@ def _span_rows(batches: Iterator[pa.RecordBatch], tagger: Tagger | None) -> Iter
                 [part.column("doc_id"), *[pa.array(c, pa.int64()) for c in counts], pa.array(digests, pa.string()),
                  pa.array([_joined(base + extra) for base, extra in both], pa.string())],
                 ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])
+        give_back()
 
 
 def spans(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
@@ -469,6 +472,7 @@ def _masked(batches: Iterator[pa.RecordBatch], tagger: Tagger | None) -> Iterato
             texts = part.column("text").to_pylist()
             clean = pa.array([mask(t, base + extra) for t, (base, extra) in zip(texts, all_spans(texts, tagger))], pa.string())
             yield part.set_column(part.schema.get_field_index("text"), "text", clean)
+        give_back()
 
 
 def masked(docs: DataFrame, tagger: Tagger | None) -> DataFrame:

@@ -26,20 +26,30 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabgraph.llm.bytescan import give_back
+
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 DROPOUT, SEED, VARIANTS = 0.1, 17, 2
 MARK = "▁"
 #: A worker forgets its words before it learns those of another part of texts, once they have more characters.
 STORE_CHARACTERS = 2_000_000
+#: A part of texts ends with the text that fills so many bytes, or with so many texts.
+PART_BYTES, PART_TEXTS = 500_000, 512
 #: Words of more characters keep their agenda in a heap.
 SHORT = 48
 INFINITE = float("inf")
 _M64 = (1 << 64) - 1
 
 
+def _room(array: np.ndarray, size: int) -> np.ndarray:
+    """The array, or its values at the beginning of one twice as long as asked for."""
+    return array if size <= len(array) else np.concatenate((array, np.zeros(2 * size - len(array), array.dtype)))
+
+
 class Codec:
     def __init__(self, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
         from sentencepiece import SentencePieceProcessor
@@ -174,23 +184,24 @@ class Codec:
         wanted: list[set[str]] = [set() for _ in range(self.variants)]
         for words, variant in zip(texts, variants):
             wanted[variant].update(words)
-        sizes, ids = [self.sizes], [self.ids_of_words]
-        count = len(self.sizes)
         for variant, words in enumerate(wanted):
             place = self.place[variant]
             for part, n, made in self._encoded_words(words.difference(place), variant):
-                place.update(zip(part, range(count, count + len(part))))
-                count += len(part)
+                count, used = self.count + len(part), self.used + len(made)
+                place.update(zip(part, range(self.count, count)))
+                self.sizes, self.starts = (_room(x, count) for x in (self.sizes, self.starts))
+                self.ids_of_words = _room(self.ids_of_words, used)
+                self.sizes[self.count: count] = n
+                self.starts[self.count: count] = self.used + np.cumsum(n) - n
+                self.ids_of_words[self.used: used] = made
+                self.count, self.used = count, used
                 self.held += sum(map(len, part))
-                sizes.append(n)
-                ids.append(made)
-        self.sizes, self.ids_of_words = np.concatenate(sizes), np.concatenate(ids)
-        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def forget(self) -> None:
         """Empties the word store."""
         self.place: list[dict[str, int]] = [{} for _ in range(self.variants)]
-        self.sizes, self.ids_of_words, self.held = np.zeros(0, np.int64), np.zeros(0, np.int32), 0
+        self.sizes, self.starts, self.ids_of_words = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.count = self.used = self.held = 0
 
     def words(self, text: str) -> list[str]:
         return self.cut.findall(" " + text) if text else []
@@ -293,25 +304,41 @@ def codec(model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, varian
     return _codecs[key]
 
 
+def parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, number) of the parts of a column of texts without nulls; what a part takes of a worker's memory
+    does not grow with the length of its texts, save for a single longer text."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    first, done = 0, 0
+    while first < len(texts):
+        after = min(int(np.searchsorted(ends, done + PART_BYTES)) + 1, first + PART_TEXTS, len(texts))
+        yield first, after - first
+        first, done = after, int(ends[after - 1])
+
+
 def _encoded(batches: Iterator[pa.RecordBatch], setting: tuple) -> Iterator[pa.RecordBatch]:
+    give_back()
     own = codec(*setting)
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            same, digests = [], []
-            texts, variants = part.column("text").to_pylist(), part.column("variant").to_pylist()
-            ids = own.encode_texts([own.words(text) for text in texts], variants)
-            for text, made in zip(texts, ids):
-                same.append(own.decode(made.tolist()) == text)
-                digests.append(hashlib.sha256(made.astype("<i4").tobytes()).hexdigest())
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
-                 pa.array(np.diff(offsets).astype(np.int64)), pa.array(digests), pa.array(same)],
-                ["doc_id", "ids", "n_tokens", "ids_sha256", "lossless"])
-        pa.default_memory_pool().release_unused()
+        for at, n in parts(batch.column("text")):
+            yield _encoded_part(own, batch.slice(at, n))
+        del batch
+        give_back()
     own.forget()
+    give_back()
+
+
+def _encoded_part(own: Codec, part: pa.RecordBatch) -> pa.RecordBatch:
+    texts, variants = part.column("text").to_pylist(), part.column("variant").to_pylist()
+    ids = own.encode_texts([own.words(text) for text in texts], variants)
+    same, digests = [], []
+    for text, made in zip(texts, ids):
+        same.append(own.decode(made.tolist()) == text)
+        digests.append(hashlib.sha256(made.astype("<i4").tobytes()).hexdigest())
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))),
+         pa.array(np.diff(offsets).astype(np.int64)), pa.array(digests), pa.array(same)],
+        ["doc_id", "ids", "n_tokens", "ids_sha256", "lossless"])
 
 
 def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED,

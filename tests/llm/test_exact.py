@@ -547,6 +547,21 @@ def test_words_of_one_part_are_cut_once(monkeypatch):
     assert made["lossless"].to_pylist() == [True] * 3 and not slow
 
 
+def test_parts_of_texts_are_bounded_in_bytes():
+    """Long texts do not meet by the hundred in a worker's memory; their ids do not depend on the part."""
+    texts = [f"{i} " * 12_000 + f"word{i}" for i in range(60)] + ["", "ä" * 300_000] + ["short"] * 1200
+    variant = [i % 2 for i in range(len(texts))]
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(len(texts)), "text": texts, "variant": pa.array(variant, pa.int32())})
+    made = list(spm._encoded(iter([batch]), (spm.MODEL, 0.1, 5, 2)))
+    sizes = [[len(texts[i].encode()) for i in part["doc_id"].to_pylist()] for part in made]
+    assert all(sum(x[:-1]) < spm.PART_BYTES and len(x) <= spm.PART_TEXTS for x in sizes)
+    rows = pa.Table.from_batches(made).to_pydict()
+    assert rows["doc_id"] == list(range(len(texts))) and all(rows["lossless"])
+    alone = spm.Codec(seed=5, variants=2)
+    for i in (0, 1, 31, 60, 61, 700):
+        assert rows["ids"][i] == alone.encode(texts[i], variant[i])
+
+
 def test_every_merge_may_be_skipped():
     assert len(spm.Codec(dropout=1.0).encode("hello")) == 1 + len("hello")
 
