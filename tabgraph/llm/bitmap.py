@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,13 +31,17 @@ def has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def thinned(df: DataFrame, hashed: str, bits: np.ndarray, inverse: bool = False) -> DataFrame:
-    """The rows whose hash has its bit set, or with ``inverse`` those that surely lack it."""
+    """The rows whose hash has its bit set, or with ``inverse`` those that surely lack it.
 
-    @F.pandas_udf("boolean")
-    def held(hashes: pd.Series) -> pd.Series:
-        return pd.Series(has(bits, hashes.to_numpy()) != inverse)
+    The test is passed on as not deterministic: else Spark infers it for the other sides of later joins, where it
+    drops nothing and holds a second Python worker in each task.
+    """
 
-    return df.filter(held(hashed))
+    @F.arrow_udf("boolean")
+    def held(hashes: pa.Array) -> pa.Array:
+        return pa.array(has(bits, hashes.to_numpy(zero_copy_only=False)) != inverse)
+
+    return df.filter(held.asNondeterministic()(hashed))
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabgraph.llm import chat, decontam, hnsw, minmax, pii, secrets, spm, suffix_dedup
+from tabgraph.llm.bitmap import bitmap, thinned
 from tabgraph.llm.bytescan import chunks
 from tests.llm.conftest import SF_DIR, texts_of
 
@@ -547,6 +548,15 @@ def test_words_of_one_part_are_cut_once(monkeypatch):
     assert made["lossless"].to_pylist() == [True] * 3 and not slow
 
 
+def test_bitmap_is_asked_on_its_own_side_of_a_join_only(spark):
+    """An inferred second test would hold one more Python worker in each task of the other side."""
+    rows = spark.range(100).select(F.xxhash64("id").alias("h"))
+    bits = bitmap(rows.filter(F.col("h") > 0), "h")
+    joined = thinned(rows, "h", bits).join(rows.mapInArrow(lambda batches: batches, "h long"), "h")
+    assert joined._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert {r.h for r in joined.collect()} >= {r.h for r in rows.filter(F.col("h") > 0).collect()}
+
+
 def test_parts_of_texts_are_bounded_in_bytes():
     """Long texts do not meet by the hundred in a worker's memory; their ids do not depend on the part."""
     texts = [f"{i} " * 12_000 + f"word{i}" for i in range(60)] + ["", "ä" * 300_000] + ["short"] * 1200
