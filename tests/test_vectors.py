@@ -90,3 +90,26 @@ def test_graph_of_a_density_stores_no_pairs(spark, monkeypatch):
     _, graph, threshold = experiment.build_graph(nodes.withColumn("y", F.lit(1)), near, 20.0)
     assert threshold == expected
     assert G.edge_count(graph).first().n_edges == len(linked(rows, threshold))
+
+
+def test_normalized_node_pairs_are_written_where_they_are_found(spark):
+    """G1 of vectors: the extremes leave a block as numbers, and no pair is shuffled."""
+    rows, nodes = vectors(spark, copies=5)
+    near = S.sim_cosine(nodes, "v", -1.0, block=16)
+    scaled = G.normalize_pairs(near)
+    found = scaled.between_nodes()
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+    got, want = {(r.src, r.dst): r.sim for r in found.collect()}, linked(rows, -1.0)
+    low = min(want.values())
+    assert got.keys() == want.keys()
+    assert all(abs(got[p] - (s - low) / (1 - low)) < 1e-9 for p, s in want.items())
+    edges = {(r.src, r.dst) for r in G.build_edges(scaled, 0.5).collect()}
+    assert edges == {e for p, s in got.items() if s > 0.5 for e in (p, p[::-1])}
+    key = lambda df: sorted((r.src, r.dst, round(r.sim, 9)) for r in df.collect())
+    assert key(found) == key(S.expand_pairs(scaled.members, scaled.pairs))
+
+
+def test_normalizing_vectors_without_pairs_changes_nothing(spark):
+    """One node, no pair: nothing to scale."""
+    near = S.sim_cosine(spark.createDataFrame([(1, [1.0, 0.0])], "node_id long, v array<double>"), "v", -1.0)
+    assert G.normalize_pairs(near).between_nodes().collect() == []
