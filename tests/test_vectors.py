@@ -113,3 +113,12 @@ def test_normalizing_vectors_without_pairs_changes_nothing(spark):
     """One node, no pair: nothing to scale."""
     near = S.sim_cosine(spark.createDataFrame([(1, [1.0, 0.0])], "node_id long, v array<double>"), "v", -1.0)
     assert G.normalize_pairs(near).between_nodes().collect() == []
+
+
+def test_plan_of_a_grid_does_not_hold_its_offsets_as_expressions(spark):
+    """Four axes have 41 offsets; an expression for each took the driver's memory."""
+    nodes = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0]), (2, [1.0, 0.01, 0.0, 0.0])], "node_id long, v array<double>")
+    found = S.sim_cosine(nodes, "v", 0.99, grid_axes=[0, 1, 2, 3]).between_nodes()
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.count("concat_ws") < 8
+    assert [(r.src, r.dst) for r in found.collect()] == [(1, 2)]
