@@ -122,3 +122,24 @@ def test_plan_of_a_grid_does_not_hold_its_offsets_as_expressions(spark):
     plan = found._jdf.queryExecution().analyzed().toString()
     assert plan.count("concat_ws") < 8
     assert [(r.src, r.dst) for r in found.collect()] == [(1, 2)]
+
+
+@pytest.mark.parametrize("min_sim", [0.4, 0.7])
+def test_node_pairs_of_numbers_and_lists_are_written_where_they_are_found(spark, min_sim, monkeypatch):
+    """No pair is joined with the members of its classes; repeated and missing ids and values pair as before."""
+    monkeypatch.setattr(S, "_PART", 3)
+    monkeypatch.setattr(S, "_BAG_PART", 3)
+    draw = np.random.default_rng(5)
+    numbers = [None, float("nan"), -0.0, 0.0, *[float(x) for x in draw.normal(scale=3, size=40).round(1)], *[1.5] * 9]
+    rows = [(None if i == 20 else min(i, 50), x, [float(v) for v in draw.integers(0, 4, size=i % 4)]) for i, x in enumerate(numbers)]
+    nodes = spark.createDataFrame(rows, "node_id long, x double, l array<double>")
+    key = lambda df: sorted((r.src, r.dst, round(r.sim, 9)) for r in df.collect())
+    items = nodes.filter("node_id is not null").dropDuplicates(["node_id"])
+    for near in (S.sim_count(nodes, "x", min_sim), S.sim_distribution(nodes, "l", min_sim),
+                 S.sim_distribution(items, "l", min_sim)):
+        found = near.between_nodes()
+        # Beside the pairs inside classes no join stands above the lists that write pairs.
+        across = found._jdf.queryExecution().optimizedPlan().toString().split("Generate explode(ids_b")[1]
+        assert "Join" not in across.split("Generate explode(ids_a")[0]
+        want = key(S.expand_pairs(near.members, near.pairs))
+        assert want and key(found) == want
