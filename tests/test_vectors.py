@@ -143,3 +143,18 @@ def test_node_pairs_of_numbers_and_lists_are_written_where_they_are_found(spark,
         assert "Join" not in across.split("Generate explode(ids_a")[0]
         want = key(S.expand_pairs(near.members, near.pairs))
         assert want and key(found) == want
+
+
+@pytest.mark.parametrize("block", [16, 10_000])
+def test_bucketed_node_pairs_are_written_where_they_are_found(spark, block, monkeypatch):
+    monkeypatch.setattr(S, "_PART", 3)
+    rows, _ = vectors(spark, copies=8)
+    rows += [(None, rows[1][1]), (7, rows[1][1]), (7, rows[1][1])]
+    near = S.sim_cosine_lsh(spark.createDataFrame(rows, "node_id long, v array<double>"), "v", 0.3, tables=2, block=block)
+    found = near.between_nodes()
+    key = lambda df: sorted(((r.src, r.dst, round(r.sim, 9)) for r in df.collect()), key=str)
+    want = key(S.expand_pairs(near.members, near.pairs))
+    assert want and key(found) == want
+    # Above the blocks that write pairs stands no join.
+    top = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert any(line.startswith("+- MapInArrow") for line in top)
